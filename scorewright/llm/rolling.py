@@ -157,12 +157,12 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of a chunk: byte ranges, 64-bit hashes, and where each document's words begin."""
+    """Words of a chunk, `[^\\x20\\x09-\\x0D]+` or runs of the bytes that `letters` marks: byte ranges, 64-bit hashes, and where each document's words begin."""
 
-    def __init__(self, chunk: Chunk, lower: bool = False):
+    def __init__(self, chunk: Chunk, lower: bool = False, letters: np.ndarray | None = None):
         data = _LOWER[chunk.data] if lower else chunk.data
         inside = np.zeros(len(data) + 2, np.int8)
-        inside[1:-1] = ~_SPACE[data]
+        inside[1:-1] = ~_SPACE[data] if letters is None else letters[data]
         # A document's first byte begins a word even if the document before ends in one.
         edges = np.unique(chunk.offsets[(chunk.offsets > 0) & (chunk.offsets < len(data))])
         step = np.diff(inside)
@@ -173,7 +173,8 @@ class Words:
         finish[both] = True
         self.start, self.end = np.flatnonzero(begin), np.flatnonzero(finish)
         self.offsets = np.searchsorted(self.start, chunk.offsets)
-        self.hash = Poly(byte_symbols(data), BASE2, BASE2_INV).of(self.start, self.end)
+        self.poly = Poly(byte_symbols(data), BASE2, BASE2_INV)
+        self.hash = self.poly.of(self.start, self.end)
 
     def ends(self) -> np.ndarray:
         """For each word, the word position at which its document ends."""
