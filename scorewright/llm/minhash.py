@@ -2,9 +2,11 @@
 
 Documents with equal shingle sets form a class and only one of each class is
 compared. Within a band bucket every member is first compared with one hub; what
-is still in different components after that is compared in blocks inside tasks,
-which emit only pairs whose signatures are alike. No pairs of a whole bucket are
-ever made, and every pair that shares a band and is not yet connected is tested.
+is still in different components after that is compared in blocks inside tasks.
+For small buckets the tasks emit pairs whose signatures are alike, to be confirmed
+on the full sets; for larger ones the blocks carry the full sets, and only links
+are emitted. No pairs of a whole bucket are ever made, and every pair that shares a
+band and is not yet connected is tested.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ ROWS = 6
 BANDS = 42
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 128
+#: Buckets of more members are compared on full sets where they stand.
+SMALL = 16
 _SEED = 20_240_601
 
 
@@ -105,7 +109,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     members = store.keep(docs.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>"), "members")
     classes = members.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.first("bands").alias("bands"))
-    placed = classes.select("cls", F.explode("bands").alias("key"))
+    placed = classes.select("cls", F.posexplode("bands").alias("band", "key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = store.keep(placed.join(shared, "key"), "buckets")
 
@@ -139,14 +143,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Pairs whose signatures, then full sets, are similar enough."""
         one, two = sets.select(F.col("cls").alias("a"), F.col("sig").alias("sa")), sets.select(F.col("cls").alias("b"), F.col("sig").alias("sb"))
-        likely = pairs.join(one, "a").join(two, "b").mapInArrow(alike, "a long, b long")
+        return exact(pairs.join(one, "a").join(two, "b").mapInArrow(alike, "a long, b long"))
+
+    def exact(pairs: DataFrame) -> DataFrame:
         one, two = sets.select(F.col("cls").alias("a"), F.col("set").alias("xa")), sets.select(F.col("cls").alias("b"), F.col("set").alias("xb"))
         both = F.size(F.array_intersect("xa", "xb"))
-        return likely.join(one, "a").join(two, "b").where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b")
+        return pairs.join(one, "a").join(two, "b").where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
     links = store.keep(confirmed(stars), "links")
     comp = store.keep(components(links, store), "components")
-    more = store.keep(confirmed(_unsettled(buckets, comp, sets, rows, bands, least)), "more")
+    few, many = _unsettled(buckets, comp, sets, rows, bands, least, threshold)
+    more = store.keep(exact(few).unionByName(many), "more")
     if not more.isEmpty():
         comp = store.keep(components(links.unionByName(more), store), "components")
 
@@ -174,37 +181,69 @@ def _equal_lanes(left: pa.Array, right: pa.Array, lanes: int) -> np.ndarray:
     return (_matrix(left.to_pylist(), lanes) == _matrix(right.to_pylist(), lanes)).sum(axis=1)
 
 
-def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int, bands: int, least: int) -> DataFrame:
-    """Pairs of one bucket that lie in different components and have like signatures.
+def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int, bands: int, least: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of one bucket that lie in different components: those of small buckets with like signatures, and the links of larger ones.
 
     Each such pair has a member outside its bucket's most frequent component, so
-    only those members are held against the bucket, block by block.
+    only those members are held against the bucket, block by block. A pair counts
+    in the first band that it shares.
     """
     lanes = rows * bands
-    at = buckets.join(comp, buckets["cls"] == comp["node"], "left").select("key", "size", "cls", F.coalesce("component", "cls").alias("comp"))
+    at = buckets.join(comp, buckets["cls"] == comp["node"], "left").select("key", "band", "size", "cls", F.coalesce("component", "cls").alias("comp"))
     main = at.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", (-F.col("comp")).alias("minus"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", (-F.col("top.minus")).alias("main"))
-    at = at.join(main, "key").join(sets.select("cls", "sig"), "cls").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK).cast("long")))
-
-    def blocks(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy("key", "block").agg(F.collect_list(F.struct("cls", "comp", "sig")).alias(tag)).drop("block")
-
-    pairs = blocks(at.where("comp <> main"), "x").join(blocks(at, "y"), "key").select("x", "y")
+    at = at.join(main, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK).cast("long")))
+
+    def paired(df: DataFrame, *columns: str) -> DataFrame:
+        told = df.join(sets.select("cls", *columns), "cls")
+        blocks = lambda part, tag: part.groupBy("key", "band", "block").agg(F.collect_list(F.struct("cls", "comp", *columns)).alias(tag)).drop("block")
+        return blocks(told.where("comp <> main"), "x").join(blocks(told, "y").drop("band"), "key").select("band", "x", "y")
+
+    def hits(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """(x members, y members, place in x, places in y that differ in component and have like signatures and this band first)."""
+        for band, x, y in zip(batch["band"].to_pylist(), batch["x"], batch["y"], strict=True):
+            x, y = x.values, y.values
+            sx, sy = _matrix(x.field("sig").to_pylist(), lanes), _matrix(y.field("sig").to_pylist(), lanes)
+            cx, cy = x.field("comp").to_numpy(), y.field("comp").to_numpy()
+            for i in range(len(sx)):
+                same = sy == sx[i]
+                hit = np.flatnonzero((same.sum(axis=1) >= least) & (cy != cx[i]))
+                if len(hit):
+                    hit = hit[same[hit].reshape(len(hit), bands, rows).all(axis=2).argmax(axis=1) == band]
+                    if len(hit):
+                        yield x, y, i, hit
+
+    def batch_of(left: list, right: list) -> pa.RecordBatch:
+        a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = [], []
+            for x, y, i, hit in hits(batch):
+                right.append(y.field("cls").to_numpy()[hit])
+                left.append(np.full(len(hit), x.field("cls")[i].as_py()))
+            yield batch_of(left, right)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                x, y = x.values, y.values
-                sx, sy = _matrix(x.field("sig").to_pylist(), lanes), _matrix(y.field("sig").to_pylist(), lanes)
-                ix, iy = x.field("cls").to_numpy(), y.field("cls").to_numpy()
-                cx, cy = x.field("comp").to_numpy(), y.field("comp").to_numpy()
-                left, right = [], []
-                for i in range(len(ix)):
-                    hit = np.flatnonzero(((sy == sx[i]).sum(axis=1) >= least) & (cy != cx[i]))
-                    left.append(np.maximum(ix[i], iy[hit]))
-                    right.append(np.minimum(ix[i], iy[hit]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
-
-    return pairs.mapInArrow(compare, "a long, b long").distinct()
+            left, right = [], []
+            for x, y, i, hit in hits(batch):
+                own = x.field("set")[i].values.to_numpy()
+                own = np.sort(own)
+                others = y.field("set").take(pa.array(hit))
+                sizes, flat = others.value_lengths().to_numpy(), others.flatten().to_numpy()
+                found = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(found, np.cumsum(sizes) - sizes, dtype=np.int64)
+                hit = hit[100 * both >= threshold * (len(own) + sizes - both)]
+                # one link to a component is enough
+                hit = hit[np.unique(y.field("comp").to_numpy()[hit], return_index=True)[1]]
+                right.append(y.field("cls").to_numpy()[hit])
+                left.append(np.full(len(hit), x.field("cls")[i].as_py()))
+            yield batch_of(left, right)
+
+    few = paired(at.where(F.col("size") <= SMALL), "sig").mapInArrow(likely, "a long, b long")
+    many = paired(at.where(F.col("size") > SMALL), "sig", "set").mapInArrow(linked, "a long, b long")
+    return few.distinct(), many.distinct()
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
