@@ -109,20 +109,21 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int =
     return spans.select("id", "th", F.explode(F.when(gapless, F.array(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).otherwise(F.col("pieces"))).alias("r")).select("id", "th", "r.first", "r.last")
 
 
-def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """Remove each word that a `length`-word window which also starts elsewhere covers.
 
     One row per input row: id_col, n_words, n_removed, kept_sha256 (of the kept words
     joined by one space) and, if keep_text, `kept_text`: the text itself where nothing
     goes, else the kept words joined by one space. Words are `[^\\x20\\x09-\\x0D]+`;
     null, empty and blank texts have none; shorter texts keep all of theirs. Equal
-    rows are copies of each other. Ids may be null or repeat; other columns are not read.
+    rows are copies of each other. Ids may be null or repeat. Of the other columns only
+    those in `keep` are read; they follow unchanged.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
     store = Store(spark, "debruijn")
-    docs = W.keyed(docs, id_col, text_col)
-    ranges = repeated_spans(docs, store, length)
+    docs = W.keyed(docs, id_col, text_col, keep)
+    ranges = repeated_spans(docs.select("id", "th", "text"), store, length)
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
@@ -139,10 +140,14 @@ def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 joined = b" ".join(words_kept)
                 out.append((len(words), gone, hashlib.sha256(joined).hexdigest(), (joined if gone else data) if keep_text else None))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
-
-    done = W.with_ranges(docs, ranges).mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
-    return done if keep_text else done.drop("kept_text")
+            arrays = [batch["id"], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + ([batch["rest"]] if keep else []), names=["id", "n_words", "n_removed", "kept_sha256", "kept_text"] + ["rest"] * bool(keep))
+
+    told = W.with_ranges(docs, ranges)
+    rest = f", rest {told.schema['rest'].dataType.simpleString()}" if keep else ""
+    done = told.mapInArrow(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string" + rest)
+    own = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * keep_text
+    return done.select(*own, *(["rest.*"] if keep else []))
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

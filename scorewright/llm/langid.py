@@ -161,7 +161,8 @@ def identify(docs: DataFrame, model: ByteCNN, *, text_col: str = "text", keep: l
     arrow_batches(docs.sparkSession)
     keep = list(docs.columns if keep is None else keep)
     names = {"lang_pred": "lang_pred", "score": "score"} | (rename or {})
-    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("text_"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters_"))
+    place = f"k{keep.index(text_col)}" if text_col in keep else "text_"
+    source = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], *([] if text_col in keep else [F.col(text_col).alias("text_")]), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("letters_"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + ["lang_pred string", "score double"])
     shared = docs.sparkSession.sparkContext.broadcast((model.classes, model.p))
 
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, model: ByteCNN, *, text_col: str = "text", keep: l
             letters = batch["letters_"].to_numpy(zero_copy_only=False)
             total = np.zeros((batch.num_rows, max(1, len(classes))), np.float64)
             count = np.zeros(batch.num_rows)
-            for chunk in R.chunks(batch["text_"]) if classes else ():
+            for chunk in R.chunks(batch[place]) if classes else ():
                 windows, doc = cut_windows(chunk.data, chunk.offsets)
                 for lo in range(0, len(windows), GROUP):
                     p = net.probabilities(windows[lo : lo + GROUP])

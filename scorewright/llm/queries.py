@@ -3,11 +3,25 @@
 from __future__ import annotations
 
 from scorewright.llm.debruijn import op9_substring_dedup
+from scorewright.llm.decontaminate import op1_benchmark_decontamination
+from scorewright.llm.imatch import op4_imatch_fingerprints
+from scorewright.llm.langid import op2_language_id
+from scorewright.llm.lm_score import op5_lm_scoring
 from scorewright.llm.minhash import op10_minhash_near_dedup
+from scorewright.llm.sentencepiece_nbest import op6_sentencepiece_nbest
 from scorewright.llm.suffix_dedup import op7_suffix_array_dedup
+from scorewright.llm.token_rollup import op8_token_counts
+from scorewright.llm.toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_language_id": op2_language_id,
+    "op3_toxicity": op3_toxicity,
+    "op4_imatch_fingerprints": op4_imatch_fingerprints,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_sentencepiece_nbest": op6_sentencepiece_nbest,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
@@ -15,7 +29,58 @@ QUERIES = {
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_SEED = "array_to_string([{}], ' ')"
+_MASK_1 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 1, 3, 4, 6, 8)))
+_MASK_2 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 2, 3, 5, 7, 8)))
+_FINE = ", ".join(f"[{j}, 2]" for j in range(1, 32))
+_COARSE = ", ".join(f"[{j}, 1]" for j in range(1, 33, 2))
+
+
+def _subsets(digests: str) -> str:
+    """Hashes of the fine and coarse lexicon subsets of a list of MD5 digests."""
+    return f"""list_transform([{_FINE}, {_COARSE}], lambda r: list_filter({digests}, lambda m: substring(m, r[1], r[2]) < CASE WHEN r[2] = 2 THEN '02' ELSE '1' END))"""
+
+
+def _share(a: str, b: str, start: int, stop: int) -> str:
+    some = f"list_filter(range({start}, {stop + 1}), lambda i: {a}[i] <> '' OR {b}[i] <> '')"
+    return f"(CASE WHEN len({some}) > 0 THEN len(list_filter({some}, lambda i: {a}[i] = {b}[i]))::DOUBLE / len({some})::DOUBLE END)"
+
+
+def _likeness(a: str, b: str) -> str:
+    x, y = _share(a, b, 2, 32), _share(a, b, 33, 48)
+    return f"coalesce(({x} + {y}) / 2, {x}, {y}, CASE WHEN {a}[1] = {b}[1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+
+
 SQL = {
+    "op1_benchmark_decontamination": f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark),
+tp AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 7)) AS p FROM t),
+bp AS (SELECT item_id, ws, unnest(range(1, len(ws) - 7)) AS p FROM b),
+ts AS (SELECT doc_id, p, 1 AS m, {_MASK_1} AS s FROM tp UNION ALL SELECT doc_id, p, 2, {_MASK_2} FROM tp),
+bs AS (SELECT item_id, p, 1 AS m, {_MASK_1} AS s FROM bp UNION ALL SELECT item_id, p, 2, {_MASK_2} FROM bp),
+h AS (SELECT DISTINCT doc_id, item_id, ts.p - bs.p AS shift FROM ts JOIN bs USING (m, s)),
+e AS (SELECT h.doc_id, h.item_id, len(b.ws) AS n, least(13, len(b.ws)) AS width,
+  list_transform(range(1, len(b.ws) + 1), lambda k: CASE WHEN k + shift >= 1 AND k + shift <= len(t.ws) AND b.ws[k] = t.ws[k + shift] THEN 1 ELSE 0 END) AS same
+  FROM h JOIN t USING (doc_id) JOIN b USING (item_id)),
+g AS (SELECT doc_id, item_id, n, width, list_sum(same) AS equal, list_max(list_transform(range(1, n - width + 2), lambda k: list_sum(same[k : k + width - 1]))) AS best FROM e)
+SELECT doc_id, item_id, max(equal)::BIGINT AS n_equal, max(n)::BIGINT AS n_tokens, max(best)::BIGINT AS best_window FROM g WHERE best >= width - 3 GROUP BY doc_id, item_id
+""",
+    "op4_imatch_fingerprints": f"""
+WITH x AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT doc_id, text, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM x),
+d AS (SELECT doc_id, n, text, following, left(text, (n - n // 2)::BIGINT) || left(following, (n // 2)::BIGINT) AS edited FROM o),
+u AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM x)),
+lex AS (SELECT term FROM u GROUP BY term HAVING count(*) >= greatest(2.0, 0.001 * (SELECT count(*) FROM x)) AND count(*) <= 0.2 * (SELECT count(*) FROM x)),
+v AS (SELECT doc_id, 1 AS k, text AS body FROM d UNION ALL SELECT doc_id, 2, edited FROM d UNION ALL SELECT doc_id, 3, following FROM d),
+w AS (SELECT DISTINCT doc_id, k, term, term IN (SELECT term FROM lex) AS inside FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v)),
+s AS (SELECT doc_id, k, coalesce(list(term ORDER BY term) FILTER (inside), list(term ORDER BY term)) AS ts FROM w GROUP BY doc_id, k),
+m AS (SELECT v.doc_id, v.k, coalesce(ts, []::VARCHAR[]) AS ts, list_transform(coalesce(ts, []::VARCHAR[]), lambda t: md5(t)) AS ms FROM v LEFT JOIN s USING (doc_id, k)),
+f AS (SELECT doc_id, k, list_concat([left(md5(array_to_string(ts, ' ')), 16)], list_transform({_subsets("ms")}, lambda c: CASE WHEN len(c) = 0 THEN '' ELSE left(md5(array_to_string(c, '')), 4) END)) AS fp FROM m)
+SELECT d.doc_id, d.n::BIGINT AS n_chars, sha256(d.edited) AS edited_sha256, array_to_string(a.fp, '.') AS fingerprint, array_to_string(b.fp, '.') AS edited_fingerprint,
+  {_likeness("a.fp", "b.fp")} AS near_edited, {_likeness("a.fp", "c.fp")} AS near_next
+FROM d JOIN f a ON a.doc_id = d.doc_id AND a.k = 1 JOIN f b ON b.doc_id = d.doc_id AND b.k = 2 JOIN f c ON c.doc_id = d.doc_id AND c.k = 3
+""",
     "op7_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 w AS (SELECT doc_id, p, md5(b[p : p + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d)),

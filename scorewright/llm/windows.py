@@ -28,9 +28,9 @@ from scorewright.llm.common import Store, same_row
 ROW = "id long, th long, first int, last int, off int, fp long, sx long"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, th, text: `th` tells apart rows that share an id; rows equal in both are copies."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """id, th, text and, in the struct `rest`, columns to keep. `th` tells apart rows that share an id; rows equal in both are copies."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"), *([F.struct(*keep).alias("rest")] if keep else []))
 
 
 class Symbols:
@@ -119,7 +119,7 @@ def shared_windows(windows: DataFrame) -> DataFrame:
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Documents with the list of their ranges (first, last: window starts that repeat)."""
     lists = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"id": "id_", "th": "th_"})
-    return docs.join(lists, docs["id"].eqNullSafe(lists["id_"]) & (docs["th"] == lists["th_"]), "left").select("id", "text", "ranges")
+    return docs.join(lists, docs["id"].eqNullSafe(lists["id_"]) & (docs["th"] == lists["th_"]), "left").drop("th", "id_", "th_")
 
 
 def covered(ranges, n: int, length: int) -> np.ndarray:
