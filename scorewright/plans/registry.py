@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from scorewright.plans import reliability, scores
+
+QUERIES = scores.QUERIES | reliability.QUERIES
+SQL = scores.SQL | reliability.SQL
