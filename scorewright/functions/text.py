@@ -54,7 +54,8 @@ def sentences(c: Column) -> Column:
 def located_blocks(c: Column, default: str = "[MDA_P001]") -> Column:
     """array<struct<locator, body>>: the text after each [MDA_P###], [NEWS_P###], [TITLE] or [LEAD] mark; without marks the whole text under `default`."""
     marked = F.regexp_replace(c, r"\[(MDA_P\d{3}|NEWS_P\d{3}|TITLE|LEAD)\]", MARK + "[$1]" + MARK + MARK)
-    parts = F.slice(F.split(marked, MARK + r"(?=\[)"), 2, 2147483647)
+    split = F.split(marked, MARK + r"(?=\[)")
+    parts = F.slice(split, F.lit(2), F.size(split))
     pairs = F.transform(parts, lambda p: F.struct(F.substring_index(p, MARK + MARK, 1).alias("locator"), F.trim(F.regexp_replace(F.substring_index(p, MARK + MARK, -1), r"^\s+|\s+$", "")).alias("body")))
     found = F.filter(pairs, lambda p: p["body"] != "")
     whole = F.array(F.struct(F.lit(default).alias("locator"), c.alias("body")))

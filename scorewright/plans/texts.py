@@ -148,7 +148,7 @@ def phrase_containment(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
     # whole words only: the first and last of a phrase may stand inside longer words of a text
-    inner = b.select("item_id", "phrase", F.explode(F.array_distinct(F.slice(F.split("phrase", r"\s+"), 2, 2147483647))).alias("word"))
+    inner = b.select("item_id", "phrase", F.explode(F.array_distinct(F.slice(F.split("phrase", r"\s+"), F.lit(2), F.size(F.split("phrase", r"\s+"))))).alias("word"))
     inner = inner.where("word <> ''")
     wanted = inner.select("word").distinct()
     words_ = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(wanted, "word")
