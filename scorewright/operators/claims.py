@@ -138,3 +138,43 @@ def document_scores(claims: DataFrame, source_type: str, codes: list[str], bread
             mean = F.bround(F.avg(F.when(F.col("claim_type").isin(*types), F.col("score"))), 0) if types else F.lit(None).cast("double")
             aggs.append(F.greatest(F.lit(1), F.least(F.lit(5), F.coalesce(mean, F.lit(3.0)))).cast("int").alias(code))
     return claims.groupBy("document_id").agg(F.count("*").alias("claim_count"), *aggs)
+
+
+def first_direction(lowered: Column, default: str) -> Column:
+    """increased or decreased, by the change word that stands first; the default without any."""
+    up, down = r"\b(increased|increase|improved|higher|rose|growth|expanded)\b", r"\b(decreased|decrease|declined|lower|fell|drop|reduced)\b"
+    at = lambda p: F.when(lowered.rlike(p), F.length(F.regexp_replace(lowered, rf"(?s){p}.*$", "")))
+    a, b = at(up), at(down)
+    return F.when(a.isNotNull() & (b.isNull() | (a < b)), "increased").when(b.isNotNull(), "decreased").otherwise(default)
+
+
+def link_claims_of(docs: DataFrame, doc_type: str, *, id_col: str = "document_id", text_col: str = "text", period: Column | None = None) -> DataFrame:
+    """At most one claim of each sentence, by ordered topics, for linking reports with news.
+
+    Columns: claim_id, document_id, claim_type, topic, metric_name, direction, period,
+    claim_text, evidence_locator (a paragraph mark inside the sentence, else its number),
+    source_attribution, source_independence. Null and empty texts give none.
+    """
+    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " "))
+    parts = F.filter(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
+    s = docs.select(F.col(id_col).alias("document_id"), (F.lit("") if period is None else period.cast("string")).alias("period"), F.posexplode(parts).alias("n_", "claim_text"))
+    low = F.lower("claim_text")
+    say = lambda kind, what, name, way: F.struct(F.lit(kind).alias("claim_type"), F.lit(what).alias("topic"), F.lit(name).alias("metric_name"), (F.lit(way) if isinstance(way, str) else way).alias("direction"))
+    claim = (
+        F.when(has_any(low, ["raw material", "packaging", "logistics"]), say("cost_pressure", "raw_material", "raw_material_cost", first_direction(low, "increased")))
+        .when(low.contains("revenue"), say("financial_result", "revenue", "revenue", first_direction(low, "unknown")))
+        .when(low.contains("profit"), say("financial_result", "profit", "profit", first_direction(low, "unknown")))
+        .when(low.contains("margin"), say("margin", "margin", "margin", F.when(low.contains("pressure"), first_direction(low, "decreased")).otherwise(first_direction(low, "unknown"))))
+        .when(has_any(low, ["cautious outlook", "caution"]), say("outlook", "consumer_demand", "outlook", "cautious"))
+        .when(has_any(low, ["explosive growth", "strong growth", "optimistic"]), say("outlook", "consumer_demand", "outlook", "optimistic"))
+        .when(has_any(low, ["capacity", "production line", "expanded", "expansion"]), say("expansion", "capacity_expansion", "capacity", "increased"))
+        .when(low.contains("food safety"), say("risk", "food_safety", "food_safety_issue", "negative"))
+    )
+    company, third = has_any(low, ["annual report", "bursa", "company announcement", "company said"]), has_any(low, ["regulator", "industry data", "market report", "analyst"])
+    source = F.when(company, "company_or_filing").when(third, "third_party").when(low.contains("sources said"), "unnamed_sources").otherwise("")
+    independence = F.when(company, "low").when(third, F.when(has_any(low, ["regulator", "industry data"]), "high").otherwise("medium")).otherwise("unknown" if doc_type == "news" else "")
+    mark = F.regexp_extract("claim_text", r"\[(MDA_P\d+)\]", 1)
+    rows = s.select("document_id", "period", "n_", "claim_text", F.when(mark != "", mark).otherwise(F.format_string("S%03d", F.col("n_") + 1)).alias("evidence_locator"), source.alias("source_attribution"), independence.alias("source_independence"), claim.alias("c_")).where("c_ is not null")
+    lists = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("n_", "period", "claim_text", "evidence_locator", "source_attribution", "source_independence", "c_"))).alias("all_"))
+    out = lists.select("document_id", F.posexplode("all_").alias("k_", "r_"))
+    return out.select(F.format_string("%s_C%03d", F.col("document_id").cast("string"), F.col("k_") + 1).alias("claim_id"), "document_id", "r_.c_.*", "r_.period", "r_.claim_text", "r_.evidence_locator", "r_.source_attribution", "r_.source_independence")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorewright.plans import relations, reliability, scores, texts
+from scorewright.plans import registries, relations, reliability, scores, texts
 
-QUERIES = scores.QUERIES | reliability.QUERIES | texts.QUERIES | relations.QUERIES
-SQL = scores.SQL | reliability.SQL | texts.SQL | relations.SQL
+QUERIES = scores.QUERIES | reliability.QUERIES | texts.QUERIES | relations.QUERIES | registries.QUERIES
+SQL = scores.SQL | reliability.SQL | texts.SQL | relations.SQL | registries.SQL
