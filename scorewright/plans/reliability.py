@@ -241,3 +241,25 @@ def focused_robustness(spark, sf_dir):
     j = b.join(f, "document_id", "left")
     shared = F.count("y")
     return j.agg(shared.alias("shared"), F.when(shared == 0, 0.0).when(shared == 1, 1.0).otherwise(pearson_of("x", "y")).alias("spearman"), F.round(shared / F.count("*"), 6).alias("share"))
+
+
+@query("WITH r AS (" + SQL["rank_stability_summary"] + ") SELECT least_spearman, CASE WHEN least_spearman >= 0.9 THEN 'keep_base_weights' WHEN least_spearman >= 0.8 THEN 'report_alternatives' ELSE 'revise_weights' END AS recommendation, array_to_string(list_filter([CASE WHEN spearman_equal < 0.9 THEN 'equal' END, CASE WHEN spearman_facts < 0.9 THEN 'facts' END], lambda x: x IS NOT NULL), ';') AS sensitive_to FROM r")
+def scheme_recommendation(spark, sf_dir):
+    r = rank_stability_summary(spark, sf_dir)
+    least = F.col("least_spearman")
+    sensitive = F.array_compact(F.array(F.when(F.col("spearman_equal") < 0.9, "equal"), F.when(F.col("spearman_facts") < 0.9, "facts")))
+    return r.select("least_spearman", F.when(least >= 0.9, "keep_base_weights").when(least >= 0.8, "report_alternatives").otherwise("revise_weights").alias("recommendation"), F.array_join(sensitive, ";").alias("sensitive_to"))
+
+
+@query(f"WITH {_RUNS_SQL}, b AS (SELECT a.D2 AS x, r.D2 AS y FROM scores a JOIN redo r USING (document_id)) SELECT round(avg(greatest(0, 3 - x) / 4.0::DOUBLE), 6) AS first_error_rate, round(avg(greatest(0, 3 - y) / 4.0::DOUBLE), 6) AS second_error_rate, CASE WHEN avg(greatest(0, 3 - x)) <= avg(greatest(0, 3 - y)) THEN 'first' ELSE 'second' END AS recommended FROM b")
+def method_comparison(spark, sf_dir):
+    """How far below the middle the numeric dimension falls under two methods, and the better of them."""
+    low = lambda c: F.avg(F.greatest(F.lit(0), 3 - F.col(c)) / 4.0)
+    return _pair(spark, sf_dir).agg(F.round(low("D2"), 6).alias("first_error_rate"), F.round(low("b_D2"), 6).alias("second_error_rate"), F.when(low("D2") <= low("b_D2"), "first").otherwise("second").alias("recommended"))
+
+
+@query(f"WITH {_RUNS_SQL} SELECT metric, value FROM (SELECT 'exact_agreement' AS metric, round(sum(same) / (5.0::DOUBLE * count(*)), 6) AS value FROM pair UNION ALL SELECT 'pearson', {sql_pearson('t1', 't2')} FROM pair UNION ALL SELECT 'mean_abs_diff', round(avg(abs(t1 - t2)), 6) FROM pair)")
+def stability_metrics_long(spark, sf_dir):
+    """Metrics of several kinds as rows, ready to append to a report's table."""
+    m = _pair(spark, sf_dir).agg(F.round(F.sum("same") / (5.0 * F.count("*")), 6).alias("exact_agreement"), pearson_of("t1", "t2").alias("pearson"), F.round(F.avg(F.abs(F.col("t1") - F.col("t2"))), 6).alias("mean_abs_diff"))
+    return m.unpivot([], ["exact_agreement", "pearson", "mean_abs_diff"], "metric", "value")
