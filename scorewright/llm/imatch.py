@@ -2,14 +2,14 @@
 
 Terms are runs of letters and digits of the lower-cased text. The lexicon holds the
 terms whose document frequency lies in a band: at least LEAST of the documents (and
-two of them), at most MOST. A text's kept terms are its distinct terms in the
-lexicon, sorted; a text with none keeps all of its terms. The fingerprint is a hash
-of the kept terms and one of those in each of many random subsets of the lexicon. A
-term lies in a fine subset if the two hexadecimal digits of its MD5 from some digit on
-are below 02 (one term in 128), in a coarse one if a certain digit is 0 (one in 16):
-the fine ones tell long texts apart, the coarse ones short texts. The likeness of two
-fingerprints is the mean, over the two kinds, of the share of subsets with equal
-hashes among those that either text has terms in.
+two of them), at most MOST. A text keeps its distinct terms in the lexicon, or all of
+its terms if none is in it, sorted by their MD5. The fingerprint is a hash of the kept
+terms and one of those in each random subset of the lexicon that the text has terms
+in. Terms are spread over 256 fine subsets by the first two hexadecimal digits of
+their MD5 and over 16 coarse ones by the first digit: the fine ones tell long texts
+apart, the coarse ones short texts. The likeness of two fingerprints is the mean,
+over the two kinds, of the share of subsets with equal hashes among those that either
+text has terms in.
 
 As every lexicon term is in LEAST of the documents, the lexicon has at most (mean
 number of distinct terms of a text) / LEAST entries, whatever the corpus; that bound
@@ -18,6 +18,8 @@ is what allows it to be sent to all tasks.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,19 +28,20 @@ from scorewright.llm.common import Store, documents
 
 LEAST = 0.001
 MOST = 0.2
-#: Digits of a term's MD5 and what they must be below, for each subset.
-FINE = [(j, 2, "02") for j in range(1, 32)]
-COARSE = [(j, 1, "1") for j in range(1, 33, 2)]
+#: Hexadecimal digits of a term's MD5 that it is known by, and of them those that name its fine and its coarse subset.
+DIGITS, FINE, COARSE = 8, 2, 1
 #: Places of the table that the lexicon is looked up in.
 SLOTS = 1 << 14
 #: Rows of neighbouring ids that are put in order together.
 RUN = 2000
 SEGMENTS = 64
+#: Runs whose first ids may be sent to all tasks (about 16 MB); more are joined by a shuffle.
+BROADCAST_RUNS = 1_000_000
 
 
 def terms(text: Column) -> Column:
-    """Distinct terms of a text, sorted; none for null."""
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    """Distinct terms of a text; none for null."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def _slot(term: Column) -> Column:
@@ -59,46 +62,50 @@ def lookup(lex: DataFrame) -> DataFrame:
     return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("terms", F.array().cast("array<string>")).alias("terms")))), lambda s: s["terms"]).alias("table"))
 
 
-def kept(all_terms: Column, table: Column) -> Column:
-    """Terms in the lexicon; all terms if none is."""
-    inside = F.filter(all_terms, lambda t: F.array_contains(table[_slot(t)], t))
-    return F.when(F.size(inside) > 0, inside).otherwise(all_terms)
-
-
-def _in_subset(place: int, digits: int, below: str):
-    return lambda digest: F.substring(digest, place, digits) < below
-
+def with_hashes(df: DataFrame, text: Column, lex_col: str, name: str) -> DataFrame:
+    """Add `name`, the fingerprint's parts: struct<whole, fine, coarse>.
 
-def _hashes(k: Column, digests: Column) -> Column:
-    """Hash of all kept terms, then of those in each subset ('' where it has none)."""
-    subsets = [F.array_join(F.filter(digests, _in_subset(*s)), "") for s in FINE + COARSE]
-    return F.array(F.substring(F.md5(F.array_join(k, " ")), 1, 16), *[F.when(s == "", "").otherwise(F.substring(F.md5(s), 1, 4)) for s in subsets])
+    Kept terms become fixed-width digests in order, joined by blanks. Digests of one
+    subset are neighbours, so taking out the blanks between equal beginnings leaves one
+    string for each subset, of its sorted distinct terms. Each step is a column of its
+    own: shared parts are computed once.
+    """
+    table = F.col(lex_col)
+    df = df.withColumn("terms_", terms(text))
+    df = df.withColumn("in_", F.filter("terms_", lambda t: F.array_contains(table[_slot(t)], t)))
+    df = df.withColumn("kept_", F.when(F.size("in_") > 0, F.col("in_")).otherwise(F.col("terms_")))
+    df = df.withColumn("joined_", F.array_join(F.sort_array(F.transform("kept_", lambda t: F.substring(F.md5(t), 1, DIGITS))), " "))
+    whole = F.substring(F.md5("joined_"), 1, 16)
+    out = df.withColumn(name, F.struct(whole.alias("whole"), _subsets(FINE).alias("fine"), _subsets(COARSE).alias("coarse")))
+    return out.drop("terms_", "in_", "kept_", "joined_")
 
 
-def with_hashes(df: DataFrame, text: Column, lex_col: str, name: str) -> DataFrame:
-    """Add `name`, the hashes of a text's fingerprint."""
-    df = df.withColumn("kept_", kept(terms(text), F.col(lex_col)))
-    df = df.withColumn("digests_", F.transform("kept_", lambda t: F.md5(t)))
-    return df.withColumn(name, _hashes(F.col("kept_"), F.col("digests_"))).drop("kept_", "digests_")
+def _subsets(digits: int) -> Column:
+    """The name and a short hash of each subset that the joined digests have terms in."""
+    runs = F.split(F.regexp_replace("joined_", rf" (?<=([0-9a-f]{{{digits}}})[0-9a-f]{{{DIGITS - digits}}} )(?=\1)", ""), " ")
+    return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.concat(F.substring(r, 1, digits), F.substring(F.md5(r), 1, 3)))
 
 
 def fingerprint(h: Column) -> Column:
-    return F.array_join(h, ".")
+    return F.concat(h["whole"], F.lit("."), F.array_join(h["fine"], ""), F.lit("."), F.array_join(h["coarse"], ""))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Mean share of equal subset hashes; with no terms in any subset, whether all kept terms are equal."""
+    """Mean share of equal subset hashes; without any subset, whether the kept terms are equal."""
+
+    def share(kind: str, digits: int) -> Column:
+        names = lambda h: F.transform(h[kind], lambda x: F.substring(x, 1, digits))
+        either = F.size(a[kind]) + F.size(b[kind]) - F.size(F.array_intersect(names(a), names(b)))
+        return F.try_divide(F.size(F.array_intersect(a[kind], b[kind])).cast("double"), either.cast("double"))
 
-    def share(start: int, count: int) -> Column:
-        pairs = F.filter(F.arrays_zip(F.slice(a, start, count).alias("x"), F.slice(b, start, count).alias("y")), lambda p: (p["x"] != "") | (p["y"] != ""))
-        return F.try_divide(F.size(F.filter(pairs, lambda p: p["x"] == p["y"])).cast("double"), F.size(pairs).cast("double"))
+    fine, coarse = share("fine", FINE), share("coarse", COARSE)
+    return F.coalesce((fine + coarse) / 2, (a["whole"] == b["whole"]).cast("double"))
 
-    fine, coarse = share(2, len(FINE)), share(2 + len(FINE), len(COARSE))
-    return F.coalesce((fine + coarse) / 2, fine, coarse, (a[0] == b[0]).cast("double"))
 
+def with_next(docs: DataFrame, id_col: str, order: list[str], more: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """Add next_<column> of the row that follows by id (then `order`); after the last comes the first.
 
-def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
-    """Add next_<column> of the row that follows by id (then text); after the last comes the first.
+    `more` adds columns once rows have been dealt out, so that they are not shuffled.
 
     Rows are cut into runs of neighbouring ids at quantiles of the id, and evenly
     between them. Each run is ordered by itself and gets, as its end, the first rows
@@ -117,13 +124,15 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     placed = docs.withColumn("run_", run)
     firsts = placed.groupBy("run_").agg(F.min(id_col).alias("first_"))
     # one row for a run of RUN documents or so: few enough to order in one place
-    order = Window.orderBy("run_")
-    ends = firsts.select(F.col("first_"), F.lag("run_").over(order).alias("before_"), F.max("run_").over(Window.partitionBy()).alias("last_"), F.row_number().over(order).alias("k_"))
+    by_run = Window.orderBy("run_")
+    ends = firsts.select(F.col("first_"), F.lag("run_").over(by_run).alias("before_"), F.max("run_").over(Window.partitionBy()).alias("last_"), F.row_number().over(by_run).alias("k_"))
     ends = ends.select("first_", F.when(F.col("k_") == 1, F.col("last_")).otherwise(F.col("before_")).alias("run_"))
+    if n // RUN <= BROADCAST_RUNS:
+        ends = F.broadcast(ends)
     tail = docs.join(ends, docs[id_col].eqNullSafe(ends["first_"])).drop("first_").withColumn("end_", F.lit(1))
     whole = placed.withColumn("end_", F.lit(0)).unionByName(tail)
-    w = Window.partitionBy("run_").orderBy("end_", F.col(id_col).asc_nulls_first(), *[F.col(c) for c in columns])
-    ahead = whole.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    w = Window.partitionBy("run_").orderBy("end_", F.col(id_col).asc_nulls_first(), *order)
+    ahead = more(whole.repartition("run_")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return ahead.where("end_ = 0").drop("run_", "end_")
 
 
@@ -140,8 +149,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     store = Store(spark, "imatch")
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = store.keep(lookup(store.keep(lexicon(docs, "text", least, most), "lexicon")), "lookup")
-    own = with_hashes(docs.withColumn("lex_", table.scalar()), F.col("text"), "lex_", "own").drop("lex_")
-    near = with_next(own, "id", ["text", "own"]).withColumnRenamed("next_own", "next")
+    own = lambda df: with_hashes(df.withColumn("lex_", table.scalar()), F.col("text"), "lex_", "own").drop("lex_")
+    near = with_next(docs, "id", ["text"], own, ["text", "own"]).withColumnRenamed("next_own", "next")
     half = F.expr("cast(floor(char_length(text) / 2) as int)")
     edited = F.concat(F.substring("text", F.lit(1), F.char_length("text") - half), F.substring("next_text", F.lit(1), half))
     near = with_hashes(near.withColumn("edited", edited).withColumn("lex_", table.scalar()), F.col("edited"), "lex_", "changed")

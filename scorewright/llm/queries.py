@@ -32,23 +32,16 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEED = "array_to_string([{}], ' ')"
 _MASK_1 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 1, 3, 4, 6, 8)))
 _MASK_2 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 2, 3, 5, 7, 8)))
-_FINE = ", ".join(f"[{j}, 2]" for j in range(1, 32))
-_COARSE = ", ".join(f"[{j}, 1]" for j in range(1, 33, 2))
 
 
-def _subsets(digests: str) -> str:
-    """Hashes of the fine and coarse lexicon subsets of a list of MD5 digests."""
-    return f"""list_transform([{_FINE}, {_COARSE}], lambda r: list_filter({digests}, lambda m: substring(m, r[1], r[2]) < CASE WHEN r[2] = 2 THEN '02' ELSE '1' END))"""
-
-
-def _share(a: str, b: str, start: int, stop: int) -> str:
-    some = f"list_filter(range({start}, {stop + 1}), lambda i: {a}[i] <> '' OR {b}[i] <> '')"
-    return f"(CASE WHEN len({some}) > 0 THEN len(list_filter({some}, lambda i: {a}[i] = {b}[i]))::DOUBLE / len({some})::DOUBLE END)"
+def _share(a: str, b: str, kind: str, digits: int) -> str:
+    names = lambda h: f"list_transform({h}.{kind}, lambda x: left(x, {digits}))"
+    either = f"(len({a}.{kind}) + len({b}.{kind}) - len(list_intersect({names(a)}, {names(b)})))"
+    return f"(CASE WHEN {either} > 0 THEN len(list_intersect({a}.{kind}, {b}.{kind}))::DOUBLE / {either}::DOUBLE END)"
 
 
 def _likeness(a: str, b: str) -> str:
-    x, y = _share(a, b, 2, 32), _share(a, b, 33, 48)
-    return f"coalesce(({x} + {y}) / 2, {x}, {y}, CASE WHEN {a}[1] = {b}[1] THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"coalesce(({_share(a, b, 'fine', 2)} + {_share(a, b, 'coarse', 1)}) / 2, CASE WHEN {a}.whole = {b}.whole THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
 SQL = {
@@ -74,12 +67,32 @@ u AS (SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_al
 lex AS (SELECT term FROM u GROUP BY term HAVING count(*) >= greatest(2.0, 0.001 * (SELECT count(*) FROM x)) AND count(*) <= 0.2 * (SELECT count(*) FROM x)),
 v AS (SELECT doc_id, 1 AS k, text AS body FROM d UNION ALL SELECT doc_id, 2, edited FROM d UNION ALL SELECT doc_id, 3, following FROM d),
 w AS (SELECT DISTINCT doc_id, k, term, term IN (SELECT term FROM lex) AS inside FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v)),
-s AS (SELECT doc_id, k, coalesce(list(term ORDER BY term) FILTER (inside), list(term ORDER BY term)) AS ts FROM w GROUP BY doc_id, k),
-m AS (SELECT v.doc_id, v.k, coalesce(ts, []::VARCHAR[]) AS ts, list_transform(coalesce(ts, []::VARCHAR[]), lambda t: md5(t)) AS ms FROM v LEFT JOIN s USING (doc_id, k)),
-f AS (SELECT doc_id, k, list_concat([left(md5(array_to_string(ts, ' ')), 16)], list_transform({_subsets("ms")}, lambda c: CASE WHEN len(c) = 0 THEN '' ELSE left(md5(array_to_string(c, '')), 4) END)) AS fp FROM m)
-SELECT d.doc_id, d.n::BIGINT AS n_chars, sha256(d.edited) AS edited_sha256, array_to_string(a.fp, '.') AS fingerprint, array_to_string(b.fp, '.') AS edited_fingerprint,
-  {_likeness("a.fp", "b.fp")} AS near_edited, {_likeness("a.fp", "c.fp")} AS near_next
+p AS (SELECT doc_id, k, bool_or(inside) AS has_any FROM w GROUP BY doc_id, k),
+m AS (SELECT doc_id, k, left(md5(term), 8) AS g FROM w JOIN p USING (doc_id, k) WHERE inside = has_any),
+q AS (SELECT doc_id, k, string_agg(g, ' ' ORDER BY g) AS j FROM m GROUP BY doc_id, k),
+y AS (SELECT doc_id, k, left(g, 2) AS n, string_agg(g, '' ORDER BY g) AS r FROM m GROUP BY 1, 2, 3), z AS (SELECT doc_id, k, left(g, 1) AS n, string_agg(g, '' ORDER BY g) AS r FROM m GROUP BY 1, 2, 3),
+y2 AS (SELECT doc_id, k, list(n || left(md5(r), 3) ORDER BY n) AS fine FROM y GROUP BY 1, 2), z2 AS (SELECT doc_id, k, list(n || left(md5(r), 3) ORDER BY n) AS coarse FROM z GROUP BY 1, 2),
+f AS (SELECT v.doc_id, v.k, left(md5(coalesce(j, '')), 16) AS whole, coalesce(fine, []::VARCHAR[]) AS fine, coalesce(coarse, []::VARCHAR[]) AS coarse FROM v LEFT JOIN q USING (doc_id, k) LEFT JOIN y2 USING (doc_id, k) LEFT JOIN z2 USING (doc_id, k))
+SELECT d.doc_id, d.n::BIGINT AS n_chars, sha256(d.edited) AS edited_sha256, a.whole || '.' || array_to_string(a.fine, '') || '.' || array_to_string(a.coarse, '') AS fingerprint, b.whole || '.' || array_to_string(b.fine, '') || '.' || array_to_string(b.coarse, '') AS edited_fingerprint,
+  {_likeness("a", "b")} AS near_edited, {_likeness("a", "c")} AS near_next
 FROM d JOIN f a ON a.doc_id = d.doc_id AND a.k = 1 JOIN f b ON b.doc_id = d.doc_id AND b.k = 2 JOIN f c ON c.doc_id = d.doc_id AND c.k = 3
+""",
+    "op5_lm_scoring": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, true AS good FROM labels WHERE quality = 1),
+t AS (SELECT doc_id, p, ws[p] AS w, coalesce(good, false) AS good FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) LEFT JOIN g USING (doc_id)),
+n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM t),
+v AS (SELECT w, w AS x FROM t GROUP BY w HAVING count(*) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT n FROM n))),
+u AS (SELECT doc_id, p, good, coalesce(x, chr(1)) AS x FROM t LEFT JOIN v USING (w)),
+b AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY p), chr(2)) AS y FROM u),
+c AS (SELECT x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM u GROUP BY x),
+o AS (SELECT y, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM b GROUP BY y),
+q AS (SELECT y, x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM b GROUP BY y, x HAVING count(*) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT n FROM n)) OR count(*) FILTER (good) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT g FROM n))),
+z AS (SELECT (count(*) + 1)::DOUBLE AS z FROM v),
+l AS (SELECT b.doc_id, -ln((coalesce(q.g, 0) + 2.0::DOUBLE * ((c.g + 1) / (n.g + z))) / (o.g + 2.0::DOUBLE)) AS lt, -ln((coalesce(q.n, 0) + 2.0::DOUBLE * ((c.n + 1) / (n.n + z))) / (o.n + 2.0::DOUBLE)) AS lb
+  FROM b JOIN c ON c.x = b.x JOIN o ON o.y = b.y LEFT JOIN q ON q.x = b.x AND q.y = b.y, n, z),
+m AS (SELECT doc_id, count(*) AS k, avg(lt) AS lt, avg(lb) AS lb FROM l GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS difference FROM d LEFT JOIN m USING (doc_id)
 """,
     "op7_suffix_array_dedup": """
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
