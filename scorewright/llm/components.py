@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from scorewright.llm.common import Store
 
 
-def _hook(edges: DataFrame, larger_only: bool) -> DataFrame:
+def _hook(edges: DataFrame, larger_only: bool, store: Store) -> DataFrame:
     """Tie each node's neighbours to the least of them and itself.
 
-    Minima come from a partial aggregate and meet the edges in a join, so a node
-    with very many neighbours is never gathered in one place.
+    Minima come from a partial aggregate, are written, and meet the edges in a join
+    that can be split, so a node with very many neighbours is never gathered in one place.
     """
-    least = edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
+    least = store.keep(edges.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m")), "least")
     joined = edges.join(least, edges["u"] == least["n"])
     if larger_only:
         return joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -33,10 +33,10 @@ def components(edges: DataFrame, store: Store, a: str = "a", b: str = "b") -> Da
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _hook(both, True).where("u <> v").distinct()
+        large = _hook(both, True, store).where("u <> v").distinct()
         # small-star: each node's neighbours that are not larger; edges run from larger to smaller
-        large = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        small = _hook(large, False).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        large = store.keep(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "large")
+        small = _hook(large, False, store).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         after = store.keep(small, "star")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         store.drop(now)

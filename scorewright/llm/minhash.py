@@ -108,14 +108,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()), _lists(keys, pa.int64())], names=["id", "n", "h1", "h2", "bands"])
 
     members = store.keep(docs.mapInArrow(sketch, "id long, n long, h1 long, h2 long, bands array<long>"), "members")
-    classes = members.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.first("bands").alias("bands"))
+    classes = store.keep(members.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.first("bands").alias("bands")), "classes")
     placed = classes.select("cls", F.posexplode("bands").alias("band", "key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # recurring keys are written before rows meet them: joins of two tables can be split at a frequent key
+    shared = store.keep(placed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     buckets = store.keep(placed.join(shared, "key"), "buckets")
 
     # One hub for each bucket: the member that lies in the fullest buckets.
     weight = buckets.groupBy("cls").agg(F.sum("size").alias("weight"))
-    hubs = buckets.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cls")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+    hubs = store.keep(buckets.join(weight, "cls").groupBy("key").agg(F.max(F.struct("weight", (-F.col("cls")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub")), "hubs")
     stars = buckets.join(hubs, "key").where("cls <> hub").select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +153,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     links = store.keep(confirmed(stars), "links")
     comp = store.keep(components(links, store), "components")
-    few, many = _unsettled(buckets, comp, sets, rows, bands, least, threshold)
+    few, many = _unsettled(buckets, comp, sets, rows, bands, least, threshold, store.keep)
     more = store.keep(exact(few).unionByName(many), "more")
     if not more.isEmpty():
         comp = store.keep(components(links.unionByName(more), store), "components")
 
-    label = classes.select("h1", "h2", "cls").join(comp, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component"))
+    label = store.keep(classes.select("h1", "h2", "cls").join(comp, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component")), "labels")
     # An id that stands in several classes ties them.
     out = members.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
@@ -181,7 +182,7 @@ def _equal_lanes(left: pa.Array, right: pa.Array, lanes: int) -> np.ndarray:
     return (_matrix(left.to_pylist(), lanes) == _matrix(right.to_pylist(), lanes)).sum(axis=1)
 
 
-def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int, bands: int, least: int, threshold: int) -> tuple[DataFrame, DataFrame]:
+def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int, bands: int, least: int, threshold: int, keep) -> tuple[DataFrame, DataFrame]:
     """Pairs of one bucket that lie in different components: those of small buckets with like signatures, and the links of larger ones.
 
     Each such pair has a member outside its bucket's most frequent component, so
@@ -191,6 +192,7 @@ def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int,
     lanes = rows * bands
     at = buckets.join(comp, buckets["cls"] == comp["node"], "left").select("key", "band", "size", "cls", F.coalesce("component", "cls").alias("comp"))
     main = at.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", (-F.col("comp")).alias("minus"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1").select("key", (-F.col("top.minus")).alias("main"))
+    main = keep(main, "main")
     at = at.join(main, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / BLOCK).cast("long")))
 
     def paired(df: DataFrame, *columns: str) -> DataFrame:

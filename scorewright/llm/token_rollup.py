@@ -133,6 +133,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = events(seen, "insert", "n_text")
     revised = events(seen.where("n_flat <> n_text"), "revise", "n_flat").where("version = 'byte_bpe_50k'")
     least = seen.where("body is not null").groupBy("body").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    least.write.parquet(f"{base}/repeated")
+    least = spark.read.schema(least.schema).parquet(f"{base}/repeated")
     copies = events(seen.join(least, "body").where("doc_id <> first"), "delete", "n_text")
     rollup = Rollup(spark, base)
     for number, batch in ((1, first), (2, revised), (3, copies), (1, first)):
