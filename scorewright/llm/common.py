@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTF-8 bytes that one Arrow batch of texts may hold; long texts make batches shorter.
 BATCH_BYTES = 8 << 20
@@ -32,7 +32,14 @@ class Store:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write `df` and read it back: its lineage ends here."""
+        """Write `df` and read it back: its lineage ends here.
+
+        Shuffle files of what was kept before go first: Spark deletes them once the
+        driver's collector has found that nothing refers to them.
+        """
+        if self.n:
+            gc.collect()
+            self.spark._jvm.System.gc()
         self.n += 1
         path = f"{self.path}/{self.n}-{name}"
         df.write.parquet(path)
@@ -53,11 +60,3 @@ def arrow_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     except Exception:  # older Spark: the row bound alone
         pass
-
-
-def same_row(left: DataFrame, right: DataFrame, *keys: str) -> Column:
-    """Null-safe equality of the key columns."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on

@@ -93,12 +93,12 @@ def compacted(edges: DataFrame, store: Store) -> DataFrame:
 def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int = GRAM) -> DataFrame:
     """Window starts that repeat, joined to spans along the compacted paths: id, th, first, last."""
     rows = store.keep(W.super_rows(docs, "words", length, k), "rows")
-    again = store.keep(W.repeated_rows(rows), "candidates")
+    again = store.keep(W.repeated_rows(rows, store), "candidates")
     store.drop(rows)
-    classes = store.keep(W.classes_of(again), "classes")
+    classes = store.keep(W.classes_of(again, store), "classes")
     found = store.keep(edges_of(classes, docs, length), "edges")
     windows = found.where("not whole")
-    single = store.keep(W.shared_windows(windows), "single")
+    single = store.keep(W.shared_windows(windows, store), "single")
     edge = F.xxhash64("fp", "key").alias("edge")
     edges = found.where("whole").unionByName(single).select(edge, "tail", "tip", "size").dropDuplicates(["edge"])
     paths = store.keep(compacted(store.keep(edges, "distinct"), store), "unitigs")
@@ -106,7 +106,11 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int =
     placed = placed.unionByName(single.select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"), edge))
     spans = placed.join(paths, "edge").groupBy("id", "th", "path", (F.col("first") - F.col("shift")).alias("line")).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.collect_set(F.struct("first", "last")).alias("pieces"))
     gapless = F.col("n") == F.col("b") - F.col("a") + 1
-    return spans.select("id", "th", F.explode(F.when(gapless, F.array(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).otherwise(F.col("pieces"))).alias("r")).select("id", "th", "r.first", "r.last")
+    spans = spans.select("id", "th", F.explode(F.when(gapless, F.array(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).otherwise(F.col("pieces"))).alias("r")).select("id", "th", "r.first", "r.last")
+    spans = store.keep(spans, "spans")
+    for table in (again, classes, found, single, paths):
+        store.drop(table)
+    return spans
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:

@@ -30,7 +30,7 @@ class SuffixIndex:
     """Levels of suffix arrays; add() takes batches of documents (id, th, text)."""
 
     def __init__(self, store: Store, length: int = LENGTH):
-        self.store, self.length, self.k = store, length, length // 2
+        self.store, self.length, self.k = store, length, length // 4
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
 
@@ -44,7 +44,7 @@ class SuffixIndex:
         self.store.drop(raw)
         self.found.append(self._keep_starts(array.groupBy("head", "fp").agg(F.count("*").alias("c")).where("c > 1")))
         for _, level in self.levels:
-            self.found.append(self._keep_starts(_starts(array).join(_starts(level), ["head", "fp"], "left_semi")))
+            self.found.append(self._keep_starts(_starts(array).join(W.alike(_starts(level)), ["head", "fp"], "left_semi")))
         while self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
             merged = self._sorted(array.unionByName(level))
@@ -64,7 +64,7 @@ class SuffixIndex:
         rows = self.levels[0][1]
         for _, level in self.levels[1:]:
             rows = rows.unionByName(level)
-        return rows.join(starts.distinct(), ["head", "fp"], "left_semi")
+        return rows.join(W.alike(self.store.keep(starts.distinct(), "all")), ["head", "fp"], "left_semi")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -112,12 +112,14 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 def repeated_ranges(rows: DataFrame, docs: DataFrame, store: Store, unit: str, length: int) -> DataFrame:
-    """Window starts that repeat (id, th, first, last) among candidate rows."""
-    classes = store.keep(W.classes_of(rows), "classes")
-    whole = rows.join(classes.where("n > 1").select("fp", "sx"), ["fp", "sx"], "left_semi").select("id", "th", "first", "last")
-    windows = store.keep(W.compared(classes, docs, unit, length), "windows")
-    some = W.shared_windows(windows).select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.unionByName(some)
+    """Window starts that repeat (id, th, first, last) among candidate rows, whose table goes when they are found."""
+    classes = store.keep(W.classes_of(rows, store), "classes")
+    whole = rows.join(W.alike(classes.where("n > 1").select("fp", "sx")), ["fp", "sx"], "left_semi").select("id", "th", "first", "last")
+    runs = store.keep(W.short_runs(classes, docs, unit, length), "runs")
+    ranges = store.keep(whole.unionByName(W.shared_ranges(runs, docs, store, unit, length)), "ranges")
+    for table in (rows, classes, runs):
+        store.drop(table)
+    return ranges
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ of the whole stretch (`sx`). Equal windows have equal `fp`, so
 * rows whose `fp` stands alone are done with: nothing of them repeats;
 * rows with one (`fp`, `sx`) are equal throughout: all of their windows repeat;
 * for the rest, one representative of each class is compared with the other
-  classes of its `fp` window by window, by hash.
+  classes of its `fp` in short runs of windows: runs with an equal stretch repeat
+  throughout, runs whose common middle stands alone repeat nowhere, and only where
+  the middle is shared but the stretch is not are single windows compared.
 
 Hashes of `fp` and window or stretch together have 128 bits. Counting uses partial
 aggregates and the rest are equi-joins, so very frequent stretches are never gathered.
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.llm import rolling as R
-from scorewright.llm.common import Store, same_row
+from scorewright.llm.common import Store
 
 ROW = "id long, th long, first int, last int, off int, fp long, sx long"
 
@@ -71,49 +73,120 @@ def super_rows(docs: DataFrame, unit: str, length: int, k: int, head: bool = Fal
     return docs.mapInArrow(task, ROW + ", head long" * head)
 
 
-def repeated_rows(rows: DataFrame) -> DataFrame:
-    """Rows whose minimizer stands elsewhere too."""
-    often = rows.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
-    return rows.join(often, "fp", "left_semi")
+def alike(keys: DataFrame) -> DataFrame:
+    """Keys to join by a shuffle, few or many: they grow with the rows, and a small input should cost as a large one does."""
+    return keys.hint("merge")
 
 
-def classes_of(rows: DataFrame) -> DataFrame:
+def repeated_rows(rows: DataFrame, store: Store) -> DataFrame:
+    """Rows whose minimizer stands elsewhere too.
+
+    Here as below, the keys that recur are written before rows meet them: a join of two
+    tables, unlike one with an aggregate, can be split where a key is frequent.
+    """
+    often = store.keep(rows.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "often")
+    return rows.join(alike(often), "fp", "left_semi")
+
+
+def classes_of(rows: DataFrame, store: Store) -> DataFrame:
     """One row per class of equal stretches: how many, and the least place as its representative."""
-    classes = rows.groupBy("fp", "sx").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last", "off")).alias("rep"))
-    kinds = classes.groupBy("fp").agg(F.count("*").alias("kinds"))
-    return classes.join(kinds, "fp").select("fp", "sx", "n", "kinds", "rep.*")
+    classes = store.keep(rows.groupBy("fp", "sx").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "first", "last", "off")).alias("rep")), "counted")
+    kinds = store.keep(classes.groupBy("fp").agg(F.count("*").alias("kinds")), "kinds")
+    return classes.join(alike(kinds), "fp").select("fp", "sx", "n", "kinds", "rep.*")
+
+
+#: Windows of a run that is compared as one.
+RUN = 16
 
 
-def compared(classes: DataFrame, docs: DataFrame, unit: str, length: int) -> DataFrame:
-    """Windows of single rows that some other class has as well: fp, sx, id, th, at (window start)."""
-    wanted = classes.where("kinds > 1").groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "fp", "sx", "n")).alias("runs"))
+def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """Documents (id, th, text) that have a list (id, th, runs), with it."""
     source = docs.withColumnsRenamed({"id": "id_", "th": "th_"})
-    told = source.join(wanted, source["id_"].eqNullSafe(wanted["id"]) & (source["th_"] == wanted["th"])).select("id", "th", "text", "runs")
+    return source.join(lists, source["id_"].eqNullSafe(lists["id"]) & (source["th_"] == lists["th"])).select("id", "th", "text", "runs")
+
+
+def _spread(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches of these sizes, one after another: the stretch of each element and its place in it."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+
+
+def _listed(batch: pa.RecordBatch, chunk: R.Chunk, unit: str) -> tuple[Symbols, R.Poly, pa.StructArray, np.ndarray]:
+    """Symbols and hashes of a chunk, its documents' list entries, and the document of each entry."""
+    sym = Symbols(chunk, unit)
+    own = batch["runs"].slice(chunk.lo, chunk.hi - chunk.lo)
+    return sym, R.Poly(sym.hash), own.flatten(), np.repeat(np.arange(chunk.hi - chunk.lo), own.value_lengths().to_numpy())
+
+
+def short_runs(classes: DataFrame, docs: DataFrame, unit: str, length: int) -> DataFrame:
+    """Runs of at most RUN windows of the representatives of classes that have others of their `fp` beside them.
+
+    Columns: id, th, at (first window), count (windows), n (of the class), fp, whole
+    (hash of the stretch), core (hash of what all windows of a full run at this place
+    have in common). Runs are cut at distances from the minimizer, so equal windows lie
+    in runs with equal cores.
+    """
+    wanted = classes.where("kinds > 1").groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "off", "fp", "n")).alias("runs"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch["runs"]
             for chunk in R.chunks(batch["text"]):
-                sym = Symbols(chunk, unit)
-                poly = R.Poly(sym.hash)
-                own = runs.slice(chunk.lo, chunk.hi - chunk.lo)
-                flat, doc = own.flatten(), np.repeat(np.arange(chunk.hi - chunk.lo), own.value_lengths().to_numpy())
-                first, last = (flat.field(c).to_numpy() for c in ("first", "last"))
-                size = last - first + 1
-                which = np.repeat(np.arange(len(size)), size)
-                at = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + first[which]
+                sym, poly, flat, doc = _listed(batch, chunk, unit)
+                first, last, off, fp, n = (flat.field(c).to_numpy() for c in ("first", "last", "off", "fp", "n"))
+                which, nth = _spread(last - first + 1)
+                at = nth + first[which]
+                away = first[which] + off[which] - at  # from the window's start to the minimizer
+                block = away // RUN
+                head = np.flatnonzero(np.concatenate(([True], (which[1:] != which[:-1]) | (block[1:] != block[:-1])))) if len(which) else which
+                count = np.diff(np.concatenate((head, [len(which)])))
+                which, at, away, block = which[head], at[head], away[head], block[head]
+                salt = R.mix(fp.view(np.uint64)[which])
+                start = sym.offsets[doc[which]] + at
+                tag = R.mix((block.astype(np.uint64) << np.uint64(32)) | (away % RUN * RUN + count).astype(np.uint64))
+                whole = R.mix(poly.of(start, start + count - 1 + length) ^ salt ^ tag)
+                low = start + away - RUN * block  # the last start of a full run here
+                core = R.mix(poly.of(low, low - RUN + 1 + length) ^ salt ^ R.mix(block.astype(np.uint64)))
+                row = pa.array(doc[which] + chunk.lo)
+                yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(n[which]), pa.array(fp[which]), pa.array(R.signed(whole)), pa.array(R.signed(core))], names=["id", "th", "at", "count", "n", "fp", "whole", "core"])
+
+    return _with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, count int, n long, fp long, whole long, core long")
+
+
+def single_windows(runs: DataFrame, docs: DataFrame, unit: str, length: int) -> DataFrame:
+    """Each window of the runs with its hash: id, th, at, n, core, whole, key."""
+    wanted = runs.groupBy("id", "th").agg(F.collect_list(F.struct("at", "count", "n", "fp", "whole", "core")).alias("runs"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in R.chunks(batch["text"]):
+                sym, poly, flat, doc = _listed(batch, chunk, unit)
+                first, count, fp = (flat.field(c).to_numpy() for c in ("at", "count", "fp"))
+                which, nth = _spread(count)
+                at = nth + first[which]
                 place = sym.offsets[doc[which]] + at
-                key = R.mix(poly.of(place, place + length) ^ flat.field("fp").to_numpy().view(np.uint64)[which])
-                row, which = pa.array(doc[which] + chunk.lo), pa.array(which)
-                yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(at.astype(np.int32)), pa.array(R.signed(key)), *(flat.field(c).take(which) for c in ("fp", "sx", "n"))], names=["id", "th", "at", "key", "fp", "sx", "n"])
+                key = R.mix(poly.of(place, place + length) ^ R.mix(fp.view(np.uint64)[which]))
+                row, pick = pa.array(doc[which] + chunk.lo), pa.array(which)
+                yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(at.astype(np.int32)), *(flat.field(c).take(pick) for c in ("n", "core", "whole")), pa.array(R.signed(key))], names=["id", "th", "at", "n", "core", "whole", "key"])
+
+    return _with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, n long, core long, whole long, key long")
+
 
-    return told.mapInArrow(task, "id long, th long, at int, key long, fp long, sx long, n long")
+def shared_ranges(runs: DataFrame, docs: DataFrame, store: Store, unit: str, length: int) -> DataFrame:
+    """Windows of single classes (n = 1) that another class has too: id, th, first, last."""
+    kinds = store.keep(runs.groupBy("core", "whole").agg(F.sum("n").alias("copies")), "stretches")
+    full = runs.where("n = 1").join(alike(kinds.where("copies > 1").select("core", "whole")), ["core", "whole"], "left_semi").select("id", "th", F.col("at").alias("first"), (F.col("at") + F.col("count") - 1).alias("last"))
+    cores = store.keep(kinds.groupBy("core").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("core"), "cores")
+    opened = store.keep(runs.join(alike(cores), "core", "left_semi"), "opened")
+    single = store.keep(single_windows(opened, docs, unit, length), "windows")
+    twice = store.keep(single.groupBy("core", "key").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b").select("core", "key"), "twice")
+    some = single.where("n = 1").join(alike(twice), ["core", "key"], "left_semi").select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"))
+    return full.unionByName(some)
 
 
-def shared_windows(windows: DataFrame) -> DataFrame:
+def shared_windows(windows: DataFrame, store: Store) -> DataFrame:
     """Windows of single rows whose content another class has too."""
-    twice = windows.groupBy("key", "fp").agg(F.count("*").alias("c")).where("c > 1").select("key", "fp")
-    return windows.where("n = 1").join(twice, ["key", "fp"], "left_semi")
+    twice = store.keep(windows.groupBy("key", "fp").agg(F.count("*").alias("c")).where("c > 1").select("key", "fp"), "twice")
+    return windows.where("n = 1").join(alike(twice), ["key", "fp"], "left_semi")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
