@@ -188,10 +188,9 @@ def article_texts(spark, sf_dir):
 
 @query(None)
 def link_claims_extracted(spark, sf_dir):
-    from scorewright.plans.texts import NEWS_SENTENCES, REPORT_SENTENCES
+    from scorewright.plans.texts import news, reports
 
-    schema = "document_id string, text string"
-    return C.link_claims_of(spark.createDataFrame(REPORT_SENTENCES, schema), "mda").unionByName(C.link_claims_of(spark.createDataFrame(NEWS_SENTENCES, schema), "news"))
+    return C.link_claims_of(reports(spark, sf_dir), "mda").unionByName(C.link_claims_of(news(spark, sf_dir), "news"))
 
 
 @query(None)

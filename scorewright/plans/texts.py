@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 #: Words of the test corpora that stand for the categories of a real dictionary.
 CATEGORIES = {"articles": ["the", "der", "les", "los"], "links": ["and", "und", "et", "con"], "places": ["in", "dans", "from", "por"], "marks": ["%", "|"]}
-#: Sentences that the English rules are checked on.
+#: Sentences that tests check the English rules on.
 REPORT_SENTENCES = [
     ("R1", "Revenue increased by 20% from RM100 million to RM120 million due to higher export demand and lower raw material cost."),
     ("R2", "Profit decreased because packaging costs rose. The group expects a cautious outlook."),
@@ -198,13 +198,23 @@ def relevance_mode_summary(spark, sf_dir):
     return both.groupBy("filter_mode").agg(F.count("*").alias("articles"), F.count_if(i == "Yes").alias("included"), F.count_if(i == "Manual").alias("manual"), F.count_if(s == "duplicate").alias("duplicates"), F.count_distinct(F.when(i == "Yes", s)).alias("included_kinds"))
 
 
-def _report_claims(spark):
-    return C.extracted(spark.createDataFrame(REPORT_SENTENCES, "document_id string, text string"), "mda")
+def reports(spark, sf_dir):
+    """Every document as a report."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+
+
+def news(spark, sf_dir):
+    """Every turn of a conversation as a news text of its own, so that a long conversation is no large group."""
+    return table(spark, sf_dir, "conversations").select(F.format_string("%s_T%s", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document_id"), "text")
+
+
+def _report_claims(spark, sf_dir):
+    return C.extracted(reports(spark, sf_dir), "mda")
 
 
 @query(None)
 def claims_extracted(spark, sf_dir):
-    return _report_claims(spark).unionByName(C.extracted(spark.createDataFrame(NEWS_SENTENCES, "document_id string, text string"), "news"))
+    return _report_claims(spark, sf_dir).unionByName(C.extracted(news(spark, sf_dir), "news"))
 
 
 _UP = "|".join(C.UP_WORDS)
@@ -219,7 +229,7 @@ UNION ALL SELECT 'financial_claim', l FROM l WHERE regexp_matches(l, 'revenue|pr
 SELECT claim_type, CASE WHEN claim_type = 'risk_claim' OR claim_type = 'strategy_claim' THEN 'neutral' WHEN regexp_matches(l, '{_UP}') THEN 'increase' WHEN regexp_matches(l, '{_DOWN}') THEN 'decrease' ELSE 'neutral' END AS direction, count(*) AS n FROM c GROUP BY 1, 2""")
 def claim_type_counts(spark, sf_dir):
     """Claims by type and direction, but for causal ones."""
-    return _report_claims(spark).where("claim_type <> 'causal_claim'").groupBy("claim_type", "direction").agg(F.count("*").alias("n"))
+    return _report_claims(spark, sf_dir).where("claim_type <> 'causal_claim'").groupBy("claim_type", "direction").agg(F.count("*").alias("n"))
 
 
 _TURNS = "x AS (SELECT conv_id AS document_id, role, turn, text, 1 + (length(text) + turn) % 5 AS score FROM conversations)"
@@ -325,7 +335,7 @@ def json_repair(spark, sf_dir):
 
 @query(None)
 def numeric_change_checks(spark, sf_dir):
-    return N.numeric_checks(spark.createDataFrame(REPORT_SENTENCES, "document_id string, text string"))
+    return N.numeric_checks(reports(spark, sf_dir))
 
 
 @query(None)
