@@ -26,8 +26,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that with the least id; of rows equal in id and text, one."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
+    """One document of each near-duplicate group (five-word sets, 0.8) stays, that with the least id; of rows equal in id and text, one."""
+    gone = near_duplicates(docs, width=5, threshold=80).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
     left = docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
     w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     return left.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1 or doc_id is null").select(*COLUMNS)
