@@ -3,6 +3,7 @@
 from collections import Counter
 
 from scorewright.operators import claims, numeric
+from scorewright.operators.registry import EVIDENCE_WORDS
 from scorewright.plans.registry import QUERIES
 from scorewright.plans.texts import NEWS_SENTENCES, REPORT_SENTENCES
 
@@ -22,3 +23,17 @@ def test_claims_come_from_all_documents_and_turns(spark, tmp_path):
     assert rows(run("numeric_change_checks")) == rows(numeric.numeric_checks(reports))
     counts = Counter((r["claim_type"], r["direction"]) for r in claims.extracted(reports, "mda").collect() if r["claim_type"] != "causal_claim")
     assert {(r["claim_type"], r["direction"]): r["n"] for r in run("claim_type_counts").collect()} == counts
+
+
+def test_evidence_counts_wherever_it_stands(spark, tmp_path):
+    rows = [(1, "x" * 300 + " " + " ".join(EVIDENCE_WORDS["AR04"][:2])), (2, "x" * 300), (3, None), (4, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["status"] for r in QUERIES["evidence_semantics"](spark, str(tmp_path)).collect()}
+    assert got == {1: "strong", 2: "weak", 3: "not_checkable", 4: "not_checkable"}
+
+
+def test_lookup_covers_all_orders(spark, tmp_path):
+    spark.createDataFrame([(299,), (300,), (70_000,), (5,)], "o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 300, 9), (2, 300, 300 % 7), (3, 70_000, 9), (4, 299, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["p"], r["k"]) for r in QUERIES["two_pass_lookup"](spark, str(tmp_path)).collect()}
+    assert got == {(299, 4), (300, 2), (70_000, 3), (5, None)}
