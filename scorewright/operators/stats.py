@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,12 +117,18 @@ def _fraction(x: float, a: float, b: float) -> float:
     return value
 
 
-def bootstrap_interval(df: DataFrame, value: str, groups: list[str], order: str, *, rounds: int = 500, seed: int = 42, least: int = 5) -> DataFrame:
+#: Rows from which a group is resampled row by row instead of in one task.
+LARGE_GROUP = 10_000
+
+
+def bootstrap_interval(df: DataFrame, value: str, groups: list[str], order: str, *, rounds: int = 500, seed: int = 42, least: int = 5, large: int = LARGE_GROUP) -> DataFrame:
     """Percentile bootstrap of group means: groups, n, low, high; null bounds under `least` rows.
 
-    Resampling draws by position from the group's values in `order`, with a generator
-    of a fixed seed for each group, so results do not depend on partitioning. A group
-    is one company's year: small by nature.
+    Groups under `large` rows draw by position from the group's values in `order`, with
+    a generator of a fixed seed for each group. Larger groups have another generator:
+    each row has a Poisson(1) weight in each round, from a hash of seed, group, order,
+    value and round, and sums of weights combine before the shuffle, so no task holds a
+    group. Results do not depend on partitioning. `order` is distinct in a group.
     """
     import pandas as pd
 
@@ -138,4 +145,23 @@ def bootstrap_interval(df: DataFrame, value: str, groups: list[str], order: str,
         return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), len(x), low, high]], columns=[*groups, "n", "low", "high"])
 
     schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    return df.select(*groups, order, value).groupBy(*groups).applyInPandas(resample, f"{schema}, n long, low double, high double")
+    rows = df.select(*groups, order, value)
+    # at most one row for `large` rows of the table
+    big = F.broadcast(rows.groupBy(*groups).agg(F.count("*").alias("n_")).where(F.col("n_") >= large).select(*[F.col(g).alias(f"big_{g}") for g in groups], "n_"))
+    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"big_{g}")) for g in groups])
+    small = rows.join(big, on, "left_anti").groupBy(*groups).applyInPandas(resample, f"{schema}, n long, low double, high double")
+    return small.unionByName(_poisson_interval(rows.join(big, on), value, groups, order, rounds, seed))
+
+
+def _poisson_interval(rows: DataFrame, value: str, groups: list[str], order: str, rounds: int, seed: int) -> DataFrame:
+    """Interval of rows that carry their group's size n_, from a weight for each row and round."""
+    drawn = rows.select(*groups, "n_", F.col(value).cast("double").alias("x_"), F.xxhash64(F.lit(seed), *groups, order, value).alias("h_"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round_"))
+    u = F.shiftrightunsigned(F.xxhash64("h_", "round_"), 11) / float(1 << 53)
+    drawn = drawn.select(*groups, "n_", "x_", "round_", u.alias("u_"))
+    # thresholds of the distribution function; what lies beyond is under the step of u
+    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
+    w = reduce(lambda a, b: a + b, [(F.col("u_") >= c).cast("int") for c in steps])
+    weighed = drawn.select(*groups, "n_", "x_", "round_", w.alias("w_")).where("w_ > 0")
+    means = weighed.groupBy(*groups, "n_", "round_").agg((F.sum(F.col("w_") * F.col("x_")) / F.sum("w_")).alias("mean_"))
+    lists = means.groupBy(*groups).agg(F.max("n_").alias("n"), F.sort_array(F.collect_list("mean_")).alias("l_"))
+    return lists.select(*groups, "n", F.round(F.get("l_", F.lit(int(0.025 * rounds))), 6).alias("low"), F.round(F.get("l_", F.lit(min(rounds - 1, int(0.975 * rounds)))), 6).alias("high"))
