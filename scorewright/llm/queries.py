@@ -29,11 +29,6 @@ QUERIES = {
 _WORD = r"[^\x20\x09-\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_SEED = "array_to_string([{}], ' ')"
-_MASK_1 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 1, 3, 4, 6, 8)))
-_MASK_2 = _SEED.format(", ".join(f"ws[p + {o}]" for o in (0, 2, 3, 5, 7, 8)))
-
-
 def _share(a: str, b: str, kind: str, digits: int) -> str:
     names = lambda h: f"list_transform({h}.{kind}, lambda x: left(x, {digits}))"
     either = f"(len({a}.{kind}) + len({b}.{kind}) - len(list_intersect({names(a)}, {names(b)})))"
@@ -45,19 +40,19 @@ def _likeness(a: str, b: str) -> str:
 
 
 SQL = {
-    "op1_benchmark_decontamination": f"""
-WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS ws FROM benchmark),
-tp AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 7)) AS p FROM t),
-bp AS (SELECT item_id, ws, unnest(range(1, len(ws) - 7)) AS p FROM b),
-ts AS (SELECT doc_id, p, 1 AS m, {_MASK_1} AS s FROM tp UNION ALL SELECT doc_id, p, 2, {_MASK_2} FROM tp),
-bs AS (SELECT item_id, p, 1 AS m, {_MASK_1} AS s FROM bp UNION ALL SELECT item_id, p, 2, {_MASK_2} FROM bp),
-h AS (SELECT DISTINCT doc_id, item_id, ts.p - bs.p AS shift FROM ts JOIN bs USING (m, s)),
+    # no masks here: an overlap with so few substitutions has this many pairs of neighbours that are equal
+    "op1_benchmark_decontamination": """
+WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS ws FROM benchmark),
+tp AS (SELECT doc_id, p, ws[p] AS x, CASE WHEN p < len(ws) THEN ws[p + 1] END AS y FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM t)),
+bp AS (SELECT item_id, n, p, ws[p] AS x, CASE WHEN p < n THEN ws[p + 1] END AS y FROM (SELECT item_id, ws, len(ws) AS n, unnest(range(1, len(ws) + 1)) AS p FROM b)),
+h AS (SELECT doc_id, item_id, tp.p - bp.p AS shift FROM tp JOIN bp ON tp.x = bp.x AND tp.y = bp.y GROUP BY 1, 2, 3, n HAVING count(*) >= CASE WHEN n >= 13 THEN 6 WHEN n >= 9 THEN n - 7 ELSE n - 1 END
+  UNION ALL SELECT doc_id, item_id, tp.p - 1 FROM tp JOIN bp ON tp.x = bp.x AND n = 1),
 e AS (SELECT h.doc_id, h.item_id, len(b.ws) AS n, least(13, len(b.ws)) AS width,
   list_transform(range(1, len(b.ws) + 1), lambda k: CASE WHEN k + shift >= 1 AND k + shift <= len(t.ws) AND b.ws[k] = t.ws[k + shift] THEN 1 ELSE 0 END) AS same
   FROM h JOIN t USING (doc_id) JOIN b USING (item_id)),
 g AS (SELECT doc_id, item_id, n, width, list_sum(same) AS equal, list_max(list_transform(range(1, n - width + 2), lambda k: list_sum(same[k : k + width - 1]))) AS best FROM e)
-SELECT doc_id, item_id, max(equal)::BIGINT AS n_equal, max(n)::BIGINT AS n_tokens, max(best)::BIGINT AS best_window FROM g WHERE best >= width - 3 GROUP BY doc_id, item_id
+SELECT doc_id, item_id, max(equal)::BIGINT AS n_equal, max(n)::BIGINT AS n_tokens, max(best)::BIGINT AS best_window FROM g WHERE best >= width - CASE WHEN width >= 9 THEN 3 ELSE 0 END GROUP BY doc_id, item_id
 """,
     "op4_imatch_fingerprints": f"""
 WITH x AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
