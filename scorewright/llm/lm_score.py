@@ -1,13 +1,19 @@
 """Cross-entropy difference of documents between two matched bigram models.
 
 The target model counts the documents that the labels mark as good, the background
-model all documents. Both share one vocabulary (words of at least WORD_SHARE of the
-background's tokens; all others are one unknown word), one set of bigrams and one
-smoothing: P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v) + STRENGTH), with
-P(w) = (c(w) + 1) / (N + V). A bigram is kept where it makes up at least PAIR_SHARE of
-the tokens of either model's corpus, so the tables have at most 1 / WORD_SHARE words
-and 2 / PAIR_SHARE bigrams, whatever the corpus; that bound is what lets them be sent
-to all tasks. Counts cover every token of every document.
+model all documents. Both share one vocabulary (every word of the background, and one
+place for unseen words), all bigrams and one smoothing:
+P(w | v) = (c(v, w) + STRENGTH * P(w)) / (c(v) + STRENGTH), with
+P(w) = (c(w) + 1) / (N + V). What follows a text's last word is its end, so c(v) counts
+every v; before a text's first word stands its start. Every token of every document counts, nothing is pruned,
+and no count is ever gathered in the driver: the tables grow with the corpus.
+
+Documents are dealt by hash into blocks of about BLOCK_BYTES. A block counts its own
+words and bigrams first, so one row per (key, block) is shuffled rather than one per
+token; a running sum over each key's blocks gives the corpus counts, and those of keys
+that other blocks have too go back to each block that asked. A key has at most as many
+rows as there are blocks, whatever its frequency. A block then scores its documents from
+what came back and its own counts. Keys are 62-bit hashes.
 """
 
 from __future__ import annotations
@@ -16,150 +22,173 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.llm import rolling as R
 from scorewright.llm.common import Store, arrow_batches, documents
 
-WORD_SHARE = 1e-6
-PAIR_SHARE = 1e-6
 STRENGTH = 2.0
-#: Number of the word before a document's first.
-START = -1
-
-
-class Vocabulary:
-    """Word hashes in order; a word's number is its place, the unknown word's the size."""
-
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes)
-
-    def numbers(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, hashes)
-        known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        return np.where(known, at, len(self.hashes)).astype(np.int64)
-
-
-def bigrams(words: R.Words, vocabulary: Vocabulary) -> np.ndarray:
-    """(word before) * 2**32 + word of each token; START before a document's first."""
-    now = vocabulary.numbers(R.signed(words.hash))
-    before = np.concatenate(([START], now[:-1])) if len(now) else now
-    first = words.offsets[:-1]
-    before[first[first < words.offsets[1:]]] = START
-    return (before << np.int64(32)) + now
-
-
-def _counted(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat, good = np.concatenate(keys) if keys else np.zeros(0, np.int64), np.concatenate(weights) if weights else np.zeros(0, bool)
-    names, where = np.unique(flat, return_inverse=True)
-    return names, np.bincount(where, minlength=len(names)), np.bincount(where, good, len(names)).astype(np.int64)
-
-
-class Models:
-    """Both models, as arrays that share their keys."""
-
-    def __init__(self, vocabulary: Vocabulary, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, context: np.ndarray):
-        #: words, context: (model, number) counts of a word and of the bigrams it begins (last: START); counts: (model, bigram)
-        self.vocabulary, self.pairs, self.counts = vocabulary, pairs, counts
-        total = words.sum(axis=1, keepdims=True)
-        self.unigram = (words + 1.0) / (total + words.shape[1])
-        self.context = context
-
-    def losses(self, keys: np.ndarray) -> np.ndarray:
+#: UTF-8 bytes of texts that are counted and scored together.
+BLOCK_BYTES = 24 << 20
+#: Ids of good documents that may be sent to all tasks (about 40 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+#: Kinds of keys, in their low two bits.
+BIGRAM, WORD, SUM = 0, 1, 3
+#: Keys of all tokens and of all documents that have any.
+TOKENS, TEXTS = -1, -5
+_START = np.uint64(0x5157A27)
+
+
+def _key(h: np.ndarray, kind: int) -> np.ndarray:
+    return R.signed((R.mix(h + np.uint64(kind)) & ~np.uint64(3)) | np.uint64(kind))
+
+
+class Keys:
+    """Keys of a block's texts: word and pair of each token, which tokens begin a text, and how many each text has."""
+
+    def __init__(self, texts: list[pa.Array]):
+        words, pairs, first, sizes = [], [], [], []
+        for text in texts:
+            for chunk in R.chunks(text):
+                w = R.Words(chunk, lower=True)
+                prev = np.concatenate(([_START], w.hash[:-1]))[: len(w.hash)]
+                begins = w.offsets[:-1][w.offsets[:-1] < w.offsets[1:]]
+                prev[begins] = _START
+                words.append(_key(w.hash, WORD))
+                pairs.append(_key(R.mix(prev * np.uint64(R.BASE)) ^ w.hash, BIGRAM))
+                starts = np.zeros(len(w.hash), bool)
+                starts[begins] = True
+                first.append(starts)
+                sizes.append(np.diff(w.offsets))
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.word, self.pair = join(words, np.int64), join(pairs, np.int64)
+        self.first, self.sizes = join(first, bool), join(sizes, np.int64)
+
+    def counted(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, with counts over all and over good texts."""
+        token_good = np.repeat(good, self.sizes)
+        keys, flags = np.concatenate((self.pair, self.word)), np.concatenate((token_good, token_good))
+        names, where = np.unique(keys, return_inverse=True)
+        n, g = np.bincount(where, minlength=len(names)), np.bincount(where, flags, len(names)).astype(np.int64)
+        some = self.sizes > 0
+        totals = np.array([[len(self.word), token_good.sum()], [some.sum(), (good & some).sum()]], np.int64)
+        return np.concatenate((np.array([TEXTS, TOKENS]), names)), np.concatenate((totals[::-1, 0], n)), np.concatenate((totals[::-1, 1], g))
+
+
+class Counts:
+    """Counts of a block's keys: the corpus's where they came back, else the block's own."""
+
+    def __init__(self, own: tuple[np.ndarray, np.ndarray, np.ndarray], back: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        order = np.argsort(own[0], kind="stable")
+        self.keys, counts = own[0][order], np.stack([own[2][order], own[1][order]]).astype(np.float64)
+        at = np.searchsorted(self.keys, back[0])
+        counts[0, at], counts[1, at] = back[2], back[1]
+        self.counts = counts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        """(model, key) counts; 0 for keys that are not there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.counts[:, at], 0.0)
+
+    def losses(self, keys: Keys, vocabulary: int) -> np.ndarray:
         """(model, token) natural-log losses."""
-        now, before = keys & np.int64(0xFFFFFFFF), keys >> np.int64(32)
-        at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        out = np.empty((2, len(keys)))
-        for m in range(2):
-            c = np.where(self.pairs[at] == keys, self.counts[m][at], 0) if len(self.pairs) else np.zeros(len(keys))
-            out[m] = -np.log((c + STRENGTH * self.unigram[m][now]) / (self.context[m][before] + STRENGTH))
-        return out
-
-
-def train(docs: DataFrame, good: DataFrame, store: Store, *, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Count and prune. `docs` has id and text; `good` (id) says which make up the target."""
-    arrow_batches(docs.sparkSession)
-    # one way to join at every size: labels grow with the documents
-    known = good.where("id is not null").distinct().withColumn("good", F.lit(True)).hint("merge")
-    marked = docs.join(known, "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-
-    def tally(numbers):
-        def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keys, weights = [], []
-                flags = batch["good"].to_numpy(zero_copy_only=False)
-                for chunk in R.chunks(batch["text"]):
-                    words = R.Words(chunk, lower=True)
-                    keys.append(numbers(words))
-                    weights.append(np.repeat(flags[chunk.lo : chunk.hi], np.diff(words.offsets)))
-                names, n, g = _counted(keys, weights)
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array(g)], names=["key", "n", "g"])
-
-        return marked.mapInArrow(task, "key long, n long, g long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
-
-    words = store.keep(tally(lambda w: R.signed(w.hash)), "words")
-    total, total_good = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("g"), F.lit(0))).first()
-    often = words.where(F.col("n") >= max(2.0, word_share * total))
-    known = often.toArrow().sort_by("key")  # at most 1 / word_share rows
-    vocabulary = Vocabulary(known["key"].to_numpy())
-    size = len(vocabulary.hashes)
-    counts = np.zeros((2, size + 1))
-    counts[0, :size], counts[1, :size] = known["g"].to_numpy(), known["n"].to_numpy()
-    counts[:, size] = np.array([total_good, total]) - counts[:, :size].sum(axis=1)
-
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary.hashes)
-    pairs = store.keep(tally(lambda w: bigrams(w, Vocabulary(shared.value))), "bigrams")
-    # what each word begins: at most size + 2 rows
-    begun = pairs.groupBy(F.shiftright("key", 32).alias("v")).agg(F.sum("g").alias("g"), F.sum("n").alias("n")).toArrow()
-    context = np.zeros((2, size + 2))
-    at = begun["v"].to_numpy()
-    context[0, at], context[1, at] = begun["g"].to_numpy(), begun["n"].to_numpy()
-    kept = pairs.where((F.col("n") >= max(2.0, pair_share * total)) | (F.col("g") >= max(2.0, pair_share * total_good))).toArrow().sort_by("key")
-    return Models(vocabulary, counts, kept["key"].to_numpy(), np.stack([kept["g"].to_numpy(), kept["n"].to_numpy()]), context)
-
-
-def score(docs: DataFrame, models: Models) -> DataFrame:
-    """id, n_tokens, target_loss, background_loss, difference: mean losses of the tokens in nats, and target minus background (lower: more like the target).
-
-    A null, empty or blank text has no tokens and null losses.
-    """
-    arrow_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = shared.value
-        for batch in batches:
-            n, means = [], []
-            for chunk in R.chunks(batch["text"]):
-                words = R.Words(chunk, lower=True)
-                size = np.diff(words.offsets)
-                n.append(size)
-                sums = np.zeros((2, len(size)))
-                some = np.flatnonzero(size)
-                if len(some):
-                    sums[:, some] = np.add.reduceat(both.losses(bigrams(words, both.vocabulary)), words.offsets[some], axis=1)
-                means.append(sums / np.maximum(size, 1))
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            means = np.concatenate(means, axis=1) if means else np.zeros((2, 0))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int64()), *(pa.array(x, mask=none) for x in (means[0], means[1], means[0] - means[1]))], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return docs.mapInArrow(task, "id long, n_tokens long, target_loss double, background_loss double, difference double")
-
-
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+        total, texts = self.of(np.array([TOKENS]))[:, 0], self.of(np.array([TEXTS]))[:, 0]
+        word = self.of(keys.word)
+        unigram = (word + 1.0) / (total[:, None] + vocabulary)
+        context = np.roll(word, 1, axis=1)
+        context[:, keys.first] = texts[:, None]
+        return -np.log((self.of(keys.pair) + STRENGTH * unigram) / (context + STRENGTH))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Consecutive rows of one block, as slices of the batches."""
+    now, parts = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        blocks = batch["block"].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]))
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            if parts and blocks[a] != now:
+                yield now, parts
+                parts = []
+            now = int(blocks[a])
+            parts.append(batch.slice(a, z - a))
+    if parts:
+        yield now, parts
+
+
+def _flags(parts: list[pa.RecordBatch]) -> np.ndarray:
+    return np.concatenate([p["good"].to_numpy(zero_copy_only=False).astype(bool) for p in parts])
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for block, parts in _blocks(batches):
+        names, n, g = Keys([p["text"] for p in parts]).counted(_flags(parts))
+        for lo in range(0, len(names), 1 << 16):
+            piece = slice(lo, lo + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(names[piece]), pa.array(np.full(len(names[piece]), block, np.int32)), pa.array(n[piece]), pa.array(g[piece])], names=["key", "block", "n", "g"])
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Train both models on `docs` and score every document; one row per input row.
 
-    The target is made of documents whose id has label 1; rows with one id share its
-    label. Null ids have none. Other columns are not read. Empty tables give none.
+    id_col, n_tokens, target_loss, background_loss, difference: mean losses of the tokens
+    in nats, and target minus background (lower: more like the target). The target is
+    made of documents whose id has label 1; rows with one id share its label. Null ids
+    have none. A null, empty or blank text has no tokens and null losses. Rows equal in id
+    and text lie in one block. Other columns are not read. Empty tables give none.
     """
-    store = Store(docs.sparkSession, "lm")
+    spark = docs.sparkSession
+    arrow_batches(spark)
+    store = Store(spark, "lm")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    good = labels.where(F.col(label_col) == 1).select(F.col(id_col).cast("long").alias("id"))
-    return score(docs, train(docs, good, store)).withColumnRenamed("id", id_col)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-size // block_bytes))
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("good_")).distinct()
+    good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block")
+    # a block to a task; rows are in the order of their block only to keep blocks apart where one task has several
+    placed = docs.join(good, F.col("id") == F.col("good_"), "left").select(block, F.col("good_").isNotNull().alias("good"), "id", "text").repartition(n_blocks, "block").sortWithinPartitions("block")
+
+    by_key = Window.partitionBy("key")
+    asked = placed.mapInArrow(_tally, "key long, block int, n long, g long").repartition("key")
+    summed = asked.select("key", "block", F.sum("n").over(by_key).alias("n"), F.sum("g").over(by_key).alias("g"), F.count("*").over(by_key).alias("blocks"), F.min("block").over(by_key).alias("least"))
+    seen = Observation()
+    words = F.count_if((F.col("block") == F.col("least")) & (F.col("key").bitwiseAND(F.lit(3)) == WORD))
+    shared = store.keep(summed.observe(seen, words.alias("words")).where("blocks > 1").select("block", "key", "n", "g"), "counts")
+    vocabulary = seen.get["words"] + 1
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _blocks(batches):
+            back, rows = [], []
+            for p in parts:
+                text = p["is_text"].to_numpy(zero_copy_only=False).astype(bool)
+                at = int(np.argmax(text)) if text.any() else p.num_rows
+                back.append([p.slice(0, at)[c].to_numpy() for c in ("key", "n", "g")])
+                if at < p.num_rows:
+                    rows.append(p.slice(at))
+            if not rows:
+                continue
+            keys = Keys([p["text"] for p in rows])
+            counts = Counts(keys.counted(_flags(rows)), tuple(np.concatenate(x) for x in zip(*back, strict=True)))
+            sums, some = np.zeros((2, len(keys.sizes))), np.flatnonzero(keys.sizes)
+            if len(some):
+                begin = np.cumsum(keys.sizes) - keys.sizes
+                sums[:, some] = np.add.reduceat(counts.losses(keys, vocabulary), begin[some], axis=1)
+            mean, none = sums / np.maximum(keys.sizes, 1), keys.sizes == 0
+            ids = pa.concat_arrays([p["id"] for p in rows])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(keys.sizes), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
+
+    absent = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    replies = shared.select("block", F.lit(False).alias("is_text"), F.col("key"), "n", "g", absent("boolean", "good"), absent("long", "id"), absent("string", "text"))
+    asking = placed.select("block", F.lit(True).alias("is_text"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"), "good", "id", "text")
+    both = replies.unionByName(asking).repartition(n_blocks, "block").sortWithinPartitions("block", "is_text")
+    return both.mapInArrow(task, "id long, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss and difference of every document, rounded to six places."""
     scores = cross_entropy_difference(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scores.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")])

@@ -75,17 +75,13 @@ FROM d JOIN f a ON a.doc_id = d.doc_id AND a.k = 1 JOIN f b ON b.doc_id = d.doc_
     "op5_lm_scoring": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_WORD}') AS ws FROM documents),
 g AS (SELECT DISTINCT doc_id, true AS good FROM labels WHERE quality = 1),
-t AS (SELECT doc_id, p, ws[p] AS w, coalesce(good, false) AS good FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) LEFT JOIN g USING (doc_id)),
-n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM t),
-v AS (SELECT w, w AS x FROM t GROUP BY w HAVING count(*) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT n FROM n))),
-u AS (SELECT doc_id, p, good, coalesce(x, chr(1)) AS x FROM t LEFT JOIN v USING (w)),
-b AS (SELECT *, coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY p), chr(2)) AS y FROM u),
-c AS (SELECT x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM u GROUP BY x),
-o AS (SELECT y, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM b GROUP BY y),
-q AS (SELECT y, x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM b GROUP BY y, x HAVING count(*) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT n FROM n)) OR count(*) FILTER (good) >= greatest(2.0::DOUBLE, 0.000001::DOUBLE * (SELECT g FROM n))),
-z AS (SELECT (count(*) + 1)::DOUBLE AS z FROM v),
-l AS (SELECT b.doc_id, -ln((coalesce(q.g, 0) + 2.0::DOUBLE * ((c.g + 1) / (n.g + z))) / (o.g + 2.0::DOUBLE)) AS lt, -ln((coalesce(q.n, 0) + 2.0::DOUBLE * ((c.n + 1) / (n.n + z))) / (o.n + 2.0::DOUBLE)) AS lb
-  FROM b JOIN c ON c.x = b.x JOIN o ON o.y = b.y LEFT JOIN q ON q.x = b.x AND q.y = b.y, n, z),
+t AS (SELECT doc_id, p, ws[p] AS x, CASE WHEN p = 1 THEN chr(2) ELSE ws[p - 1] END AS y, coalesce(good, false) AS good FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d) LEFT JOIN g USING (doc_id)),
+n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g, (count(DISTINCT x) + 1)::DOUBLE AS z FROM t),
+c AS (SELECT x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM t GROUP BY x),
+o AS (SELECT x AS y, n, g FROM c UNION ALL SELECT chr(2), count(*)::DOUBLE, count(*) FILTER (good)::DOUBLE FROM t WHERE p = 1),
+q AS (SELECT y, x, count(*)::DOUBLE AS n, count(*) FILTER (good)::DOUBLE AS g FROM t GROUP BY y, x),
+l AS (SELECT t.doc_id, -ln((q.g + 2.0::DOUBLE * ((c.g + 1) / (n.g + z))) / (o.g + 2.0::DOUBLE)) AS lt, -ln((q.n + 2.0::DOUBLE * ((c.n + 1) / (n.n + z))) / (o.n + 2.0::DOUBLE)) AS lb
+  FROM t JOIN c ON c.x = t.x JOIN o ON o.y = t.y JOIN q ON q.x = t.x AND q.y = t.y, n),
 m AS (SELECT doc_id, count(*) AS k, avg(lt) AS lt, avg(lb) AS lb FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(k, 0)::BIGINT AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(lt - lb, 6) AS difference FROM d LEFT JOIN m USING (doc_id)
 """,

@@ -40,10 +40,10 @@ def test_entry_registers_all(spark):
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_imatch_fingerprints", "op7_suffix_array_dedup", "op9_substring_dedup", "op10_minhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_imatch_fingerprints", "op5_lm_scoring", "op7_suffix_array_dedup", "op9_substring_dedup", "op10_minhash_near_dedup"])
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = __spark_entry__.queries()[name](spark, DATA)
     cols = sorted(df.columns)
