@@ -21,9 +21,8 @@ WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBED = 6
-#: Bounds of the training sample: texts for each label and characters of each text.
+#: Bound of the training sample: about so many texts for each label, each of them whole.
 PER_LABEL = 500
-TRAIN_CHARS = 1500
 STEPS = 900
 BATCH = 96
 #: Windows scored together.
@@ -113,8 +112,8 @@ def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    """Rows that no model of this subpackage learns from."""
-    return F.crc32(F.col(id_col).cast("string")) % 3 == 1
+    """Rows that no model of this subpackage learns from; a null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 
 
 #: Steps in which share_limit() counts.
@@ -126,19 +125,20 @@ def share_limit(wanted: int, there: int) -> int:
     return int(SHARES * min(1.0, wanted / there))
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, chars: int) -> list:
-    """About `per_label` rows of each label, chosen by a hash of the id; texts are cut to `chars` characters."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(id_col), F.lit(False))).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("h"))
+def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> list:
+    """About `per_label` whole texts of each label, chosen by a hash of the id."""
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col)).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.length(text_col)).alias("h"))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if not counts:
         return []
     limits = F.create_map(*[F.lit(x) for k, c in sorted(counts.items()) for x in (k, share_limit(per_label, c))])
     picked = rows.where(F.pmod("h", F.lit(SHARES)) < limits[F.col("label")])
-    return sorted(picked.select("label", F.substring("text", 1, chars).alias("text"), "h").collect(), key=lambda r: (r["label"], r["h"], r["text"]))
+    return sorted(picked.select("label", "text", "h").collect(), key=lambda r: (r["label"], r["h"], r["text"]))
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -> ByteCNN:
-    sample = training_sample(docs, id_col, text_col, label_col, per_label, chars)
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_label: int = PER_LABEL) -> ByteCNN:
+    """Fit on all windows of about `per_label` texts of each label; without labelled texts the model has no classes."""
+    sample = training_sample(docs, id_col, text_col, label_col, per_label)
     classes = sorted({r["label"] for r in sample})
     model = ByteCNN(classes)
     if sample:
@@ -194,5 +194,6 @@ def identify(docs: DataFrame, model: ByteCNN, *, text_col: str = "text", keep: l
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; a null doc_id is not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     return identify(docs, train(docs), keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

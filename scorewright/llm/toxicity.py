@@ -22,9 +22,8 @@ from scorewright.llm import rolling as R
 from scorewright.llm.common import arrow_batches, documents
 from scorewright.llm.langid import SHARES, held_out, share_limit
 
-#: Bounds of the training sample: texts for each label and characters of each text.
+#: Bound of the training sample: about so many texts for each label, each of them whole.
 PER_LABEL = 1500
-TRAIN_CHARS = 6000
 FEATURE_BITS = 18
 #: A feature marks toxic tokens if so large a share of its (balanced) texts is toxic, and so many are.
 PURITY = 0.9
@@ -197,8 +196,8 @@ def fit(texts: list[str], y: np.ndarray, prior: float) -> ToxicityModel:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL, chars: int = TRAIN_CHARS) -> ToxicityModel:
-    """Fit on about `per_label` texts of each label, chosen by a hash of the id; rows of held_out() are not used."""
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
+    """Fit on about `per_label` whole texts of each label, chosen by a hash of the id; rows of held_out() are not used."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("lid")).agg(F.max(label_col).alias("y"))
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     if not counts:
@@ -206,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     limit = {k: share_limit(per_label, c) for k, c in counts.items()}
     chosen = known.where(F.pmod(F.xxhash64("lid"), F.lit(SHARES)) < F.when(F.col("y") == 1, F.lit(limit.get(1, 0))).otherwise(F.lit(limit.get(0, 0))))
     # at most about 2 * per_label rows, whatever the number of labels
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["lid"]).select("lid", "y", F.substring(F.coalesce(text_col, F.lit("")), 1, chars).alias("text")).collect()
+    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen["lid"]).select("lid", "y", F.coalesce(text_col, F.lit("")).alias("text")).collect()
     rows.sort(key=lambda r: (r["lid"], r["text"]))
     share = counts.get(1, 0) / sum(counts.values())
     return fit([r["text"] for r in rows], np.array([r["y"] for r in rows]), min(max(share, 1e-4), 1 - 1e-4))
@@ -249,6 +248,7 @@ def tag(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc_id", text_c
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, and the number, starts, ends and marginals of its offending tokens; a null doc_id is not held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return tag(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return tag(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")
