@@ -105,6 +105,8 @@ def super_windows(poly: Poly, ends: np.ndarray, length: int, k: int) -> dict[str
     independent parts of a hash of the whole stretch the windows span).
     """
     n = len(ends)
+    if n >> POS_BITS:
+        raise ValueError(f"a text of 2**{POS_BITS} symbols or more has no room for their places")
     empty = {c: np.zeros(0, np.int64) for c in ("first", "last", "anchor")}
     if n < length:
         return empty | {c: np.zeros(0, np.uint64) for c in ("fp", "sx")}

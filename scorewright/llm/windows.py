@@ -11,7 +11,8 @@ of the whole stretch (`sx`). Equal windows have equal `fp`, so
   throughout, runs whose common middle stands alone repeat nowhere, and only where
   the middle is shared but the stretch is not are single windows compared.
 
-Hashes of `fp` and window or stretch together have 128 bits. Counting uses partial
+Windows that share `fp` are told apart by one more 64-bit hash, of the window or of the
+stretch; within the rows of one `fp` that is what equality rests on. Counting uses partial
 aggregates and the rest are equi-joins, so very frequent stretches are never gathered.
 """
 
@@ -191,7 +192,8 @@ def shared_windows(windows: DataFrame, store: Store) -> DataFrame:
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Documents with the list of their ranges (first, last: window starts that repeat)."""
-    lists = ranges.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"id": "id_", "th": "th_"})
+    # equal rows have equal ranges: told once, they go to each of them
+    lists = ranges.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("ranges")).withColumnsRenamed({"id": "id_", "th": "th_"})
     return docs.join(lists, docs["id"].eqNullSafe(lists["id_"]) & (docs["th"] == lists["th_"]), "left").drop("th", "id_", "th_")
 
 

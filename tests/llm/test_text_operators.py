@@ -70,41 +70,47 @@ def test_fingerprints_of_few_rows(spark):
     assert imatch.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_language_model_against_plain_counts(spark, docs, rows):
+@pytest.mark.parametrize("block_bytes", [1 << 24, 3000])
+def test_language_model_against_plain_counts(spark, docs, rows, block_bytes):
     good = {r[0] for r in rows if r[0] is not None and r[0] % 2 == 0}
     labels = spark.createDataFrame([(d, 1, "x") for d in sorted(good)] + [(None, 1, "x"), (101, 0, "x"), (102, None, "x")], "doc_id long, quality int, id string")
-    got = lm_score.cross_entropy_difference(docs, labels).collect()
+    got = lm_score.cross_entropy_difference(docs, labels, block_bytes=block_bytes).collect()
     assert len(got) == len(rows)
     low = {i: i + 32 for i in range(65, 91)}
     seqs = [(r[0], words((r[1] or "").translate(low))) for r in rows]
-    uni = Counter(w for _, s in seqs for w in s)
-    vocabulary = {w for w, c in uni.items() if c >= 2}
-    number = lambda w: w if w in vocabulary else None
+    vocabulary = {w for _, s in seqs for w in s}
     models = []
     for pick in (lambda d: d in good, lambda d: True):
         w, p, ctx = Counter(), Counter(), Counter()
         for d, s in seqs:
             if pick(d):
-                for a, b in zip(["^", *map(number, s)], map(number, s), strict=False):
+                for a, b in zip(["^", *s], s, strict=False):
                     w[b] += 1
                     p[a, b] += 1
                     ctx[a] += 1
+                ctx.update(s[-1:])  # the text's end follows
         models.append((w, p, ctx))
-    shared = {k for k, c in models[1][1].items() if c >= 2} | {k for k, c in models[0][1].items() if c >= 2}
 
     def loss(m, s):
         w, p, ctx = m
         total, size = sum(w.values()), len(vocabulary) + 1
         out = 0.0
-        for a, b in zip(["^", *map(number, s)], map(number, s), strict=False):
+        for a, b in zip(["^", *s], s, strict=False):
             first = (w[b] + 1) / (total + size)
-            out -= math.log(((p[a, b] if (a, b) in shared else 0) + lm_score.STRENGTH * first) / (ctx[a] + lm_score.STRENGTH))
+            out -= math.log((p[a, b] + lm_score.STRENGTH * first) / (ctx[a] + lm_score.STRENGTH))
         return out / len(s)
 
     want = Counter((d, len(s), round(loss(models[0], s) - loss(models[1], s), 6) if s else None) for d, s in seqs)
     assert Counter((r["doc_id"], r["n_tokens"], None if r["difference"] is None else round(r["difference"], 6)) for r in got) == want
 
 
+def test_language_model_of_no_rows(spark, docs):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert lm_score.cross_entropy_difference(docs.limit(0), labels).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, " ")], "doc_id long, text string")
+    assert {tuple(r) for r in lm_score.cross_entropy_difference(blank, labels).collect()} == {(1, 0, None, None, None), (2, 0, None, None, None)}
+
+
 @have_pieces
 def test_segmentations_against_all_of_them():
     lat = sentencepiece_nbest.Lattice(sentencepiece_nbest.load())
@@ -138,6 +144,18 @@ def test_encoding_round_trip(spark, docs, rows):
     assert sentencepiece_nbest.encode(all_.limit(0)).count() == 0
 
 
+@have_pieces
+def test_ties_of_long_runs_end():
+    import time
+
+    coder = sentencepiece_nbest.Encoder(sentencepiece_nbest.load(), 4)
+    began = time.time()
+    for text in ("x" * 100_000, "=" * 20_001, "ab" * 5_000 + " " * 9_000, "\n" * 3_000):
+        ids, score, losses, exact, every = next(coder.encode([text]))
+        assert exact and losses == sorted(losses) and len({tuple(e) for e in every}) == len(every)
+    assert time.time() - began < 60
+
+
 @have_pieces
 def test_nbest_of_a_text_against_all_combinations():
     coder = sentencepiece_nbest.Encoder(sentencepiece_nbest.load(), 4)
@@ -148,6 +166,17 @@ def test_nbest_of_a_text_against_all_combinations():
     assert next(coder.encode([text]))[2] == sums[:4]
 
 
+@have_pieces
+def test_tied_best_against_all_of_them():
+    lat = sentencepiece_nbest.Lattice(sentencepiece_nbest.load())
+    into = lat._edges("xxxxxxxxxxxx")
+    best = [[0.0]] + [[] for _ in range(12)]
+    for j in range(1, 13):
+        best[j] = sorted((x + s for i, _, s in into[j] for x in best[i]), reverse=True)
+    got = lat.nbest("xxxxxxxxxxxx", 9)
+    assert [x for x, _ in got] == best[12][:9] and len({p for _, p in got}) == 9
+
+
 def test_rollup_commits(spark, tmp_path):
     r = token_rollup.Rollup(spark, str(tmp_path / "roll"))
     schema = "doc_id long, version string, op string, source string, lang string, n_tokens long, batch string"
