@@ -219,7 +219,7 @@ def claims_extracted(spark, sf_dir):
 
 _UP = "|".join(C.UP_WORDS)
 _DOWN = "|".join(C.DOWN_WORDS)
-_SENT = f"s AS (SELECT document_id, unnest({_SENTENCES_SQL.format(t='text')}) AS s FROM (VALUES {_values(REPORT_SENTENCES)}) v(document_id, text))"
+_SENT = f"s AS (SELECT doc_id::VARCHAR AS document_id, unnest({_SENTENCES_SQL.format(t='text')}) AS s FROM documents)"
 
 
 @query(f"""WITH {_SENT}, l AS (SELECT document_id, lower(s) AS l FROM s),
