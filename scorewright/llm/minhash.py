@@ -86,11 +86,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct `width`-word shingles of the lower-cased (A-Z) words; a shorter text is
     one shingle; a null, empty or blank text has none and is linked with nothing.
     Texts are linked where 100 * intersection >= threshold * union on the full sets.
-    Rows with one id are one node. A null id is linked with nothing: its component
-    is null and it is kept. Other columns of the input are not read.
+    Rows with one id are one node: an id that stands in several classes ties them. A
+    null id is linked with nothing: its component is null and it is kept. Other columns
+    of the input are not read.
 
     A pair at the threshold shares no band with probability (1 - 0.8**6)**42, three
-    in a million; more bands make that smaller.
+    in a million, and has too few equal minima for the check of signatures with another
+    four in a million (4.5 standard deviations); more bands make both smaller.
     """
     spark = docs.sparkSession
     arrow_batches(spark)
@@ -151,7 +153,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         both = F.size(F.array_intersect("xa", "xb"))
         return pairs.join(one, "a").join(two, "b").where(100 * both >= threshold * (F.size("xa") + F.size("xb") - both)).select("a", "b")
 
-    links = store.keep(confirmed(stars), "links")
+    links = store.keep(confirmed(stars).unionByName(_ties(members, classes)), "links")
     comp = store.keep(components(links, store), "components")
     few, many = _unsettled(buckets, comp, sets, rows, bands, least, threshold, store.keep)
     more = store.keep(exact(few).unionByName(many), "more")
@@ -159,11 +161,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         comp = store.keep(components(links.unionByName(more), store), "components")
 
     label = store.keep(classes.select("h1", "h2", "cls").join(comp, F.col("cls") == F.col("node"), "left").select("h1", "h2", F.coalesce("component", "cls").alias("component")), "labels")
-    # An id that stands in several classes ties them.
     out = members.select("id", "n", "h1", "h2").join(label, ["h1", "h2"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce(F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("component")), "id").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
+def _ties(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between an id and each of the classes it stands in, where there are several."""
+    some = members.where("n > 0 and id is not null")
+    several = some.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("id")
+    return some.join(several, "id", "left_semi").join(classes, ["h1", "h2"]).where("id <> cls").select(F.col("id").alias("a"), F.col("cls").alias("b")).distinct()
+
+
 def _rest(batch: pa.RecordBatch, done: int) -> pa.RecordBatch:
     return batch.slice(done)
 
@@ -249,4 +257,5 @@ def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int,
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
     return near_duplicates(documents(spark, sf_dir))

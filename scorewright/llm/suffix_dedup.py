@@ -123,4 +123,5 @@ def repeated_ranges(rows: DataFrame, docs: DataFrame, store: Store, unit: str, l
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     return suffix_dedup(documents(spark, sf_dir))

@@ -1,10 +1,12 @@
 """Token totals kept up to date by signed changes.
 
-The store has three kinds of tables under one path: `ledger` (what each document
-counts for now, by tokenizer version, one part for each batch), `changes` (signed
-totals of a batch by source, language and version) and `commits` (one row for each
-batch that is complete). A batch writes its ledger and changes first and its commit
-last. Readers take only committed batches, so a batch that broke off has no effect
+The store has four kinds of tables under one path: `ledger` (what each document of a
+batch counts for since then, by tokenizer version), `state` (what all count for after a
+batch: the parts of the ledger up to there in one, so that a batch reads a bounded number
+of them), `changes` (signed totals of a batch by source, language and version) and
+`commits` (one row for each batch that is complete). Batches come in the order of their
+numbers, from one writer at a time. A batch writes its ledger and changes first and its
+commit last. Readers take only committed batches, so a batch that broke off has no effect
 and is written anew when it comes again, and a batch that is committed already is
 passed over: committing one twice changes nothing. Totals are sums of changes.
 """
@@ -29,22 +31,30 @@ CHANGES = "source string, lang string, version string, d_docs long, d_tokens lon
 
 
 class Rollup:
-    """Rollup store at `path`. Batches are numbered; a later number overrides an earlier one."""
+    """Rollup store at `path`. Batches are numbered; a later number overrides an earlier one.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    After every `compact_after` parts of the ledger they are written as one state.
+    """
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        """Rows of the committed batches."""
-        done = self.committed()
-        if not done:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{table}/{b}" for b in done])
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = 8):
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
+
+    def _read(self, schema: str, paths: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{p}" for p in paths]) if paths else self.spark.createDataFrame([], schema)
 
     def committed(self) -> list[int]:
         """Numbers of the batches whose commit is there, ascending."""
+        return self._complete("commits")
+
+    def _parts(self) -> list[str]:
+        """The tables that the ledger is made of: the last state and the committed parts after it."""
+        done = self.committed()
+        base = [b for b in self._complete("state") if b in done][-1:]
+        return [f"state/{b}" for b in base] + [f"ledger/{b}" for b in done if not base or b > base[0]]
+
+    def _complete(self, table: str) -> list[int]:
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
         fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
         if not fs.exists(folder):
             return []
@@ -52,17 +62,28 @@ class Rollup:
 
     def ledger(self) -> DataFrame:
         """What each (doc_id, version) counts for now."""
-        rows = self._read("ledger", LEDGER)
-        return rows.groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live"), "batch").alias("now")).where("now.live").select("doc_id", "version", "now.source", "now.lang", "now.n_tokens")
+        return self._now().select("doc_id", "version", "source", "lang", "n_tokens")
+
+    def _now(self) -> DataFrame:
+        rows = self._read(LEDGER, self._parts())
+        return rows.groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live", "batch"), "batch").alias("now")).where("now.live").select("doc_id", "version", "now.*")
+
+    def compact(self) -> None:
+        """Write what the ledger says after the last batch as one state, which readers then take up."""
+        done = self.committed()
+        if done and done[-1] not in self._complete("state"):
+            self._now().write.mode("overwrite").parquet(f"{self.path}/state/{done[-1]}")
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups without documents left are not shown."""
-        rows = self._read("changes", CHANGES)
+        rows = self._read(CHANGES, [f"changes/{b}" for b in self.committed()])
         return rows.groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0")
 
     def commit(self, batch: int, events: DataFrame) -> bool:
         """Apply events (doc_id, version, op, source, lang, n_tokens); False if the batch was committed before.
 
+        A batch that was never committed must have a higher number than those that were:
+        its changes are told against what they left (ValueError otherwise).
         op is insert, revise or delete. An insert of a document that counts already and
         a revision replace what it counted for (a revision may leave source and lang null:
         they stay); a revision or deletion of one that does not count changes nothing. Of
@@ -70,8 +91,13 @@ class Rollup:
         with the most tokens. Events with a null doc_id, version or op are passed over;
         null n_tokens count as 0.
         """
-        if batch in self.committed():
+        done = self.committed()
+        if batch in done:
             return False
+        if done and batch < done[-1]:
+            raise ValueError(f"batch {batch} comes after batch {done[-1]}")
+        if len(self._parts()) > self.compact_after:
+            self.compact()
         clean = events.where("doc_id is not null and version is not null and op in ('insert', 'revise', 'delete')").select(F.col("doc_id").cast("long").alias("doc_id"), "version", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         one = clean.groupBy("doc_id", "version").agg(F.max(F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", (F.col("op") == "insert").alias("fresh"), "source", "lang")).alias("e"))
         old = self.ledger().withColumnsRenamed({"source": "old_source", "lang": "old_lang", "n_tokens": "old_tokens"})

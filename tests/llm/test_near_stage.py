@@ -34,6 +34,14 @@ def test_stage_links_on_five_words(spark):
     assert got == {d for d, _ in sets if label[d] == d}
 
 
+def test_repeated_and_null_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(20, a), (24, a), (24, b), (30, b), (None, c), (None, c), (7, c + " more"), (30, b)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert got == [(7, c + " more"), (20, a), (24, b)]
+
+
 def test_five_spread_edits_are_no_near_copy(spark):
     base = [f"k{i}" for i in range(200)]
     spread = ["zz" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(base)]

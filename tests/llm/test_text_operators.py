@@ -192,6 +192,57 @@ def test_rollup_commits(spark, tmp_path):
     assert {(x["doc_id"], x["version"], x["n_tokens"]) for x in r.ledger().collect()} == {(1, "v1", 12), (1, "v2", 1)}
 
 
+def test_rollup_refuses_batches_out_of_order_and_compacts(spark, tmp_path):
+    r = token_rollup.Rollup(spark, str(tmp_path / "roll"), compact_after=2)
+    commit = lambda n, rows: r.commit(n, spark.createDataFrame(rows, "doc_id long, version string, op string, source string, lang string, n_tokens long"))
+    assert commit(5, [(1, "v", "insert", "a", "en", 10)])
+    with pytest.raises(ValueError):
+        commit(3, [(1, "v", "insert", "a", "en", 7)])
+    counts = {1: 10}
+    for n in range(6, 13):
+        rows = [(1, "v", "revise", None, None, n)] if n % 3 else [(1, "v", "delete", None, None, None)]
+        rows.append((n, "v", "insert", "a", "en", n))
+        assert commit(n, rows)
+        counts = {k: v for k, v in (counts | {n: n}).items() if k != 1 or n % 3} | ({1: n} if n % 3 and 1 in counts else {})
+    assert {(x["doc_id"], x["n_tokens"]) for x in r.ledger().collect()} == set(counts.items())
+    assert [tuple(x)[3:] for x in r.totals().collect()] == [(len(counts), sum(counts.values()))]
+    assert len(r._parts()) <= 4 and r._complete("state")
+
+
+@have_data
+@pytest.mark.skipif(not os.path.exists(token_rollup.VOCABULARY), reason="no vocabulary")
+def test_token_query_against_plain_counts(spark):
+    import re
+
+    import tiktoken
+
+    coder = tiktoken.Encoding("t", pat_str=token_rollup.PATTERN, mergeable_ranks=token_rollup.load_ranks(), special_tokens={})
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    first = {}
+    for d in docs:
+        if d["text"] is not None:
+            first[d["text"]] = min(d["doc_id"], first.get(d["text"], d["doc_id"]))
+    want = defaultdict(lambda: [0, 0])
+    for d in docs:
+        t = d["text"]
+        if t is None or first[t] == d["doc_id"]:
+            flat = None if t is None else re.sub(r"[\x20\x09-\x0D]{2,}", " ", t)
+            for version, n in (("words", len(words(t))), ("byte_bpe_50k", 0 if t is None else len(coder.encode_ordinary(flat)))):
+                want[d["source"], d["lang"], version][0] += 1
+                want[d["source"], d["lang"], version][1] += n
+    got = {tuple(r[:3]): list(r[3:]) for r in token_rollup.op8_token_counts(spark, DATA).select("source", "lang", "version", "n_docs", "n_tokens").collect()}
+    assert got == dict(want)
+
+
+def test_token_query_of_awkward_rows(spark, docs, tmp_path):
+    docs.drop("id", "th").write.parquet(str(tmp_path / "a/documents.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "b/documents.parquet"))
+    assert token_rollup.op8_token_counts(spark, str(tmp_path / "b")).count() == 0
+    live = docs.where("doc_id is not null").agg(F.count_distinct("doc_id")).first()[0]
+    out = token_rollup.op8_token_counts(spark, str(tmp_path / "a")).groupBy("version").agg(F.sum("n_docs").alias("n")).collect()
+    assert len(out) == 2 and all(0 < r["n"] <= live for r in out)
+
+
 def test_rollup_takes_up_a_broken_batch(spark, tmp_path):
     r = token_rollup.Rollup(spark, str(tmp_path / "roll"))
     events = spark.createDataFrame([(1, "v", "insert", "a", "en", 3)], "doc_id long, version string, op string, source string, lang string, n_tokens long")
