@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from scorewright.llm import langid
 from scorewright.llm.common import Store, documents
@@ -26,11 +25,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (five-word sets, 0.8) stays, that with the least id; of rows equal in id and text, one."""
-    gone = near_duplicates(docs, width=5, threshold=80).where("not kept").select(F.col("doc_id").alias("gone_")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti")
-    w = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return left.withColumn("nth_", F.row_number().over(w)).where("nth_ = 1 or doc_id is null").select(*COLUMNS)
+    """One document of each near-duplicate group (five-word sets, 0.8) stays, that with the least id.
+
+    Where ids are null or repeat they do not tell rows apart: rows then get numbers of
+    their own, and of rows with one id the first stays. So one copy of every text is kept.
+    """
+    rows, ids = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        gone = near_duplicates(docs, width=5, threshold=80).where("not kept").select(F.col("doc_id").alias("gone_"))
+        return docs.join(gone, docs["doc_id"] == gone["gone_"], "left_anti").select(*COLUMNS)
+    store = Store(spark, "numbered")
+    docs = store.keep(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_")), "docs")
+    group = near_duplicates(docs, id_col="row_", width=5, threshold=80).select("row_", "component_id")
+    least = docs.select("row_", "doc_id").join(group, "row_").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_")).alias("least")).select("least.row_")
+    return docs.join(least, "row_", "left_semi").select(*COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
