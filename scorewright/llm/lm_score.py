@@ -9,11 +9,12 @@ every v; before a text's first word stands its start. Every token of every docum
 and no count is ever gathered in the driver: the tables grow with the corpus.
 
 Documents are dealt by hash into blocks of about BLOCK_BYTES. A block counts its own
-words and bigrams first, so one row per (key, block) is shuffled rather than one per
-token; a running sum over each key's blocks gives the corpus counts, and those of keys
-that other blocks have too go back to each block that asked. A key has at most as many
-rows as there are blocks, whatever its frequency. A block then scores its documents from
-what came back and its own counts. Keys are 62-bit hashes.
+words and bigrams first, and asks for the corpus counts of its keys in packed rows, one
+for each bucket of keys: sorted keys as short differences, counts in as few bytes as they
+need. A bucket adds up what all blocks have and answers each block for those of its keys
+that others have too; a key has at most one entry a block, whatever its frequency, so
+buckets are even. A block then scores its documents from the answers and its own counts.
+Keys are 62-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,26 +23,61 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import rolling as R
 from scorewright.llm.common import Store, arrow_batches, documents
 
 STRENGTH = 2.0
-#: UTF-8 bytes of texts that are counted and scored together.
-BLOCK_BYTES = 24 << 20
+#: UTF-8 bytes of texts that are counted and scored together, and of those whose keys are added up together.
+BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 10 << 20
 #: Ids of good documents that may be sent to all tasks (about 40 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Kinds of keys, in their low two bits.
-BIGRAM, WORD, SUM = 0, 1, 3
-#: Keys of all tokens and of all documents that have any.
-TOKENS, TEXTS = -1, -5
+#: Kinds of keys, in their low two bits; sums have kind 3.
+BIGRAM, WORD = 0, 1
+#: Keys of all documents that have a token, and of all tokens.
+TEXTS, TOKENS = np.uint64(2**64 - 5), np.uint64(2**64 - 1)
+#: Packed keys and counts of a block in a bucket. `words`: distinct words of the bucket, told once.
+PACKED = "bucket int, block int, size int, first long, keys binary, n binary, g binary, words long"
 _START = np.uint64(0x5157A27)
 
 
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
-    return R.signed((R.mix(h + np.uint64(kind)) & ~np.uint64(3)) | np.uint64(kind))
+    return (R.mix(h + np.uint64(kind)) & ~np.uint64(3)) | np.uint64(kind)
+
+
+def _few_bytes(values: np.ndarray, widths: tuple[int, ...] = (1, 2, 4, 6, 8)) -> bytes:
+    """Each of the values in as many bytes as the largest needs."""
+    most = int(values.max()) if len(values) else 0
+    width = next(w for w in widths if most >> (8 * w) == 0)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _values(raw: bytes, n: int) -> np.ndarray:
+    """What _few_bytes() packed."""
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+    return out.reshape(-1).view("<u8")
+
+
+def _packed(bucket: int, block: int, keys: np.ndarray, n: np.ndarray, g: np.ndarray, words: int = 0) -> tuple:
+    """A row of PACKED; keys ascend."""
+    return bucket, block, len(keys), int(keys[:1].view(np.int64)[0]) if len(keys) else 0, _few_bytes(np.diff(keys)), _few_bytes(n), _few_bytes(g), words
+
+
+def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, block, keys, n, g) of each row."""
+    for bucket, block, size, first, keys, n, g in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "size", "first", "keys", "n", "g")), strict=True):
+        steps = np.concatenate((np.array([first], np.int64).view(np.uint64), _values(keys, size - 1))) if size else np.zeros(0, np.uint64)
+        yield bucket, block, np.cumsum(steps, dtype=np.uint64), _values(n, size), _values(g, size)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "size", "first", "keys", "n", "g", "words"])
 
 
 class Keys:
@@ -62,7 +98,7 @@ class Keys:
                 first.append(starts)
                 sizes.append(np.diff(w.offsets))
         join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.word, self.pair = join(words, np.int64), join(pairs, np.int64)
+        self.word, self.pair = join(words, np.uint64), join(pairs, np.uint64)
         self.first, self.sizes = join(first, bool), join(sizes, np.int64)
 
     def counted(self, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,16 +108,15 @@ class Keys:
         names, where = np.unique(keys, return_inverse=True)
         n, g = np.bincount(where, minlength=len(names)), np.bincount(where, flags, len(names)).astype(np.int64)
         some = self.sizes > 0
-        totals = np.array([[len(self.word), token_good.sum()], [some.sum(), (good & some).sum()]], np.int64)
-        return np.concatenate((np.array([TEXTS, TOKENS]), names)), np.concatenate((totals[::-1, 0], n)), np.concatenate((totals[::-1, 1], g))
+        totals = np.array([[some.sum(), (good & some).sum()], [len(self.word), token_good.sum()]], np.int64)
+        return np.concatenate((names, [TEXTS, TOKENS])), np.concatenate((n, totals[:, 0])), np.concatenate((g, totals[:, 1]))
 
 
 class Counts:
     """Counts of a block's keys: the corpus's where they came back, else the block's own."""
 
     def __init__(self, own: tuple[np.ndarray, np.ndarray, np.ndarray], back: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        order = np.argsort(own[0], kind="stable")
-        self.keys, counts = own[0][order], np.stack([own[2][order], own[1][order]]).astype(np.float64)
+        self.keys, counts = own[0], np.stack([own[2], own[1]]).astype(np.float64)
         at = np.searchsorted(self.keys, back[0])
         counts[0, at], counts[1, at] = back[2], back[1]
         self.counts = counts
@@ -101,37 +136,64 @@ class Counts:
         return -np.log((self.of(keys.pair) + STRENGTH * unigram) / (context + STRENGTH))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Consecutive rows of one block, as slices of the batches."""
+def _groups(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[list[pa.RecordBatch]]:
+    """Consecutive rows with one value of `by`, as slices of the batches."""
     now, parts = None, []
     for batch in batches:
         if not batch.num_rows:
             continue
-        blocks = batch["block"].to_numpy()
-        cuts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]))
+        values = batch[by].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(values)) + 1, [len(values)]))
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-            if parts and blocks[a] != now:
-                yield now, parts
+            if parts and values[a] != now:
+                yield parts
                 parts = []
-            now = int(blocks[a])
+            now = values[a]
             parts.append(batch.slice(a, z - a))
     if parts:
-        yield now, parts
+        yield parts
 
 
 def _flags(parts: list[pa.RecordBatch]) -> np.ndarray:
     return np.concatenate([p["good"].to_numpy(zero_copy_only=False).astype(bool) for p in parts])
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block, parts in _blocks(batches):
-        names, n, g = Keys([p["text"] for p in parts]).counted(_flags(parts))
-        for lo in range(0, len(names), 1 << 16):
-            piece = slice(lo, lo + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(names[piece]), pa.array(np.full(len(names[piece]), block, np.int32)), pa.array(n[piece]), pa.array(g[piece])], names=["key", "block", "n", "g"])
-
+def _asking(buckets: int):
+    """Task: what each block has, in packed rows by bucket."""
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _groups(batches, "block"):
+            keys, n, g = Keys([p["text"] for p in parts]).counted(_flags(parts))
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
+            block = parts[0]["block"][0].as_py()
+            for lo in range(0, len(cuts) - 1, 256):
+                yield _batch([_packed(int(bucket[a]), block, keys[a:z], n[a:z], g[a:z]) for a, z in zip(cuts[lo : lo + 256], cuts[lo + 1 : lo + 257], strict=False)])
+
+    return task
+
+
+def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task: sums of each bucket, packed for each block that has a key which others have too."""
+    for parts in _groups(batches, "bucket"):
+        rows = [r for p in parts for r in _unpacked(p)]
+        keys, n, g = (np.concatenate([r[c] for r in rows]) for c in (2, 3, 4))
+        names, where, times = np.unique(keys, return_inverse=True, return_counts=True)
+        words = int(np.count_nonzero((names & np.uint64(3)) == WORD))
+        n, g = (np.bincount(where, x, len(names)).astype(np.uint64) for x in (n, g))
+        shared, lo, out = times[where] > 1, 0, [_packed(rows[0][0], -1, keys[:0], n[:0], g[:0], words)]
+        for bucket, block, own, _, _ in rows:
+            at = lo + np.flatnonzero(shared[lo : lo + len(own)])
+            lo += len(own)
+            if len(at):
+                out.append(_packed(bucket, block, keys[at], n[where[at]], g[where[at]]))
+            if len(out) == 256:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
+
+
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Train both models on `docs` and score every document; one row per input row.
 
     id_col, n_tokens, target_loss, background_loss, difference: mean losses of the tokens
@@ -145,28 +207,24 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
     store = Store(spark, "lm")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-size // block_bytes))
+    n_blocks, n_buckets = max(1, -(-size // block_bytes)), max(1, -(-size // bucket_bytes))
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("good_")).distinct()
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
     block = F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block")
     # a block to a task; rows are in the order of their block only to keep blocks apart where one task has several
     placed = docs.join(good, F.col("id") == F.col("good_"), "left").select(block, F.col("good_").isNotNull().alias("good"), "id", "text").repartition(n_blocks, "block").sortWithinPartitions("block")
 
-    by_key = Window.partitionBy("key")
-    asked = placed.mapInArrow(_tally, "key long, block int, n long, g long").repartition("key")
-    summed = asked.select("key", "block", F.sum("n").over(by_key).alias("n"), F.sum("g").over(by_key).alias("g"), F.count("*").over(by_key).alias("blocks"), F.min("block").over(by_key).alias("least"))
-    seen = Observation()
-    words = F.count_if((F.col("block") == F.col("least")) & (F.col("key").bitwiseAND(F.lit(3)) == WORD))
-    shared = store.keep(summed.observe(seen, words.alias("words")).where("blocks > 1").select("block", "key", "n", "g"), "counts")
-    vocabulary = seen.get["words"] + 1
+    asked = placed.mapInArrow(_asking(n_buckets), PACKED).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    answers = store.keep(asked.mapInArrow(_answering, PACKED), "answers")
+    vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] + 1
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, parts in _blocks(batches):
-            back, rows = [], []
+        for parts in _groups(batches, "block"):
+            back, rows = [(np.zeros(0, np.uint64),) * 3], []
             for p in parts:
                 text = p["is_text"].to_numpy(zero_copy_only=False).astype(bool)
                 at = int(np.argmax(text)) if text.any() else p.num_rows
-                back.append([p.slice(0, at)[c].to_numpy() for c in ("key", "n", "g")])
+                back += [r[2:] for r in _unpacked(p.slice(0, at))]
                 if at < p.num_rows:
                     rows.append(p.slice(at))
             if not rows:
@@ -181,9 +239,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
             ids = pa.concat_arrays([p["id"] for p in rows])
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys.sizes), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
 
-    absent = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    replies = shared.select("block", F.lit(False).alias("is_text"), F.col("key"), "n", "g", absent("boolean", "good"), absent("long", "id"), absent("string", "text"))
-    asking = placed.select("block", F.lit(True).alias("is_text"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"), "good", "id", "text")
+    packed = [f.name for f in answers.schema.fields if f.name not in ("block", "words")]
+    replies = answers.where("block >= 0").select("block", F.lit(False).alias("is_text"), *packed, *[F.lit(None).cast(t).alias(c) for c, t in (("good", "boolean"), ("id", "long"), ("text", "string"))])
+    asking = placed.select("block", F.lit(True).alias("is_text"), *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in packed], "good", "id", "text")
     both = replies.unionByName(asking).repartition(n_blocks, "block").sortWithinPartitions("block", "is_text")
     return both.mapInArrow(task, "id long, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
 

@@ -70,11 +70,11 @@ def test_fingerprints_of_few_rows(spark):
     assert imatch.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 24, 3000])
-def test_language_model_against_plain_counts(spark, docs, rows, block_bytes):
+@pytest.mark.parametrize("sizes", [{}, {"block_bytes": 9000, "bucket_bytes": 12000}])
+def test_language_model_against_plain_counts(spark, docs, rows, sizes):
     good = {r[0] for r in rows if r[0] is not None and r[0] % 2 == 0}
     labels = spark.createDataFrame([(d, 1, "x") for d in sorted(good)] + [(None, 1, "x"), (101, 0, "x"), (102, None, "x")], "doc_id long, quality int, id string")
-    got = lm_score.cross_entropy_difference(docs, labels, block_bytes=block_bytes).collect()
+    got = lm_score.cross_entropy_difference(docs, labels, **sizes).collect()
     assert len(got) == len(rows)
     low = {i: i + 32 for i in range(65, 91)}
     seqs = [(r[0], words((r[1] or "").translate(low))) for r in rows]
