@@ -40,13 +40,17 @@ class Store:
         driver's collector has found that nothing refers to them.
         """
         if self.n:
-            gc.collect()
-            self.spark._jvm.System.gc()
+            self.settle()
         self.n += 1
         path = f"{self.path}/{self.n}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def settle(self) -> None:
+        """Let go of shuffle files that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table that keep() returned, once nothing reads it any more."""
         jvm = self.spark._jvm

@@ -11,8 +11,8 @@ and no count is ever gathered in the driver: the tables grow with the corpus.
 Documents are dealt by hash into blocks of about BLOCK_BYTES. A block counts its own
 words and bigrams first, and asks for the corpus counts of its keys in packed rows, one
 for each bucket of keys: sorted keys as short differences, counts in as few bytes as they
-need. A bucket adds up what all blocks have and answers each block for those of its keys
-that others have too; a key has at most one entry a block, whatever its frequency, so
+need. A bucket adds up what all blocks have and answers each block in the order of its
+keys: which of them others have too, and the counts of those. A key has at most one entry a block, whatever its frequency, so
 buckets are even. A block then scores its documents from the answers and its own counts.
 Keys are 62-bit hashes.
 """
@@ -38,8 +38,10 @@ BROADCAST_IDS = 1_000_000
 BIGRAM, WORD = 0, 1
 #: Keys of all documents that have a token, and of all tokens.
 TEXTS, TOKENS = np.uint64(2**64 - 5), np.uint64(2**64 - 1)
-#: Packed keys and counts of a block in a bucket. `words`: distinct words of the bucket, told once.
-PACKED = "bucket int, block int, size int, first long, keys binary, n binary, g binary, words long"
+#: A block's keys in a bucket, with its counts.
+ASKED = "bucket int, block int, size int, first long, keys binary, n binary, g binary"
+#: Which of those keys other blocks have too, and the sums of these. `words`: distinct words of the bucket, told once.
+ANSWER = "bucket int, block int, size int, shared binary, n binary, g binary, words long"
 _START = np.uint64(0x5157A27)
 
 
@@ -48,36 +50,40 @@ def _key(h: np.ndarray, kind: int) -> np.ndarray:
 
 
 def _few_bytes(values: np.ndarray, widths: tuple[int, ...] = (1, 2, 4, 6, 8)) -> bytes:
-    """Each of the values in as many bytes as the largest needs."""
+    """The values in as many bytes as the largest needs: all their low bytes, then the next, so that what is mostly zero lies together."""
     most = int(values.max()) if len(values) else 0
     width = next(w for w in widths if most >> (8 * w) == 0)
-    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def _values(raw: bytes, n: int) -> np.ndarray:
     """What _few_bytes() packed."""
     out = np.zeros((n, 8), np.uint8)
     if n:
-        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(n, -1)
+        out[:, : len(raw) // n] = np.frombuffer(raw, np.uint8).reshape(-1, n).T
     return out.reshape(-1).view("<u8")
 
 
-def _packed(bucket: int, block: int, keys: np.ndarray, n: np.ndarray, g: np.ndarray, words: int = 0) -> tuple:
-    """A row of PACKED; keys ascend."""
-    return bucket, block, len(keys), int(keys[:1].view(np.int64)[0]) if len(keys) else 0, _few_bytes(np.diff(keys)), _few_bytes(n), _few_bytes(g), words
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+def _asked(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(bucket, block, keys, n, g) of each row."""
     for bucket, block, size, first, keys, n, g in zip(*(batch[c].to_pylist() for c in ("bucket", "block", "size", "first", "keys", "n", "g")), strict=True):
-        steps = np.concatenate((np.array([first], np.int64).view(np.uint64), _values(keys, size - 1))) if size else np.zeros(0, np.uint64)
+        steps = np.concatenate((np.array([first], np.int64).view(np.uint64), _values(keys, size - 1)))
         yield bucket, block, np.cumsum(steps, dtype=np.uint64), _values(n, size), _values(g, size)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "block", "size", "first", "keys", "n", "g", "words"])
+def _stretches(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of ascending keys."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])).tolist()
+    for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+        yield int(bucket[a]), a, z
 
 
 class Keys:
@@ -113,13 +119,18 @@ class Keys:
 
 
 class Counts:
-    """Counts of a block's keys: the corpus's where they came back, else the block's own."""
-
-    def __init__(self, own: tuple[np.ndarray, np.ndarray, np.ndarray], back: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.keys, counts = own[0], np.stack([own[2], own[1]]).astype(np.float64)
-        at = np.searchsorted(self.keys, back[0])
-        counts[0, at], counts[1, at] = back[2], back[1]
-        self.counts = counts
+    """Counts of a block's keys: the corpus's where other blocks have them too, else the block's own."""
+
+    def __init__(self, own: tuple[np.ndarray, np.ndarray, np.ndarray], buckets: int, answers: list[pa.RecordBatch]):
+        self.keys, self.counts = own[0], np.stack([own[2], own[1]]).astype(np.float64)
+        where = {bucket: (a, z) for bucket, a, z in _stretches(self.keys, buckets)}
+        for part in answers:
+            for bucket, size, shared, n, g in zip(*(part[c].to_pylist() for c in ("bucket", "size", "shared", "n", "g")), strict=True):
+                a, z = where[bucket]
+                if z - a != size:
+                    raise ValueError("a block's texts are not those that it asked for")
+                at = a + np.flatnonzero(np.unpackbits(np.frombuffer(shared, np.uint8), count=size))
+                self.counts[0, at], self.counts[1, at] = _values(g, len(at)), _values(n, len(at))
 
     def of(self, keys: np.ndarray) -> np.ndarray:
         """(model, key) counts; 0 for keys that are not there."""
@@ -164,11 +175,13 @@ def _asking(buckets: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _groups(batches, "block"):
             keys, n, g = Keys([p["text"] for p in parts]).counted(_flags(parts))
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]))
-            block = parts[0]["block"][0].as_py()
-            for lo in range(0, len(cuts) - 1, 256):
-                yield _batch([_packed(int(bucket[a]), block, keys[a:z], n[a:z], g[a:z]) for a, z in zip(cuts[lo : lo + 256], cuts[lo + 1 : lo + 257], strict=False)])
+            block, rows = parts[0]["block"][0].as_py(), []
+            for bucket, a, z in _stretches(keys, buckets):
+                rows.append((bucket, block, z - a, int(keys[a : a + 1].view(np.int64)[0]), _few_bytes(np.diff(keys[a:z])), _few_bytes(n[a:z]), _few_bytes(g[a:z])))
+                if len(rows) == 256:
+                    yield _batch(rows, ASKED)
+                    rows = []
+            yield _batch(rows, ASKED)
 
     return task
 
@@ -176,21 +189,20 @@ def _asking(buckets: int):
 def _answering(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Task: sums of each bucket, packed for each block that has a key which others have too."""
     for parts in _groups(batches, "bucket"):
-        rows = [r for p in parts for r in _unpacked(p)]
+        rows = [r for p in parts for r in _asked(p)]
         keys, n, g = (np.concatenate([r[c] for r in rows]) for c in (2, 3, 4))
         names, where, times = np.unique(keys, return_inverse=True, return_counts=True)
         words = int(np.count_nonzero((names & np.uint64(3)) == WORD))
         n, g = (np.bincount(where, x, len(names)).astype(np.uint64) for x in (n, g))
-        shared, lo, out = times[where] > 1, 0, [_packed(rows[0][0], -1, keys[:0], n[:0], g[:0], words)]
+        shared, lo, out = times[where] > 1, 0, []
         for bucket, block, own, _, _ in rows:
-            at = lo + np.flatnonzero(shared[lo : lo + len(own)])
-            lo += len(own)
-            if len(at):
-                out.append(_packed(bucket, block, keys[at], n[where[at]], g[where[at]]))
+            mine = slice(lo, lo + len(own))
+            lo, at = lo + len(own), where[mine][shared[mine]]
+            out.append((bucket, block, len(own), np.packbits(shared[mine]).tobytes(), _few_bytes(n[at]), _few_bytes(g[at]), words if not out and mine.start == 0 else 0))
             if len(out) == 256:
-                yield _batch(out)
+                yield _batch(out, ANSWER)
                 out = []
-        yield _batch(out)
+        yield _batch(out, ANSWER)
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -214,23 +226,24 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
     # a block to a task; rows are in the order of their block only to keep blocks apart where one task has several
     placed = docs.join(good, F.col("id") == F.col("good_"), "left").select(block, F.col("good_").isNotNull().alias("good"), "id", "text").repartition(n_blocks, "block").sortWithinPartitions("block")
 
-    asked = placed.mapInArrow(_asking(n_buckets), PACKED).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
-    answers = store.keep(asked.mapInArrow(_answering, PACKED), "answers")
+    asked = placed.mapInArrow(_asking(n_buckets), ASKED).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    answers = store.keep(asked.mapInArrow(_answering, ANSWER), "answers")
     vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] + 1
+    store.settle()
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for parts in _groups(batches, "block"):
-            back, rows = [(np.zeros(0, np.uint64),) * 3], []
+            answered, rows = [], []
             for p in parts:
                 text = p["is_text"].to_numpy(zero_copy_only=False).astype(bool)
                 at = int(np.argmax(text)) if text.any() else p.num_rows
-                back += [r[2:] for r in _unpacked(p.slice(0, at))]
+                answered.append(p.slice(0, at))
                 if at < p.num_rows:
                     rows.append(p.slice(at))
             if not rows:
                 continue
             keys = Keys([p["text"] for p in rows])
-            counts = Counts(keys.counted(_flags(rows)), tuple(np.concatenate(x) for x in zip(*back, strict=True)))
+            counts = Counts(keys.counted(_flags(rows)), n_buckets, answered)
             sums, some = np.zeros((2, len(keys.sizes))), np.flatnonzero(keys.sizes)
             if len(some):
                 begin = np.cumsum(keys.sizes) - keys.sizes
@@ -240,7 +253,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys.sizes), *(pa.array(x, mask=none) for x in (mean[0], mean[1], mean[0] - mean[1]))], names=["id", "n_tokens", "target_loss", "background_loss", "difference"])
 
     packed = [f.name for f in answers.schema.fields if f.name not in ("block", "words")]
-    replies = answers.where("block >= 0").select("block", F.lit(False).alias("is_text"), *packed, *[F.lit(None).cast(t).alias(c) for c, t in (("good", "boolean"), ("id", "long"), ("text", "string"))])
+    replies = answers.select("block", F.lit(False).alias("is_text"), *packed, *[F.lit(None).cast(t).alias(c) for c, t in (("good", "boolean"), ("id", "long"), ("text", "string"))])
     asking = placed.select("block", F.lit(True).alias("is_text"), *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in packed], "good", "id", "text")
     both = replies.unionByName(asking).repartition(n_blocks, "block").sortWithinPartitions("block", "is_text")
     return both.mapInArrow(task, "id long, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
