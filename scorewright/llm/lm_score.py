@@ -31,7 +31,7 @@ from scorewright.llm.common import Store, arrow_batches, documents
 
 STRENGTH = 2.0
 #: UTF-8 bytes of texts that are counted and scored together, and of those whose keys are added up together.
-BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 10 << 20
+BLOCK_BYTES, BUCKET_BYTES = 7 << 20, 10 << 20
 #: Ids of good documents that may be sent to all tasks (about 40 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Kinds of keys, in their low two bits; sums have kind 3.
