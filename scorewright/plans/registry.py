@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scorewright.plans import registries, relations, reliability, scores, statements, texts
+from scorewright.plans import registries, relations, reliability, scores, statements, storage, texts
 
-QUERIES = scores.QUERIES | reliability.QUERIES | texts.QUERIES | relations.QUERIES | registries.QUERIES | statements.QUERIES
-SQL = scores.SQL | reliability.SQL | texts.SQL | relations.SQL | registries.SQL | statements.SQL
+QUERIES = scores.QUERIES | reliability.QUERIES | texts.QUERIES | relations.QUERIES | registries.QUERIES | statements.QUERIES | storage.QUERIES
+SQL = scores.SQL | reliability.SQL | texts.SQL | relations.SQL | registries.SQL | statements.SQL | storage.SQL
