@@ -144,21 +144,40 @@ def alias_hits_other_group(spark, sf_dir):
 
 @query("""SELECT b.item_id, d.doc_id, strpos(d.text, b.text)::BIGINT AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def phrase_containment(spark, sf_dir):
-    """Documents that contain a phrase whole. Candidates share the phrase's rarest word, so texts meet phrases by an equi-join."""
+    """Documents that contain a phrase whole.
+
+    Candidates share the rarest of a phrase's inner words, so texts meet phrases by an
+    equi-join; its first and last word may stand inside longer words of a text. A phrase
+    without an inner word is met by the rarest of its character grams. Empty phrases are
+    in no text.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase"))
-    # whole words only: the first and last of a phrase may stand inside longer words of a text
-    inner = b.select("item_id", "phrase", F.explode(F.array_distinct(F.slice(F.split("phrase", r"\s+"), F.lit(2), F.size(F.split("phrase", r"\s+"))))).alias("word"))
-    inner = inner.where("word <> ''")
-    wanted = inner.select("word").distinct()
-    words_ = d.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word")).join(wanted, "word")
-    df = words_.groupBy("word").agg(F.count("*").alias("n"))
-    longest = inner.withColumn("last_", F.element_at(F.split("phrase", r"\s+"), -1)).where("word <> last_")
-    rare = longest.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("n", "word")).alias("word"))
-    pairs = words_.join(rare, "word").select("doc_id", "item_id")
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("phrase")).where("phrase <> ''")
+    parts = F.split("phrase", r"\s+")
+    b = b.withColumn("inner_", F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda w: w != ""))
+    pairs = _met(d, b.where(F.size("inner_") > 0), F.split("text", r"\s+"), F.col("inner_"))
+    short = b.where(F.size("inner_") == 0)
+    if not short.isEmpty():
+        for n in (1, 2, 3):
+            some = short.where(F.least(F.length("phrase"), F.lit(3)) == n)
+            pairs = pairs.unionByName(_met(d, some, _grams("text", n), _grams("phrase", n)))
+    b = b.select("item_id", "phrase")
     return pairs.join(b, "item_id").join(d, "doc_id").where(F.contains("text", F.col("phrase"))).select("item_id", "doc_id", F.instr("text", F.col("phrase")).cast("long").alias("place"))
 
 
+def _grams(column: str, n: int):
+    """Character grams of a text; none where it is shorter."""
+    return F.when(F.length(column) >= n, F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.substring(F.col(column), i, F.lit(n))))
+
+
+def _met(texts, phrases, text_keys, phrase_keys):
+    """doc_id, item_id of the texts that have the rarest key of a phrase."""
+    wanted = phrases.select("item_id", F.explode(F.array_distinct(phrase_keys)).alias("key"))
+    found = texts.select("doc_id", F.explode(F.array_distinct(text_keys)).alias("key")).join(wanted.select("key").distinct(), "key")
+    rare = wanted.join(found.groupBy("key").agg(F.count("*").alias("n")), "key", "left").groupBy("item_id").agg(F.min_by("key", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("key"))
+    return found.join(rare, "key").select("doc_id", "item_id")
+
+
 _LEAD_SQL = "substring(text, 1, 200)"
 
 

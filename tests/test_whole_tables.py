@@ -37,3 +37,12 @@ def test_lookup_covers_all_orders(spark, tmp_path):
     spark.createDataFrame([(1, 300, 9), (2, 300, 300 % 7), (3, 70_000, 9), (4, 299, 1)], "l_orderkey long, l_partkey long, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = {(r["p"], r["k"]) for r in QUERIES["two_pass_lookup"](spark, str(tmp_path)).collect()}
     assert got == {(299, 4), (300, 2), (70_000, 3), (5, None)}
+
+
+def test_short_phrases_are_found(spark, tmp_path):
+    texts = {1: "alpha beta gamma", 2: "xalpha betaz", 3: "alpha  beta", 4: "of the of the", 5: "b", 6: "", 7: None}
+    phrases = {1: "alpha beta", 2: "gamma", 3: "of the of", 4: "b", 5: "zz", 6: "", 7: "alpha gamma"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(phrases.items()), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r["item_id"], r["doc_id"]): r["place"] for r in QUERIES["phrase_containment"](spark, str(tmp_path)).collect()}
+    assert got == {(i, d): t.index(p) + 1 for i, p in phrases.items() if p for d, t in texts.items() if t and p in t}
