@@ -44,7 +44,11 @@ def test_matches_sql(spark, duck, name):
             assert x == (pytest.approx(y, abs=2e-6) if isinstance(y, float) else y)
 
 
+#: The invented prose of the tables names no metric; test_whole_tables.py holds these two against texts that do.
+WORDLESS = {"link_claims_extracted", "numeric_change_checks"}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() > 0
+    assert (QUERIES[name](spark, DATA).count() == 0) == (name in WORDLESS)
