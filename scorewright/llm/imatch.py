@@ -35,6 +35,8 @@ SLOTS = 1 << 14
 #: Rows of neighbouring ids that are put in order together.
 RUN = 2000
 SEGMENTS = 64
+#: Runs whose order is found in one task, and runs that one task puts in order at most, on average.
+RUN_BLOCK, RUNS_A_TASK = 4096, 32
 #: Runs whose first ids may be sent to all tasks (about 16 MB); more are joined by a shuffle.
 BROADCAST_RUNS = 1_000_000
 
@@ -122,17 +124,20 @@ def with_next(docs: DataFrame, id_col: str, order: list[str], more: Callable[[Da
     start, stop = arr[seg - 1], arr[seg]
     run = F.when(i.isNull(), F.lit(-1).cast("long")).otherwise(seg.cast("long") * inner + F.least(F.floor((i - start) * F.lit(inner) / (stop - start)), F.lit(inner - 1)))
     placed = docs.withColumn("run_", run)
-    firsts = placed.groupBy("run_").agg(F.min(id_col).alias("first_"))
-    # one row for a run of RUN documents or so: few enough to order in one place
-    by_run = Window.orderBy("run_")
-    ends = firsts.select(F.col("first_"), F.lag("run_").over(by_run).alias("before_"), F.max("run_").over(Window.partitionBy()).alias("last_"), F.row_number().over(by_run).alias("k_"))
-    ends = ends.select("first_", F.when(F.col("k_") == 1, F.col("last_")).otherwise(F.col("before_")).alias("run_"))
+    firsts = placed.groupBy("run_").agg(F.min(id_col).alias("first_")).withColumn("block_", F.floor(F.col("run_") / RUN_BLOCK))
+    # runs are ordered within their block, and blocks (a row for millions of documents) by themselves
+    blocks = firsts.groupBy("block_").agg(F.max("run_").alias("tail_"))
+    blocks = blocks.select("block_", F.coalesce(F.lag("tail_").over(Window.orderBy("block_")), F.max("tail_").over(Window.partitionBy())).alias("earlier_"))
+    in_block = Window.partitionBy("block_").orderBy("run_")
+    ends = firsts.join(blocks, "block_").select("first_", F.coalesce(F.lag("run_").over(in_block), F.col("earlier_")).alias("run_"))
     if n // RUN <= BROADCAST_RUNS:
         ends = F.broadcast(ends)
     tail = docs.join(ends, docs[id_col].eqNullSafe(ends["first_"])).drop("first_").withColumn("end_", F.lit(1))
     whole = placed.withColumn("end_", F.lit(0)).unionByName(tail)
     w = Window.partitionBy("run_").orderBy("end_", F.col(id_col).asc_nulls_first(), *order)
-    ahead = more(whole.repartition("run_")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    tasks = n // (RUN * RUNS_A_TASK)
+    more_tasks = [tasks] if tasks > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ahead = more(whole.repartition(*more_tasks, "run_")).select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
     return ahead.where("end_ = 0").drop("run_", "end_")
 
 
