@@ -190,12 +190,21 @@ def _equal_lanes(left: pa.Array, right: pa.Array, lanes: int) -> np.ndarray:
     return (_matrix(left.to_pylist(), lanes) == _matrix(right.to_pylist(), lanes)).sum(axis=1)
 
 
+def _counts_here(same: np.ndarray, rows: int, band: int) -> np.ndarray:
+    """Of pairs that share `band`, by their equal lanes: those to be told in it, the first or the second band they seem to share.
+
+    Signatures hold 16 bits of each minimum, so one band in tens of thousands seems shared
+    and is not; were pairs told in the first only, such a pair would be told nowhere.
+    """
+    return same.reshape(len(same), same.shape[1] // rows, rows)[:, :band].all(axis=2).sum(axis=1) <= 1
+
+
 def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int, bands: int, least: int, threshold: int, keep) -> tuple[DataFrame, DataFrame]:
     """Pairs of one bucket that lie in different components: those of small buckets with like signatures, and the links of larger ones.
 
     Each such pair has a member outside its bucket's most frequent component, so
     only those members are held against the bucket, block by block. A pair counts
-    in the first band that it shares.
+    in the first two bands that it seems to share.
     """
     lanes = rows * bands
     at = buckets.join(comp, buckets["cls"] == comp["node"], "left").select("key", "band", "size", "cls", F.coalesce("component", "cls").alias("comp"))
@@ -209,7 +218,7 @@ def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int,
         return blocks(told.where("comp <> main"), "x").join(blocks(told, "y").drop("band"), "key").select("band", "x", "y")
 
     def hits(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """(x members, y members, place in x, places in y that differ in component and have like signatures and this band first)."""
+        """(x members, y members, place in x, places in y that differ in component and have like signatures and are told in this band)."""
         for band, x, y in zip(batch["band"].to_pylist(), batch["x"], batch["y"], strict=True):
             x, y = x.values, y.values
             sx, sy = _matrix(x.field("sig").to_pylist(), lanes), _matrix(y.field("sig").to_pylist(), lanes)
@@ -217,10 +226,9 @@ def _unsettled(buckets: DataFrame, comp: DataFrame, sets: DataFrame, rows: int,
             for i in range(len(sx)):
                 same = sy == sx[i]
                 hit = np.flatnonzero((same.sum(axis=1) >= least) & (cy != cx[i]))
+                hit = hit[_counts_here(same[hit], rows, band)]
                 if len(hit):
-                    hit = hit[same[hit].reshape(len(hit), bands, rows).all(axis=2).argmax(axis=1) == band]
-                    if len(hit):
-                        yield x, y, i, hit
+                    yield x, y, i, hit
 
     def batch_of(left: list, right: list) -> pa.RecordBatch:
         a, b = (np.concatenate(side) if side else np.zeros(0, np.int64) for side in (left, right))
