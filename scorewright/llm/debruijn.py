@@ -4,9 +4,12 @@ Windows of `length` words are edges between their first and last `length - 1` wo
 Edges that repeat are found as runs which share a minimizer (windows.py), so an edge
 here is a run of one or more windows. Where a node has one edge in and one out, the
 two are one path; pointer doubling joins paths to their first edge, in rounds that
-are as many as the logarithm of the longest path. An occurrence of a path in a
-document is verified by its coordinates: the runs found there must follow one
-another without a gap to count as one span, else each counts alone.
+are as many as the logarithm of the longest path. Runs of a document that follow one
+another on a path are one span of it. A span is verified against its source: the words
+at its coordinates are read again, and another span of the same stretch of the path
+must have the same words (by their 128-bit BLAKE2 digest). Where a document holds a
+stretch of a path that no other holds from end to end, its edges are verified singly.
+Only verified spans count, so no result rests on the 64-bit hashes that found it.
 """
 
 from __future__ import annotations
@@ -90,8 +93,67 @@ def compacted(edges: DataFrame, store: Store) -> DataFrame:
     return state.select("edge", F.when(F.col("open"), F.col("edge")).otherwise(F.col("path")).alias("path"), F.when(F.col("open"), 0).otherwise(F.col("shift")).alias("shift"))
 
 
+def verified(units: DataFrame, docs: DataFrame, store: Store, length: int) -> tuple[DataFrame, DataFrame]:
+    """Units (id, th, first, last, key) whose source words another unit of their key has too, and the rest.
+
+    A row that stands several times counts as often.
+    """
+    lists = units.distinct().groupBy("id", "th").agg(F.collect_list(F.struct("first", "last", "key")).alias("runs"))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, row, digest = batch["runs"], [], []
+            for i, text in enumerate(batch["text"].cast(pa.large_binary())):
+                words = text.as_py().split()
+                own = runs[i].values
+                for first, last in zip(own.field("first").to_pylist(), own.field("last").to_pylist(), strict=True):
+                    row.append(i)
+                    digest.append(hashlib.blake2b(b" ".join(words[first : last + length]), digest_size=16).digest())
+            flat, at = runs.flatten(), pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["id"].take(at), batch["th"].take(at), *(flat.field(c) for c in ("first", "last", "key")), pa.array(digest, pa.binary())], names=["id", "th", "first", "last", "key", "digest"])
+
+    read = store.keep(W.with_lists(docs, lists).mapInArrow(task, "id long, th long, first int, last int, key long, digest binary"), "digests")
+    equal = W.alike(store.keep(read.groupBy("key", "digest").agg(F.count("*").alias("c")).where("c > 1").select("key", "digest"), "equal"))
+    return read.join(equal, ["key", "digest"], "left_semi").drop("digest"), read.join(equal, ["key", "digest"], "left_anti").drop("digest")
+
+
+def path_spans(placed: DataFrame, paths: DataFrame) -> DataFrame:
+    """Occurrences of paths: id, th, path, first, last, key (of the stretch of the path), whole (without a gap), pieces.
+
+    `placed` has the edges of documents (id, th, first, last, edge). Edges of one document
+    that lie on one path at the same distance from its start make one occurrence.
+    """
+    line = (F.col("first") - F.col("shift")).alias("line")
+    spans = placed.join(paths, "edge").groupBy("id", "th", "path", line).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.collect_set(F.struct("first", "last", F.col("edge").alias("key"))).alias("pieces"))
+    key = F.xxhash64("path", F.col("a") - F.col("line"), F.col("b") - F.col("line")).alias("key")
+    return spans.select("id", "th", "path", F.col("a").alias("first"), F.col("b").alias("last"), key, (F.col("n") == F.col("b") - F.col("a") + 1).alias("whole"), "pieces")
+
+
+def settled(spans: DataFrame, docs: DataFrame, store: Store, length: int) -> DataFrame:
+    """Windows (id, th, first, last) of the occurrences that the source words bear out.
+
+    A path all of whose occurrences share their stretch with another is verified by
+    occurrence, any other path by edge, as two occurrences may share only a part. So are
+    the paths of occurrences that fail, that is, of edges told equal by their hashes alone.
+    """
+    stretches = spans.groupBy("path", "key").agg(F.count("*").alias("c"), F.min("whole").alias("whole"))
+    parted = store.keep(stretches.where("c = 1 or not whole").select("path").distinct(), "parted")
+    by_span = store.keep(spans.join(W.alike(parted), "path", "left_anti").select("id", "th", "first", "last", "key", "path"), "whole")
+    whole, failed = verified(by_span.drop("path"), docs, store, length)
+
+    def edges_on(some: DataFrame) -> DataFrame:
+        own = spans.join(W.alike(some), "path", "left_semi").select("id", "th", F.explode("pieces").alias("r"))
+        return verified(own.select("id", "th", "r.first", "r.last", "r.key"), docs, store, length)[0]
+
+    found = whole.unionByName(edges_on(parted))
+    if not failed.isEmpty():
+        again = by_span.join(failed.select("key").distinct(), "key", "left_semi").select("path").distinct()
+        found = found.unionByName(edges_on(store.keep(again, "failed")))
+    return found.select("id", "th", "first", "last")
+
+
 def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int = GRAM) -> DataFrame:
-    """Window starts that repeat, joined to spans along the compacted paths: id, th, first, last."""
+    """Window starts that repeat, as verified spans of the compacted paths: id, th, first, last."""
     rows = store.keep(W.super_rows(docs, "words", length, k), "rows")
     again = store.keep(W.repeated_rows(rows, store), "candidates")
     store.drop(rows)
@@ -104,13 +166,12 @@ def repeated_spans(docs: DataFrame, store: Store, length: int = LENGTH, k: int =
     paths = store.keep(compacted(store.keep(edges, "distinct"), store), "unitigs")
     placed = again.join(classes.where("n > 1").select("fp", "sx"), ["fp", "sx"], "left_semi").select("id", "th", "first", "last", F.xxhash64("fp", "sx").alias("edge"))
     placed = placed.unionByName(single.select("id", "th", F.col("at").alias("first"), F.col("at").alias("last"), edge))
-    spans = placed.join(paths, "edge").groupBy("id", "th", "path", (F.col("first") - F.col("shift")).alias("line")).agg(F.min("first").alias("a"), F.max("last").alias("b"), F.sum(F.col("last") - F.col("first") + 1).alias("n"), F.collect_set(F.struct("first", "last")).alias("pieces"))
-    gapless = F.col("n") == F.col("b") - F.col("a") + 1
-    spans = spans.select("id", "th", F.explode(F.when(gapless, F.array(F.struct(F.col("a").alias("first"), F.col("b").alias("last")))).otherwise(F.col("pieces"))).alias("r")).select("id", "th", "r.first", "r.last")
-    spans = store.keep(spans, "spans")
+    spans = store.keep(path_spans(placed, paths), "occurrences")
     for table in (again, classes, found, single, paths):
         store.drop(table)
-    return spans
+    done = store.keep(settled(spans, docs, store, length), "spans")
+    store.drop(spans)
+    return done
 
 
 def substring_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = False, keep: list[str] | tuple[str, ...] = ()) -> DataFrame:

@@ -100,7 +100,7 @@ def classes_of(rows: DataFrame, store: Store) -> DataFrame:
 RUN = 16
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
+def with_lists(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """Documents (id, th, text) that have a list (id, th, runs), with it."""
     source = docs.withColumnsRenamed({"id": "id_", "th": "th_"})
     return source.join(lists, source["id_"].eqNullSafe(lists["id"]) & (source["th_"] == lists["th"])).select("id", "th", "text", "runs")
@@ -150,7 +150,7 @@ def short_runs(classes: DataFrame, docs: DataFrame, unit: str, length: int) -> D
                 row = pa.array(doc[which] + chunk.lo)
                 yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(at.astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(n[which]), pa.array(fp[which]), pa.array(R.signed(whole)), pa.array(R.signed(core))], names=["id", "th", "at", "count", "n", "fp", "whole", "core"])
 
-    return _with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, count int, n long, fp long, whole long, core long")
+    return with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, count int, n long, fp long, whole long, core long")
 
 
 def single_windows(runs: DataFrame, docs: DataFrame, unit: str, length: int) -> DataFrame:
@@ -169,7 +169,7 @@ def single_windows(runs: DataFrame, docs: DataFrame, unit: str, length: int) ->
                 row, pick = pa.array(doc[which] + chunk.lo), pa.array(which)
                 yield pa.RecordBatch.from_arrays([batch["id"].take(row), batch["th"].take(row), pa.array(at.astype(np.int32)), *(flat.field(c).take(pick) for c in ("n", "core", "whole")), pa.array(R.signed(key))], names=["id", "th", "at", "n", "core", "whole", "key"])
 
-    return _with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, n long, core long, whole long, key long")
+    return with_lists(docs, wanted).mapInArrow(task, "id long, th long, at int, n long, core long, whole long, key long")
 
 
 def shared_ranges(runs: DataFrame, docs: DataFrame, store: Store, unit: str, length: int) -> DataFrame:
@@ -185,9 +185,9 @@ def shared_ranges(runs: DataFrame, docs: DataFrame, store: Store, unit: str, len
 
 
 def shared_windows(windows: DataFrame, store: Store) -> DataFrame:
-    """Windows of single rows whose content another class has too."""
+    """Windows of representatives whose content another class has too."""
     twice = store.keep(windows.groupBy("key", "fp").agg(F.count("*").alias("c")).where("c > 1").select("key", "fp"), "twice")
-    return windows.where("n = 1").join(alike(twice), ["key", "fp"], "left_semi")
+    return windows.join(alike(twice), ["key", "fp"], "left_semi")
 
 
 def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:

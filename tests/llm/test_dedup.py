@@ -164,3 +164,24 @@ def test_words_of_chunks():
     assert got == [words(t) for t in texts]
     whole = next(rolling.chunks(pa.array(["ab", "ab"], pa.string())))
     assert len(set(rolling.Words(whole).hash.tolist())) == 1
+
+
+def test_spans_are_read_again_in_their_source(spark):
+    """Two documents are told to hold a path that a third holds in part, and one whose words differ where hashes would say they do not."""
+    first, second, odd = ([f"{c}{i}" for i in range(40)] for c in "abx")
+    texts = [first + second, ["pre"] + first + second, first + odd]
+    docs = spark.createDataFrame([(i, i, " ".join(t)) for i, t in enumerate(texts)], "id long, th long, text string")
+    # windows of 40 words: one edge of 41 windows in two halves, placed in all three documents
+    placed = [(i, i, at + off, at + off + 19 + at // 20, edge) for i, off in ((0, 0), (1, 1), (2, 0)) for at, edge in ((0, 11), (20, 22))]
+    spans = debruijn.path_spans(spark.createDataFrame(placed, "id long, th long, first int, last int, edge long"), spark.createDataFrame([(11, 7, 0), (22, 7, 20)], "edge long, path long, shift long"))
+    assert spans.where("whole").count() == 3 and spans.select("key").distinct().count() == 1
+    got = {tuple(r) for r in debruijn.settled(spans, docs, Store(spark, "source"), 40).collect()}
+    covered = {(i, w) for i, _, a, b in got for w in range(a, b + 1)}
+    assert covered == {(0, w) for w in range(41)} | {(1, w) for w in range(1, 42)}
+
+
+def test_no_span_without_the_graph(docs, monkeypatch):
+    """Spans are those of paths: with no path there is none."""
+    assert debruijn.substring_dedup(docs).where("n_removed > 0").count() > 0
+    monkeypatch.setattr(debruijn, "compacted", lambda edges, store: edges.selectExpr("edge", "edge as path", "0L as shift").limit(0))
+    assert debruijn.substring_dedup(docs).where("n_removed > 0").count() == 0
