@@ -53,4 +53,4 @@ def edge_flags(df: DataFrame, value: str, id_col: str, *, groups: list[str], sha
     both = ordinal_rank(top, value, [F.col(id_col).asc()], "from_bottom", groups=groups, descending=False)
     sizes = df.groupBy(*groups).agg(F.count("*").alias("n_"))
     size = edge_size(F.col("n_"), share, rounding=rounding)
-    return both.join(F.broadcast(sizes), groups).select(*groups, id_col, (F.col("from_top") <= size).alias("in_top"), (F.col("from_bottom") <= size).alias("in_bottom"), size.alias("edge_size"))
+    return both.join(sizes, groups).select(*groups, id_col, (F.col("from_top") <= size).alias("in_top"), (F.col("from_bottom") <= size).alias("in_bottom"), size.alias("edge_size"))
