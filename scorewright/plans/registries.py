@@ -61,7 +61,7 @@ def discrepancy_triage(spark, sf_dir):
     return l.select("l_orderkey", "l_linenumber", t.alias("t")).select("l_orderkey", "l_linenumber", F.concat("t.label", F.lit("/"), "t.reason").alias("triage"))
 
 
-@query("""WITH x AS (SELECT doc_id, lower(substring(text, 1, 200)) AS t FROM documents), h AS (SELECT doc_id, t, contains(t, 'risk')::INTEGER + contains(t, 'market')::INTEGER + contains(t, 'sen')::INTEGER AS z, """ + " + ".join(f"contains(t, '{w}')::INTEGER" for w in G.EVIDENCE_WORDS["AR04"]) + """ AS hits FROM x)
+@query("""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents), h AS (SELECT doc_id, t, contains(t, 'risk')::INTEGER + contains(t, 'market')::INTEGER + contains(t, 'sen')::INTEGER AS z, """ + " + ".join(f"contains(t, '{w}')::INTEGER" for w in G.EVIDENCE_WORDS["AR04"]) + """ AS hits FROM x)
 SELECT doc_id, CASE WHEN trim(t) = '' THEN 'not_checkable' WHEN hits = 0 THEN 'weak' WHEN hits >= 2 THEN 'strong' ELSE 'acceptable' END AS status, CASE WHEN trim(t) = '' THEN 'evidence_not_in_text' WHEN hits = 0 THEN 'missing_risk_or_outlook' ELSE 'none' END AS issue FROM h""")
 def evidence_semantics(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -129,7 +129,7 @@ def first_filled_metadata(spark, sf_dir):
     return G.first_filled(c.select("c_custkey"), [a, b], "c_custkey", ["segment"])
 
 
-@query("""WITH t AS (SELECT l_partkey AS p, l_suppkey AS s, l_orderkey AS k FROM lineitem), r AS (SELECT DISTINCT o_custkey AS p, o_custkey % 7 AS s FROM orders WHERE o_custkey < 300),
+@query("""WITH t AS (SELECT l_partkey AS p, l_suppkey AS s, l_orderkey AS k FROM lineitem), r AS (SELECT DISTINCT o_custkey AS p, o_custkey % 7 AS s FROM orders),
 m AS (SELECT r.p, r.s, t.k, row_number() OVER (PARTITION BY r.p, r.s ORDER BY (t.s <> r.s)::INTEGER, t.k) AS n FROM r JOIN t ON t.p = r.p) SELECT r.p, r.s, m.k FROM r LEFT JOIN m ON m.p = r.p AND m.s = r.s AND m.n = 1""")
 def two_pass_lookup(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_orderkey").alias("k"), F.col("l_orderkey").alias("o"))
