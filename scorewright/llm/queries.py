@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from scorewright.llm.debruijn import op9_substring_dedup
 from scorewright.llm.decontaminate import op1_benchmark_decontamination
+from scorewright.llm.hamerly import op13_centroid_clustering
 from scorewright.llm.imatch import op4_imatch_fingerprints
+from scorewright.llm.impact_search import op12_ranked_lexical_search
 from scorewright.llm.langid import op2_language_id
 from scorewright.llm.lm_score import op5_lm_scoring
 from scorewright.llm.minhash import op10_minhash_near_dedup
+from scorewright.llm.posting_lists import op11_nearest_neighbours
 from scorewright.llm.sentencepiece_nbest import op6_sentencepiece_nbest
 from scorewright.llm.suffix_dedup import op7_suffix_array_dedup
 from scorewright.llm.token_rollup import op8_token_counts
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_nearest_neighbours": op11_nearest_neighbours,
+    "op12_ranked_lexical_search": op12_ranked_lexical_search,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -39,6 +45,26 @@ def _likeness(a: str, b: str) -> str:
     return f"coalesce(({_share(a, b, 'fine', 2)} + {_share(a, b, 'coarse', 1)}) / 2, CASE WHEN {a}.whole = {b}.whole THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+def _clusters(k: int, rounds: int, dimensions: int) -> str:
+    """Every round written out: assignments a0, a1, ... and centroids c0, c1, ..."""
+    names = f"sha256('2:' || vec_id)"
+    out = [
+        f"v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = {dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimensions})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY {names}) - 1 AS k, x AS c FROM (SELECT * FROM v ORDER BY {names} LIMIT {k}))",
+    ]
+    for i in range(rounds + 1):
+        out.append(f"a{i} AS (SELECT vec_id, any_value(x) AS x, min(list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT * {k} + k) AS best FROM v, c{i} GROUP BY vec_id)")
+        if i < rounds:
+            out.append(f"s{i} AS (SELECT best % {k} AS k, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT best, x, unnest(range(1, {dimensions + 1})) AS j FROM a{i}) GROUP BY 1, 2)")
+            out.append(f"m{i} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM s{i} GROUP BY k)")
+            out.append(f"c{i + 1} AS (SELECT c{i}.k, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (k))")
+    out.append(f"o AS (SELECT vec_id, best % {k} AS k, best // {k} AS d FROM a{rounds})")
+    return f"WITH {', '.join(out)} SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM o JOIN c{rounds} USING (k)"
+
+
 SQL = {
     # no masks here: an overlap with so few substitutions has this many pairs of neighbours that are equal
     "op1_benchmark_decontamination": """
@@ -119,4 +145,15 @@ c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """,
+    "op12_ranked_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+s AS (SELECT count(*) FILTER (len(ws) > 0) AS nn, sum(len(ws))::BIGINT AS ll FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d) GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM t, s GROUP BY term, nn),
+g AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * nn) // ll))) * times)::BIGINT AS score FROM t JOIN q USING (term) JOIN w USING (term), s GROUP BY 1, 2),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM g WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 20
+""",
+    "op13_centroid_clustering": _clusters(40, 5, 64),
 }
