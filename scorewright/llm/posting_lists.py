@@ -35,6 +35,8 @@ REACH, LEAST_SEEN = 0.13, 512
 #: Components of a block of a list, and searches that meet a block together.
 BLOCK_COMPONENTS, SEARCHES = 1 << 16, 256
 NEIGHBOURS, LINKS, ENTRIES, POOL = 16, 4, 32, 32
+#: Nearest so far that a task holds before it thins them out.
+HELD = 1 << 17
 #: Components beyond are taken as this where centroids are searched.
 _WIDEST = 1e100
 
@@ -193,6 +195,21 @@ def nearest(q: np.ndarray, c: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.n
     return r[good], s[good], d[good]
 
 
+def _thinned(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each search among (search, vector, distance) entries; a vector that stands in several lists once."""
+    q, c, d = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort((c, d, q))
+    q, c, d = q[order], c[order], d[order]
+    fresh = np.concatenate(([True], (q[1:] != q[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])))[: len(q)]
+    q, c, d = q[fresh], c[fresh], d[fresh]
+    good = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[good], c[good], d[good]
+
+
+def _told(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["q", "cls", "score"])
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -270,13 +287,23 @@ def _searched(classes: DataFrame, asking: DataFrame, width: int, n: int, top: in
     searches = _packed(probes, "q", max(1, min(SEARCHES, BLOCK_COMPONENTS // width)), "part")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the blocks that a task meets, each search's nearest; told early where a task has very many searches."""
+        kept, waiting = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
                 q, c = _matrix(one["q_vecs"], width), _matrix(one["cls_vecs"], width)
                 names, ids = one["q_ids"].flatten().to_numpy(), one["cls_ids"].flatten().to_numpy()
                 r, s, d = nearest(q, c, ids, top + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[s]), pa.array(d)], names=["q", "cls", "score"])
+                kept.append((names[r], ids[s], d))
+                waiting += len(r)
+                if waiting > HELD:
+                    kept = [_thinned(kept, top + 1)]
+                    if len(kept[0][0]) > HELD // 2:
+                        yield _told(kept.pop())
+                    waiting = sum(len(x[0]) for x in kept)
+        if kept:
+            yield _told(_thinned(kept, top + 1))
 
     near = held.join(searches, "list").select("q_ids", "q_vecs", "cls_ids", "cls_vecs").mapInArrow(measured, "q long, cls long, score double")
     # a class may be in several lists; of so many entries at least top + 1 differ
