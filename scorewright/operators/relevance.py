@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.text import alias_pattern, has_any, one_spaced
+from scorewright.operators.aliases import names_found
 
 #: Words of a company's legal form that its short name leaves out. Fixed values.
 LEGAL_WORDS = r"(?i)\b(Berhad|Bhd|Holdings?|Corporation|Industries|Group|Malaysia)\b"
@@ -36,25 +37,31 @@ def _alias(alias: Column, kind: str, strength: str, ord_: int) -> Column:
 
 
 def own_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, group_col: str) -> DataFrame:
-    """id, hits (sorted aliases of the article's own group that stand in it between word borders).
+    """id, hits (sorted aliases of the article's own group that stand in it between word borders)."""
+    a = aliases.select(F.col("ticker").alias("g_"), "alias", F.lower(one_spaced(F.col("alias"))).alias("name"))
+    found = names_found(articles.select(id_col, F.col(group_col).alias("group_"), text.alias("body_")), a.select("name", F.lit("alnum").alias("rule")), F.col("body_"), keep=[id_col, "group_"])
+    own = found.join(a, (found["name"] == a["name"]) & (F.col("group_") == F.col("g_")))
+    return own.groupBy(id_col).agg(F.array_sort(F.collect_set("alias")).alias("hits"))
 
-    An equi-join on the group, then a pattern test; groups have few aliases.
-    """
-    a = aliases.select(F.col("ticker").alias("g_"), "alias", F.concat(F.lit(r"(?i)(^|[^A-Za-z0-9])\Q"), "alias", F.lit(r"\E([^A-Za-z0-9]|$)")).alias("pattern_"))
-    found = articles.select(id_col, F.col(group_col).alias("group_"), text.alias("text_")).join(a, F.col("group_") == F.col("g_")).where(F.regexp_like("text_", F.col("pattern_")))
-    return found.groupBy(id_col).agg(F.array_sort(F.collect_set("alias")).alias("hits"))
 
+def other_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, group_col: str, order: list[str], most: int = 5) -> DataFrame:
+    """id, hits: the first `most` strong aliases (longer than four characters, by `order`) of other groups that stand in a text, wherever."""
+    spaced = one_spaced(F.col("alias"))
+    a = aliases.where((F.col("match_strength") == "strong") & (F.length(spaced) > 4)).select(F.col("ticker").alias("g_"), F.struct(*order, "alias").alias("a_"), F.lower(spaced).alias("name"))
+    found = names_found(articles.select(id_col, F.col(group_col).alias("group_"), text.alias("body_")), a.select("name", F.lit("any").alias("rule")), F.col("body_"), keep=[id_col, "group_"])
+    others = found.join(a, (found["name"] == a["name"]) & (F.col("group_") != F.col("g_")))
+    return others.groupBy(id_col).agg(F.array_sort(F.collect_set("a_")).alias("a_")).select(id_col, F.transform(F.slice("a_", 1, most), lambda x: x["alias"]).alias("hits"))
 
-def other_alias_hits(articles: DataFrame, aliases: list[tuple[str, str]], text: Column, *, id_col: str, group_col: str, most: int = 5) -> DataFrame:
-    """id, hits: the first `most` strong aliases (longer than four characters, in the order given) of other groups that stand in a text.
 
-    The alias list is a parameter of the plan, as it is a fixed dictionary: one scan of
-    the text for each, no join of texts with aliases.
-    """
-    lowered = F.lower(text)
-    tests = [F.when((F.col(group_col) != g) & F.contains(lowered, F.lit(a.lower())), F.lit(a)) for g, a in aliases if len(a) > 4]
-    hits = F.slice(F.array_compact(F.array(*tests)), 1, most) if tests else F.array().cast("array<string>")
-    return articles.select(id_col, hits.alias("hits")).where(F.size("hits") > 0)
+def any_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, order: list[str]) -> DataFrame:
+    """id, hits, mentions: aliases of any group in a text, strong ones first and then by `order`, and how often they stand there. Weak ones count at word borders, others wherever."""
+    a = aliases.select(F.struct(F.array_position(F.array(F.lit("weak"), F.lit("medium"), F.lit("strong")), F.col("match_strength")).cast("int").alias("sure"), *order, "alias").alias("a_"), F.lower(F.trim("alias")).alias("name"), F.when(F.col("match_strength") == "weak", "edge").otherwise("any").alias("rule"))
+    a = a.withColumn("a_", F.col("a_").withField("sure", -F.col("a_.sure")))
+    found = names_found(articles.select(id_col, text.alias("body_")), a.select("name", "rule"), F.col("body_"), keep=[id_col])
+    # names that differ in case alone are one name and are mentioned together
+    named = found.join(a, ["name", "rule"]).groupBy(id_col, "name", "rule").agg(F.first("n").alias("n"), F.collect_set("a_").alias("a_"))
+    held = named.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("a_"))).alias("a_"), F.sum("n").alias("mentions"))
+    return held.select(id_col, F.transform("a_", lambda x: x["alias"]).alias("hits"), "mentions")
 
 
 def decided(rules: list[tuple[Column, str, str, str]], default: tuple[str, str, str]) -> Column:
@@ -93,4 +100,4 @@ def strict_mode(status: Column, include: Column) -> Column:
     return F.when((include == "Manual") | (status == "low_confidence_company_news"), "No").otherwise(include)
 
 
-__all__ = ["alias_pattern", "alias_table", "decided", "other_alias_hits", "own_alias_hits", "relevance", "strict_mode"]
+__all__ = ["alias_pattern", "alias_table", "any_alias_hits", "decided", "other_alias_hits", "own_alias_hits", "relevance", "strict_mode"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewright.functions import text as X
+from scorewright.operators import aliases as A
 from scorewright.operators import claims as C
 from scorewright.operators import context as P
 from scorewright.operators import dedupe as D
@@ -91,8 +92,7 @@ def _count_sql(t: str, keys: list[str]) -> str:
 
 @query("SELECT source, lang, " + ", ".join(f"bool_or({_count_sql('text', k)} > 0) AS has_{n}, sum({_count_sql('text', k)})::BIGINT AS n_{n}" for n, k in CATEGORIES.items()) + " FROM documents GROUP BY source, lang")
 def keyword_coverage_map(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("source", "lang", *[X.keyword_count(F.col("text"), k).alias(n) for n, k in CATEGORIES.items()])
-    return d.groupBy("source", "lang").agg(*[a for n in CATEGORIES for a in (F.bool_or(F.col(n) > 0).alias(f"has_{n}"), F.sum(n).alias(f"n_{n}"))])
+    return A.category_counts(table(spark, sf_dir, "documents"), CATEGORIES, F.col("text"), groups=["source", "lang"])
 
 
 @query("WITH f AS (SELECT sha256(text) AS body, min(doc_id) AS first FROM documents GROUP BY 1) SELECT doc_id, sha256(text) AS body_sha256, doc_id > first AS is_repeat FROM documents JOIN f ON body = sha256(text)")
@@ -128,18 +128,61 @@ def url_source_name(spark, sf_dir):
 ALIASES = [("src0", "thnd"), ("src1", "onthe"), ("src2", "erer"), ("src3", "sch der"), ("src4", "thing"), ("src5", "tion"), ("src6", "anesea"), ("src7", "de la"), ("src8", "ening"), ("src9", "erblend"), ("src10", "than"), ("src11", "ciónes")]
 
 
-@query(f"WITH a(g, alias) AS (VALUES {_values(ALIASES)}) SELECT doc_id, list_sort(list(alias)) AS hits FROM documents JOIN a ON g = source AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)') GROUP BY doc_id")
-def alias_hits_own_group(spark, sf_dir):
-    aliases = spark.createDataFrame(ALIASES, "ticker string, alias string")
-    return V.own_alias_hits(table(spark, sf_dir, "documents"), aliases, F.col("text"), id_col="doc_id", group_col="source")
+#: An alias table out of the words of `benchmark`: thousands of names, each of one source, longer ones surer.
+_ALIASES_SQL = r"""words AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM benchmark) GROUP BY w),
+a AS (SELECT 'src' || (item_id + length(w)) % 20 AS ticker, w AS alias, CASE WHEN length(w) > 4 THEN 'strong' WHEN length(w) = 4 THEN 'medium' ELSE 'weak' END AS match_strength FROM words)"""
+
 
+def benchmark_aliases(spark, sf_dir):
+    w, n = F.col("w"), F.length("w")
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))).alias("w")).groupBy("w").agg(F.min("item_id").alias("item_id"))
+    return words.select(F.concat(F.lit("src"), ((F.col("item_id") + n) % 20).cast("string")).alias("ticker"), w.alias("alias"), F.when(n > 4, "strong").when(n == 4, "medium").otherwise("weak").alias("match_strength"))
 
-_OTHERS = ", ".join(f"CASE WHEN source <> '{g}' AND contains(lower(text), '{a}') THEN '{a}' END" for g, a in ALIASES if len(a) > 4)
+
+@query(f"WITH {_ALIASES_SQL} SELECT doc_id, list_sort(list(alias)) AS hits FROM documents JOIN a ON ticker = source AND regexp_matches(text, '(?i)(^|[^A-Za-z0-9])' || alias || '([^A-Za-z0-9]|$)') GROUP BY doc_id")
+def alias_hits_own_group(spark, sf_dir):
+    return V.own_alias_hits(table(spark, sf_dir, "documents"), benchmark_aliases(spark, sf_dir), F.col("text"), id_col="doc_id", group_col="source")
 
 
-@query(f"WITH x AS (SELECT doc_id, list_filter([{_OTHERS}], lambda v: v IS NOT NULL)[1:5] AS hits FROM documents) SELECT * FROM x WHERE len(hits) > 0")
+@query(f"WITH {_ALIASES_SQL}, x AS (SELECT doc_id, list(alias ORDER BY ticker, alias) AS hits FROM documents JOIN a ON ticker <> source AND match_strength = 'strong' AND contains(lower(text), lower(alias)) GROUP BY doc_id) SELECT doc_id, hits[1:5] AS hits FROM x")
 def alias_hits_other_group(spark, sf_dir):
-    return V.other_alias_hits(table(spark, sf_dir, "documents"), ALIASES, F.col("text"), id_col="doc_id", group_col="source")
+    return V.other_alias_hits(table(spark, sf_dir, "documents"), benchmark_aliases(spark, sf_dir), F.col("text"), id_col="doc_id", group_col="source", order=["ticker"])
+
+
+@query(rf"""WITH {_ALIASES_SQL}, d AS (SELECT doc_id, lower(text) AS t, ' ' || regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_]', '  ', 'g') || ' ' AS words FROM documents),
+h AS (SELECT doc_id, ticker, alias, array_position(['strong', 'medium', 'weak'], match_strength) AS sure, CASE WHEN match_strength = 'weak' THEN (length(words) - length(replace(words, ' ' || lower(alias) || ' ', ''))) // (length(alias) + 2) ELSE (length(t) - length(replace(t, lower(alias), ''))) // length(alias) END AS n FROM d JOIN a ON CASE WHEN match_strength = 'weak' THEN contains(words, ' ' || lower(alias) || ' ') ELSE contains(t, lower(alias)) END),
+m AS (SELECT doc_id, sum(n) AS mentions FROM (SELECT DISTINCT doc_id, lower(alias), sure, n FROM h) GROUP BY 1)
+SELECT doc_id, list(alias ORDER BY sure, ticker, alias) AS hits, any_value(mentions)::BIGINT AS mentions FROM h JOIN m USING (doc_id) GROUP BY doc_id""")
+def alias_hits_any_group(spark, sf_dir):
+    return V.any_alias_hits(table(spark, sf_dir, "documents"), benchmark_aliases(spark, sf_dir), F.col("text"), id_col="doc_id", order=["ticker"])
+
+
+_COMPANIES_SQL = """co AS (SELECT 'T' || c_custkey AS ticker, lpad(c_custkey::VARCHAR, 5, '0') AS stock_code, c_mktsegment || ' ' || c_custkey || ' Holdings Berhad' AS company_name, c_mktsegment || ' ' || c_custkey AS short FROM customer),
+al AS (SELECT ticker, company_name AS alias, 'legal_name' AS alias_type, 'strong' AS match_strength FROM co UNION ALL SELECT ticker, short, 'short_name', 'medium' FROM co UNION ALL SELECT ticker, ticker, 'ticker', 'weak' FROM co UNION ALL SELECT ticker, stock_code, 'stock_code', 'weak' FROM co)"""
+
+
+def companies(spark, sf_dir):
+    key = F.col("c_custkey").cast("string")
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("T"), key).alias("ticker"), F.lpad(key, 5, "0").alias("stock_code"), F.concat("c_mktsegment", F.lit(" "), key, F.lit(" Holdings Berhad")).alias("company_name"))
+
+
+@query(f"WITH {_COMPANIES_SQL} SELECT * FROM al")
+def company_alias_table(spark, sf_dir):
+    """Aliases of every customer as a company: legal and short name, ticker and code."""
+    return V.alias_table(companies(spark, sf_dir))
+
+
+@query(f"""WITH {_COMPANIES_SQL}, t AS (SELECT o_orderkey, 'T' || o_custkey AS ticker, CASE o_orderkey % 5 WHEN 0 THEN 'Talks of ' || lower(company_name) || ' ended' WHEN 1 THEN short || 's and others' WHEN 2 THEN 'Board: (t' || o_custkey || ')' WHEN 3 THEN 'code ' || stock_code || '; ' || upper(short) ELSE 'No. ' || o_custkey || '0 ' || ticker || '_' END AS text FROM orders JOIN co ON ticker = 'T' || o_custkey),
+h AS (SELECT o_orderkey, alias FROM t JOIN al USING (ticker) WHERE regexp_matches(lower(text), '(^|[^a-z0-9])' || lower(alias) || '([^a-z0-9]|$)'))
+SELECT o_orderkey, list_sort(list(alias)) AS hits FROM h GROUP BY 1""")
+def order_alias_hits(spark, sf_dir):
+    """A line about each order's customer, in one of five wordings: which of the customer's aliases it has. All customers' aliases make one table."""
+    c, k = companies(spark, sf_dir), F.col("o_custkey").cast("string")
+    o = table(spark, sf_dir, "orders").withColumn("ticker", F.concat(F.lit("T"), k)).join(c, "ticker")
+    short = F.replace(F.col("company_name"), F.lit(" Holdings Berhad"), F.lit(""))
+    kind = F.col("o_orderkey") % 5
+    text = F.when(kind == 0, F.concat(F.lit("Talks of "), F.lower("company_name"), F.lit(" ended"))).when(kind == 1, F.concat(short, F.lit("s and others"))).when(kind == 2, F.concat(F.lit("Board: (t"), k, F.lit(")"))).when(kind == 3, F.concat(F.lit("code "), "stock_code", F.lit("; "), F.upper(short))).otherwise(F.concat(F.lit("No. "), k, F.lit("0 "), "ticker", F.lit("_")))
+    return V.own_alias_hits(o.select("o_orderkey", "ticker", text.alias("text")), V.alias_table(c), F.col("text"), id_col="o_orderkey", group_col="ticker")
 
 
 @query("""SELECT b.item_id, d.doc_id, strpos(d.text, b.text)::BIGINT AS place FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
@@ -363,8 +406,14 @@ def numeric_document_summary(spark, sf_dir):
     return N.document_summary(d, N.numeric_checks(d))
 
 
-@query(None)
+@query("""WITH RECURSIVE f AS (SELECT doc_id, length(text) >= 200 AS fit, sha256(text) AS body, concat_ws('|', source, lang, lower(substring(text, 1, 24))) AS title FROM documents),
+e AS (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, body, title FROM f WHERE fit),
+r AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS bodies, []::VARCHAR[] AS titles, -1::BIGINT AS doc_id, false AS included
+  UNION ALL SELECT i, CASE WHEN ok THEN list_append(bodies, body) ELSE bodies END, CASE WHEN ok THEN list_append(titles, title) ELSE titles END, doc_id, ok
+  FROM (SELECT e.*, bodies, titles, NOT list_contains(bodies, body) AND NOT list_contains(titles, title) AS ok FROM r JOIN e ON e.i = r.i + 1))
+SELECT f.doc_id, fit, coalesce(included, false) AS included FROM f LEFT JOIN r USING (doc_id)""")
 def greedy_dedupe(spark, sf_dir):
+    """The first of documents that share a text or a title; a title is source, language and the text's first 24 characters, as article titles are short."""
     from scorewright.sources.tables import keeper
 
     d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("body"), F.concat_ws("|", "source", "lang", F.lower(F.substring("text", 1, 24))).alias("title_key"), (F.char_length("text") >= 200).alias("fit"))
