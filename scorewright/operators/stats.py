@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from scorewright.functions.numbers import pearson_of
 from scorewright.operators.ranking import average_rank
+from scorewright.operators.scan import Blocks, added, numbered
 
 
 def summary(df: DataFrame, value: str, groups: list[str] | None = None) -> DataFrame:
@@ -60,15 +65,32 @@ def weighted_kappa(df: DataFrame, x: str, y: str, *, low: int = 1, high: int = 5
     return m.select("n", F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("expected") < 1e-12, flat).otherwise(F.round(1 - F.col("seen") / F.when(F.col("expected") < 1e-12, F.lit(1.0)).otherwise(F.col("expected")), 6)).alias("kappa"))
 
 
-def trimmed_mean(df: DataFrame, value: str, groups: list[str], order: list[str], *, least: int = 10, share: float = 0.1) -> DataFrame:
-    """Mean without the lowest and highest max(1, int(share * n)) values; of groups under `least` rows, the plain mean."""
-    from pyspark.sql import Window
+def trimmed_mean(df: DataFrame, value: str, groups: list[str], *, least: int = 10, share: float = 0.1) -> DataFrame:
+    """Mean without the lowest and highest max(1, int(share * n)) values; of groups under `least` rows, the plain mean.
 
-    w = Window.partitionBy(*groups).orderBy(value, *order)
-    n = F.count("*").over(Window.partitionBy(*groups))
-    cut = F.when(n < least, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n * share)))
-    numbered = df.select(*groups, value, F.row_number().over(w).alias("nth_"), n.alias("n_"), cut.alias("cut_"))
-    return numbered.where("nth_ > cut_ and nth_ <= n_ - cut_").groupBy(*groups).agg(F.round(F.avg(value), 6).alias("trimmed_mean"))
+    Equal values are counted together and laid out in ranges. Ranges between the two cuts
+    add their sums; only in the ranges that a cut falls into, at most two of a group, are
+    values counted one by one. Null values are left out.
+    """
+    x = F.col(value).cast("double")
+    counts = df.where(x.isNotNull()).groupBy(*groups, x.alias("x_")).agg(F.count("*").alias("k_"))
+    b = Blocks(counts, groups, ["x_"])
+    rows = b.with_before(upto_=added(F.sum("k_"))).withColumn("upto_", F.coalesce("upto_", F.lit(0)))
+    sizes = counts.groupBy(*[F.col(g).alias(f"g_{g}") for g in groups]).agg(F.sum("k_").alias("n_"))
+    cut = F.when(F.col("n_") < least, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n_") * share)))
+    same = reduce(lambda p, q: p & q, [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in groups])
+    rows = rows.join(sizes.withColumn("cut_", cut), same).drop(*[f"g_{g}" for g in groups])
+    blocks = rows.groupBy(*groups, "block_").agg(F.first("upto_").alias("from_"), F.sum("k_").alias("rows_"), F.sum(F.col("k_") * F.col("x_")).alias("sum_"), F.first("n_").alias("n_"), F.first("cut_").alias("cut_"))
+    low, high, stop = F.col("cut_"), F.col("n_") - F.col("cut_"), F.col("from_") + F.col("rows_")
+    whole = (F.col("from_") >= low) & (stop <= high)
+    parts = blocks.where(whole).select(*groups, "sum_", F.col("rows_").alias("kept_"))
+    # of the blocks that a cut falls into
+    open_ = blocks.where(~whole & (F.col("from_") < high) & (stop > low)).select(*[F.col(g).alias(f"g_{g}") for g in groups], F.col("block_").alias("b_"))
+    near = rows.join(open_, same & (F.col("block_") == F.col("b_")), "left_semi")
+    start = F.col("upto_") + F.coalesce(F.sum("k_").over(b.inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = near.withColumn("start_", start).withColumn("kept_", F.greatest(F.lit(0), F.least(F.col("start_") + F.col("k_"), high) - F.greatest("start_", low)))
+    parts = parts.unionByName(near.select(*groups, (F.col("kept_") * F.col("x_")).alias("sum_"), "kept_"))
+    return parts.groupBy(*groups).agg(F.round(F.sum("sum_") / F.sum("kept_"), 6).alias("trimmed_mean"))
 
 
 def paired_t(df: DataFrame, before: str, after: str, groups: list[str] | None = None) -> DataFrame:
@@ -117,51 +139,72 @@ def _fraction(x: float, a: float, b: float) -> float:
     return value
 
 
-#: Rows from which a group is resampled row by row instead of in one task.
-LARGE_GROUP = 10_000
+#: Rows of a group that one task resamples, and that one draw of a tree's leaf covers; powers of two.
+BLOCK, LEAF = 4096, 64
 
 
-def bootstrap_interval(df: DataFrame, value: str, groups: list[str], order: str, *, rounds: int = 500, seed: int = 42, least: int = 5, large: int = LARGE_GROUP) -> DataFrame:
+def bootstrap_interval(df: DataFrame, value: str, groups: list[str], order: str, *, rounds: int = 500, seed: int = 42, least: int = 5, block: int = BLOCK) -> DataFrame:
     """Percentile bootstrap of group means: groups, n, low, high; null bounds under `least` rows.
 
-    Groups under `large` rows draw by position from the group's values in `order`, with
-    a generator of a fixed seed for each group. Larger groups have another generator:
-    each row has a Poisson(1) weight in each round, from a hash of seed, group, order,
-    value and round, and sums of weights combine before the shuffle, so no task holds a
-    group. Results do not depend on partitioning. `order` is distinct in a group.
+    In each round a group of n rows is drawn from n times. How often each row is drawn is
+    split down a binary tree over the rows in `order`: a node's draws fall left or right by
+    a binomial of its own generator, known by seed, group and node; the draws of a leaf of
+    64 rows fall by a multinomial. So the counts are those of sampling with replacement,
+    for groups of every size alike, and do not depend on how rows are partitioned or
+    blocked: a task gets `block` rows of a group, finds their draws along the path from
+    the root, and tells one sum a round. `order` is distinct in a group. Null values and
+    such as are not finite are left out.
     """
-    import pandas as pd
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        pdf = pdf.sort_values(order)
-        x = pdf[value].tolist()
-        low = high = None
-        if len(x) >= least:
-            draw = random.Random(seed)
-            means = sorted(sum(draw.choice(x) for _ in x) / len(x) for _ in range(rounds))
-            low, high = round(means[int(0.025 * rounds)], 6), round(means[min(rounds - 1, int(0.975 * rounds))], 6)
-        return pd.DataFrame([[*(pdf[g].iloc[0] for g in groups), len(x), low, high]], columns=[*groups, "n", "low", "high"])
-
-    schema = ", ".join(f"{g} {df.schema[g].dataType.simpleString()}" for g in groups)
-    rows = df.select(*groups, order, value)
-    # at most one row for `large` rows of the table
-    big = F.broadcast(rows.groupBy(*groups).agg(F.count("*").alias("n_")).where(F.col("n_") >= large).select(*[F.col(g).alias(f"big_{g}") for g in groups], "n_"))
-    on = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"big_{g}")) for g in groups])
-    small = rows.join(big, on, "left_anti").groupBy(*groups).applyInPandas(resample, f"{schema}, n long, low double, high double")
-    return small.unionByName(_poisson_interval(rows.join(big, on), value, groups, order, rounds, seed))
-
-
-def _poisson_interval(rows: DataFrame, value: str, groups: list[str], order: str, rounds: int, seed: int) -> DataFrame:
-    """Interval of rows that carry their group's size n_, from a weight for each row and round."""
-    drawn = rows.select(*groups, "n_", F.col(value).cast("double").alias("x_"), F.xxhash64(F.lit(seed), *groups, order, value).alias("h_"), F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round_"))
-    u = F.shiftrightunsigned(F.xxhash64("h_", "round_"), 11) / float(1 << 53)
-    drawn = drawn.select(*groups, "n_", "x_", "round_", u.alias("u_"))
-    # thresholds of the distribution function; what lies beyond is under the step of u
-    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(18)]
-    w = reduce(lambda a, b: a + b, [(F.col("u_") >= c).cast("int") for c in steps])
-    weighed = drawn.select(*groups, "n_", "x_", "round_", w.alias("w_")).where("w_ > 0")
-    means = weighed.groupBy(*groups, "n_", "round_").agg((F.sum(F.col("w_") * F.col("x_")) / F.sum("w_")).alias("mean_"))
-    lists = means.groupBy(*groups).agg(F.max("n_").alias("n"), F.sort_array(F.collect_list("mean_")).alias("l_"))
-    return lists.select(*groups, "n", F.round(F.get("l_", F.lit(int(0.025 * rounds))), 6).alias("low"), F.round(F.get("l_", F.lit(min(rounds - 1, int(0.975 * rounds)))), 6).alias("high"))
+    x = F.col(value).cast("double")
+    rows = df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(*groups, order, x.alias("x_"))
+    names = [F.col(g).alias(f"g_{g}") for g in groups]
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in groups])
+    sizes = rows.groupBy(*names).agg(F.count("*").alias("n"))
+    placed = numbered(rows, groups, [order], "place_")
+    dealt = placed.groupBy(*groups, F.floor((F.col("place_") - 1) / block).alias("block_")).agg(F.sort_array(F.collect_list(F.struct("place_", "x_"))).alias("rows_"))
+    dealt = dealt.join(sizes.where(F.col("n") >= least), same).select(*groups, "n", "block_", F.xxhash64(F.lit(seed), *groups).alias("key_"), F.transform("rows_", lambda r: r["x_"]).alias("values_"))
+    fields = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in groups)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [drawn_sums(np.array(v.as_py()), b.as_py() * block, n.as_py(), k.as_py(), rounds, block) for v, b, n, k in zip(*(batch[c] for c in ("values_", "block_", "n", "key_")), strict=True)]
+            told = pa.array([s.tolist() for s in sums], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*[batch[g] for g in groups], batch["n"], told], names=[*groups, "n", "sums_"])
+
+    sums = dealt.mapInArrow(resample, f"{fields}, n long, sums_ array<double>")
+    means = sums.where(F.col("n") <= block).select(*groups, "n", F.transform("sums_", lambda s: s / F.col("n")).alias("means_"))
+    large = sums.where(F.col("n") > block).select(*groups, "n", F.posexplode("sums_").alias("round_", "s_")).groupBy(*groups, "n", "round_").agg((F.sum("s_") / F.col("n")).alias("mean_"))
+    means = means.unionByName(large.groupBy(*groups, "n").agg(F.collect_list("mean_").alias("means_")))
+    ordered = F.sort_array("means_")
+    bounds = means.select(*names, F.round(F.get(ordered, F.lit(int(0.025 * rounds))), 6).alias("low"), F.round(F.get(ordered, F.lit(min(rounds - 1, int(0.975 * rounds)))), 6).alias("high"))
+    every = rows.groupBy(*groups).agg(F.count("*").alias("n"))
+    return every.join(bounds, same, "left").select(*groups, "n", "low", "high")
+
+
+def drawn_sums(values: np.ndarray, start: int, n: int, key: int, rounds: int, block: int) -> np.ndarray:
+    """Sum of the values drawn in each round, of rows `start` and on of a group of n."""
+
+    def node(at: int, size: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=np.array([key & (1 << 64) - 1, at << 8 | size.bit_length()], np.uint64)))
+
+    def left(at: int, size: int, count: np.ndarray) -> np.ndarray:
+        half, rows = size // 2, min(size, n - at)
+        return count if rows <= half else node(at, size).binomial(count, half / rows)
+
+    at, size, count = 0, 1 << (n - 1).bit_length(), np.full(rounds, n)
+    while size > block:
+        to_left = left(at, size, count)
+        size //= 2
+        at, count = (at, to_left) if start < at + size else (at + size, count - to_left)
+    total, open_ = np.zeros(rounds), [(at, size, count)]
+    while open_:
+        at, size, count = open_.pop()
+        if size <= LEAF:
+            some = values[at - start : at - start + size]
+            total += node(at, size).multinomial(count, np.full(len(some), 1 / len(some))) @ some
+        else:
+            to_left, half = left(at, size, count), size // 2
+            open_.append((at, half, to_left))
+            if at + half < n:
+                open_.append((at + half, half, count - to_left))
+    return total
