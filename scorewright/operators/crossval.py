@@ -22,27 +22,47 @@ def topics_close(a: Column, b: Column) -> Column:
     return out
 
 
-def types_close(a: Column, b: Column) -> Column:
-    return (a == b) | (a.isin(*CLOSE_TYPES) & b.isin(*CLOSE_TYPES))
-
-
 def directions_conflict(a: Column, b: Column) -> Column:
     a, b = F.lower(a), F.lower(b)
     return (a.isin(*UP) & b.isin(*DOWN)) | (a.isin(*DOWN) & b.isin(*UP))
 
 
+def _topic_key(topic: Column) -> Column:
+    """Equal for close topics: the number of a group, else the topic itself. No topic is in two groups."""
+    out = F.concat(F.lit("="), topic)
+    for i, group in enumerate(TOPIC_GROUPS):
+        out = F.when(topic.isin(*group), F.lit(f"group {i}")).otherwise(out)
+    return out
+
+
+def _type_key(kind: Column) -> Column:
+    """Equal for close claim types."""
+    return F.when(kind.isin(*CLOSE_TYPES), F.lit("group")).otherwise(F.concat(F.lit("="), kind))
+
+
 def best_documents(news: DataFrame, reports: DataFrame) -> DataFrame:
     """news columns plus mda_document_id and report_year of the best report of the same company.
 
     2 for a report whose year or the half year after it the article falls in, else 1,
     and 1 more for the same year; ties go to the report first in order (mda_ord).
     `news` has news_claim_id, ticker, publish_date; `reports` mda_document_id, ticker,
-    report_year, mda_ord. A max_by aggregate, not a sort of all candidates.
+    report_year, mda_ord.
+
+    So the first report of the article's year is best; without one that of the year
+    before, for articles of the first half year; without one the company's first. An
+    article is looked up in these three tables, each with a row for a company and year,
+    or company: it meets three rows however many reports its company has.
     """
-    pairs = news.select("news_claim_id", "ticker", "publish_date").join(reports.select("ticker", "mda_document_id", "report_year", "mda_ord"), "ticker")
-    fits = F.when(time_alignment(F.col("report_year"), F.col("publish_date")).isin("same_period", "post_mda"), 2).otherwise(1) + F.when(F.year("publish_date") == F.col("report_year"), 1).otherwise(0)
-    best = pairs.groupBy("news_claim_id").agg(F.max_by(F.struct("mda_document_id", "report_year"), F.struct(fits, -F.col("mda_ord"))).alias("best_"))
-    return news.join(best, "news_claim_id").select(*news.columns, "best_.*")
+    packed = F.struct("mda_document_id", "report_year")
+    yearly = reports.where("report_year is not null").groupBy("ticker", F.col("report_year").cast("int").alias("year_")).agg(F.min_by(packed, "mda_ord").alias("of_year_"))
+    ever = reports.groupBy("ticker").agg(F.min_by(packed, "mda_ord").alias("first_"))
+    named = lambda df, *names: df.toDF("t_", *names)
+    same, prior, first = named(yearly, "y_", "same_"), named(yearly, "y_", "prior_"), named(ever, "first_")
+    year = F.year("publish_date")
+    out = news.join(first, F.col("ticker") == F.col("t_")).drop("t_")
+    out = out.join(same, (F.col("ticker") == F.col("t_")) & (year == F.col("y_")), "left").drop("t_", "y_")
+    out = out.join(prior, (F.col("ticker") == F.col("t_")) & (F.when(F.month("publish_date") <= 6, year - 1) == F.col("y_")), "left").drop("t_", "y_")
+    return out.withColumn("best_", F.coalesce("same_", "prior_", "first_")).select(*news.columns, "best_.*")
 
 
 def linked_claims(news: DataFrame, mda_claims: DataFrame) -> DataFrame:
@@ -51,14 +71,36 @@ def linked_claims(news: DataFrame, mda_claims: DataFrame) -> DataFrame:
     Candidates have a close topic; only if there are none, a close claim type. Of
     those, +3 for the same topic, +2 type, +2 metric, +4 conflicting directions, +4
     cautious against optimistic; ties go to the first claim (claim_ord).
+
+    Claims are alike if they agree in topic, type and direction, and in the metric where
+    that is to count. Of claims alike in one report only the first can be best, and news
+    claims that are alike have the same best one; so kinds of claims meet kinds of news
+    claims, in blocks of report and close topic, once with and once without equal
+    metrics, and then, for the kinds that found nothing, in blocks of close type.
+    A block holds no more pairs than there are pairs of labels, whatever the report's size.
     """
-    m = mda_claims.select("mda_document_id", F.col("claim_id").alias("m_claim_id"), F.col("topic").alias("m_topic"), F.col("claim_type").alias("m_type"), F.col("metric_name").alias("m_metric"), F.col("direction").alias("m_direction"), F.col("claim_ord").alias("m_ord"))
-    pairs = news.select("news_claim_id", "mda_document_id", "topic", "claim_type", "metric_name", "direction").join(m, "mda_document_id")
-    near, kind = topics_close(F.col("m_topic"), F.col("topic")), types_close(F.col("m_type"), F.col("claim_type"))
+    labels = ["topic", "claim_type", "direction"]
+    kinds = news.select("mda_document_id", *labels, "metric_name").distinct()
+    claim = F.struct(F.col("claim_ord").alias("ord"), F.col("claim_id").alias("m_claim_id"), F.col("topic").alias("m_topic"), F.col("claim_type").alias("m_type"), F.col("direction").alias("m_direction"))
+    first = lambda *more: mda_claims.groupBy(F.col("mda_document_id").alias("d_"), *[F.col(c).alias(f"k_{c}") for c in (*labels, *more)]).agg(F.min(claim).alias("m_"))
+    plain, exact = first(), first("metric_name").where("k_metric_name <> ''")
+    c, m = F.col, lambda n: F.col(f"m_.{n}")
     plus = lambda when, n: F.when(F.coalesce(when, F.lit(False)), n).otherwise(0)
-    score = plus(F.col("m_topic") == F.col("topic"), 3) + plus(F.col("m_type") == F.col("claim_type"), 2) + plus((F.col("m_metric") != "") & (F.col("m_metric") == F.col("metric_name")), 2) + plus(directions_conflict(F.col("m_direction"), F.col("direction")), 4) + plus((F.col("m_direction") == "cautious") & (F.col("direction") == "optimistic"), 4)
-    best = pairs.where(near | kind).groupBy("news_claim_id").agg(F.max_by(F.struct("m_claim_id", "m_topic", "m_type", "m_direction"), F.struct(near.cast("int"), score, -F.col("m_ord"))).alias("m_"))
-    return news.join(best, "news_claim_id", "left").select(*news.columns, "m_.*")
+    score = plus(m("m_topic") == c("topic"), 3) + plus(m("m_type") == c("claim_type"), 2) + plus(directions_conflict(m("m_direction"), c("direction")), 4) + plus((m("m_direction") == "cautious") & (c("direction") == "optimistic"), 4)
+
+    def best(rows: DataFrame, key, label: str) -> DataFrame:
+        block = (c("mda_document_id") == c("d_")) & (key(c(f"k_{label}")) == key(c(label)))
+        alike = rows.join(plain, block).withColumn("score_", score).select(*kinds.columns, "m_", "score_")
+        metric = rows.join(exact, block & (c("k_metric_name") == c("metric_name"))).withColumn("score_", score + 2).select(*kinds.columns, "m_", "score_")
+        return alike.unionByName(metric).groupBy(*kinds.columns).agg(F.max_by("m_", F.struct("score_", -m("ord"))).alias("m_"))
+
+    near = best(kinds, _topic_key, "topic")
+    named = lambda df: df.toDF(*[f"n_{x}" for x in kinds.columns], "m_")
+    same = lambda df: [c(x).eqNullSafe(df[f"n_{x}"]) for x in kinds.columns]
+    found = named(near)
+    left = kinds.join(found, same(found), "left_anti")
+    both = named(near.unionByName(best(left, _type_key, "claim_type")))
+    return news.join(both, same(both), "left").select(*news.columns, m("m_claim_id"), m("m_topic"), m("m_type"), m("m_direction"))
 
 
 def relation(row: DataFrame) -> DataFrame:
