@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import csv as csv_reader
 import io
 import json
 import re
+import struct
 import zipfile
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 #: Names that an object may keep its records under.
 WRAPPERS = ("articles", "items", "rows", "data", "news", "results")
@@ -113,30 +117,147 @@ def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     return j.select("path", F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "removed").when(F.col("a") != F.col("b"), "altered").alias("change")).where("change is not null")
 
 
-def archive_rows(spark: SparkSession, path: str, columns: list[str], *, most_members: int | None = None, most_rows: int | None = None) -> DataFrame:
-    """member, row_ord and named columns of the CSV files in zip archives. The limits are for inspection; without them everything is read."""
-    import csv as reader
+#: Bytes that a member's rows may hold before they are passed on, and that are inflated at a time.
+PIECE = 1 << 20
+MEMBER = "archive string, member string, method int, crc long, size long, packed binary, error string"
 
-    names = ["archive", "member", "row_ord", *columns]
 
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def archive_members(files: DataFrame) -> DataFrame:
+    """archive, member, method, crc, size, packed, error: the members of zip archives (path, content) as they are packed.
+
+    An archive's list of members is read, and each becomes a row of its own; nothing is
+    inflated here. An archive whose list cannot be read is a row without a member, a
+    member that does not lie where the list says is a row with an error.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                for rows in _in_pieces(_listed(path, content), lambda r: len(r[5] or b"")):
+                    yield pd.DataFrame(rows, columns=[f.split()[0] for f in MEMBER.split(", ")])
+
+    return files.select("path", "content").where("content is not null").mapInPandas(listed, MEMBER)
+
+
+def _listed(path: str, content: bytes) -> Iterator[tuple]:
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            infos = [i for i in z.infolist() if not i.is_dir()]
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, struct.error) as e:
+        yield path, None, None, None, None, None, f"damaged_archive: {e}"
+        return
+    for i in infos:
+        at = i.header_offset
+        head = content[at : at + 30]
+        start = at + 30 + sum(struct.unpack("<HH", head[26:30])) if len(head) == 30 and head[:4] == b"PK\x03\x04" else -1
+        packed = content[start : start + i.compress_size] if start >= 0 else b""
+        error = "encrypted" if i.flag_bits & 1 else "damaged_member: no header" if start < 0 else "damaged_member: cut off" if len(packed) < i.compress_size else None
+        yield path, i.filename, i.compress_type, i.CRC, i.file_size, None if error else packed, error
+
+
+def _in_pieces(rows: Iterator[tuple], weight: Callable[[tuple], int], most: int = 16 * PIECE) -> Iterator[list[tuple]]:
+    held, size = [], 0
+    for r in rows:
+        held.append(r)
+        size += weight(r) + 200
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _inflated(packed: bytes, method: int) -> Iterator[bytes]:
+    if method == zipfile.ZIP_STORED:
+        yield from (packed[i : i + PIECE] for i in range(0, len(packed), PIECE))
+        return
+    if method != zipfile.ZIP_DEFLATED:
+        raise zipfile.BadZipFile(f"packed by method {method}")
+    d = zlib.decompressobj(-15)
+    rest = packed
+    while not d.eof:
+        piece = d.decompress(rest, PIECE)
+        rest = d.unconsumed_tail
+        if not piece and not rest and not d.eof:
+            raise zipfile.BadZipFile("cut off")
+        yield piece
+
+
+def _damage(packed: bytes, method: int, crc: int, size: int) -> str | None:
+    """What is wrong with a member, found by inflating it once without keeping it."""
+    seen = total = 0
+    try:
+        for piece in _inflated(packed, method):
+            seen, total = zlib.crc32(piece, seen), total + len(piece)
+            if total > size:
+                break
+    except (zlib.error, zipfile.BadZipFile) as e:
+        return f"damaged_member: {e}"
+    return None if (seen, total) == (crc, size) else "damaged_member: wrong checksum"
+
+
+class _Inflating(io.RawIOBase):
+    """A member's bytes as a file that is inflated as it is read."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.left = pieces, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.left:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return 0
+            self.left = piece
+        n = min(len(buffer), len(self.left))
+        buffer[:n], self.left = self.left[:n], self.left[n:]
+        return n
+
+
+def member_rows(members: DataFrame, columns: list[str], *, most_rows: int | None = None) -> DataFrame:
+    """archive, member, row_ord, columns, error: rows of the CSV members that archive_members() lists, and a row for each that cannot be read (row_ord -1).
+
+    Members are dealt out to tasks of their own. Each is checked before a row of it is
+    told: a damaged one gives its error and no row, and stops no other. Missing columns and
+    values are empty. A member is inflated piece by piece, so only its packed bytes are held whole.
+    """
+    names = ["archive", "member", "row_ord", *columns, "error"]
+
+    def one(r: tuple) -> Iterator[tuple]:
+        archive, member, method, crc, size, packed, error = r
+        error = error if isinstance(error, str) else _damage(packed, int(method), int(crc), int(size))
+        blank = [None] * len(columns)
+        if error:
+            yield archive, member, -1, *blank, error
+            return
+        with io.TextIOWrapper(io.BufferedReader(_Inflating(_inflated(packed, int(method))), PIECE), "utf-8-sig", errors="replace", newline="") as f:
+            try:
+                for k, row in enumerate(csv_reader.DictReader(f)):
+                    if most_rows is not None and k >= most_rows:
+                        break
+                    yield archive, member, k, *((row.get(c) or "") for c in columns), None
+            except csv_reader.Error as e:
+                yield archive, member, -1, *blank, f"unreadable_rows: {e}"
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for p, content in zip(b["path"], b["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in sorted(n for n in z.namelist() if n.lower().endswith(".csv"))[:most_members]:
-                        with io.TextIOWrapper(z.open(m), "utf-8-sig", errors="replace", newline="") as f:
-                            rows = []
-                            for k, r in enumerate(reader.DictReader(f)):
-                                if most_rows is not None and k >= most_rows:
-                                    break
-                                rows.append((p, m, k, *((r.get(c) or "") for c in columns)))
-                                if len(rows) == 10_000:
-                                    yield pd.DataFrame(rows, columns=names)
-                                    rows = []
-                            yield pd.DataFrame(rows, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(task, "archive string, member string, row_ord long, " + ", ".join(f"`{c}` string" for c in columns))
+            for r in b.itertuples(index=False, name=None):
+                for rows in _in_pieces(one(r), lambda x: sum(len(c or "") for c in x[3:])):
+                    yield pd.DataFrame(rows, columns=names)
+
+    wanted = members.where("member is null or error is not null or lower(member) like '%.csv'")
+    return wanted.repartition("archive", "member").mapInPandas(read, "archive string, member string, row_ord long, " + ", ".join(f"`{c}` string" for c in columns) + ", error string")
+
+
+def archive_rows(spark: SparkSession, path: str, columns: list[str], *, most_members: int | None = None, most_rows: int | None = None) -> DataFrame:
+    """member_rows() of the zip archives at a path; Spark's source passes over files of no bytes. The limits are for inspection (the first members by name of an archive, the first rows of each); without them everything is read."""
+    members = archive_members(spark.read.format("binaryFile").load(path).select("path", "content"))
+    if most_members is not None:
+        nth = F.row_number().over(Window.partitionBy("archive").orderBy("member"))
+        members = members.where("member is null or lower(member) like '%.csv'").withColumn("nth_", nth).where(F.col("nth_") <= most_members).drop("nth_")
+    return member_rows(members, columns, most_rows=most_rows)
 
 
 def office_text(content: bytes, ending: str) -> tuple[str, str]:
@@ -190,19 +311,6 @@ def first_with_rows(candidates: list[DataFrame], accept: Column | None = None) -
     return candidates[-1]
 
 
-def model_scores(tasks: DataFrame, scorer, schema: str) -> DataFrame:
-    """Calls an injected scorer with one batch of task rows at a time; it returns rows of `schema`.
-
-    The scorer may call a service; failures of single tasks are its rows with a status.
-    """
-
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield scorer(b)
-
-    return tasks.mapInPandas(task, schema)
-
-
 def simple_payload(text: str) -> dict:
     """A payload as a dictionary; anything but an object is boxed under `value`."""
     value = json.loads(text)
