@@ -36,6 +36,7 @@ FATAL = {
     "other literal": ("invalid_escape_or_quote", "repair_json"),
     "gave up": ("timeout_or_no_response", "rescore_dimensionwise"),
     "no object": ("not_json", "rescore_dimensionwise"),
+    "too deep": ("nested_too_deeply", "rescore_dimensionwise"),
     "unknown": ("missing_comma_or_brace", "repair_json"),
 }
 _LITERALS = {"True": "true", "False": "false", "None": "null"}
@@ -88,13 +89,15 @@ def _proper(found: list[Token], defects: set[str]) -> str:
 
 
 def read(raw: str | None) -> tuple[bool, str | None, str, str]:
-    """(ok, payload as JSON, what was wrong, what helps). An intact text has nothing wrong."""
+    """(ok, payload as JSON, what was wrong, what helps). An intact text has nothing wrong; one nested deeper than Python reads cannot be read."""
     text, defects = (raw or "").strip(), set()
     if not text:
         return False, None, *FATAL["nothing"]
     written = lambda value: json.dumps(value, sort_keys=True, ensure_ascii=False)
     try:
         return True, written(json.loads(text)), "", ""
+    except RecursionError:
+        return False, None, *FATAL["too deep"]
     except ValueError:
         pass
     found = tokens(text)
@@ -113,6 +116,8 @@ def read(raw: str | None) -> tuple[bool, str | None, str, str]:
         try:
             value = json.loads(_proper(found[begin:end], defects))
             return True, written(value), *next(DEFECTS[d] for d in DEFECTS if d in defects)
+        except RecursionError:
+            return False, None, *FATAL["too deep"]
         except (ValueError, StopIteration):
             pass
     if left_open:

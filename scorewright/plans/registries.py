@@ -68,6 +68,26 @@ def evidence_semantics(spark, sf_dir):
     return d.select("doc_id", G.evidence_class(F.lit("AR04"), F.col("text"), F.lit("")).alias("c")).select("doc_id", "c.status", "c.issue")
 
 
+#: Evidence that quotes nothing, page furniture, or words of one dimension or another.
+QUOTES = ("", "Registered office and proxy form", "The outlook holds risk and uncertain prospects", "Sales rose because of export demand", "Numeric values were not calculable", "Nothing to report here", "It went up by 12 %", "A summary table of each segment and its market")
+_CODES = list(G.EVIDENCE_WORDS)
+_CASES_SQL = "q AS (SELECT unnest(range(0, {0})) AS k, lower(unnest({1})) AS t), c AS (SELECT k, t, c FROM q, (SELECT unnest({2}) AS c))".format(len(QUOTES), list(QUOTES), _CODES)
+_HITS_SQL = "CASE c " + " ".join(f"WHEN '{c}' THEN " + " + ".join(f"contains(t, '{w}')::INTEGER" for w in words) for c, words in G.EVIDENCE_WORDS.items()) + " END"
+_MISSING_SQL = " ".join(f"WHEN c = '{c}' AND hits = 0 THEN ['weak', '{i}', 'partial', 'manual_review']" for c, i in G.MISSING_ISSUE.items())
+
+
+@query(f"""WITH {_CASES_SQL}, h AS (SELECT *, {_HITS_SQL} AS hits FROM c),
+r AS (SELECT k, c, CASE WHEN t = '' THEN ['not_checkable', 'evidence_not_in_text', 'not_checkable', 'check_text_cleaning'] WHEN regexp_matches(t, '{"|".join(G.NOISE)}') THEN ['invalid', 'non_mda_noise', 'misaligned', 'check_text_cleaning']
+  WHEN c = 'AR02' AND hits = 0 AND NOT regexp_matches(t, '[0-9]+(\\.[0-9]+)?\\s*(%|million|sen|rm)') THEN ['invalid', 'missing_financial_content', 'misaligned', 'rerun_dimension_only'] WHEN c = 'AR02' AND regexp_matches(t, 'numeric|not calculable') THEN ['acceptable', 'numeric_review_required', 'partial', 'manual_review']
+  {_MISSING_SQL} WHEN hits >= 2 THEN ['strong', 'none', 'aligned', 'accept'] ELSE ['acceptable', 'none', 'aligned', 'accept'] END AS r FROM h)
+SELECT o_orderkey, r[1] AS status, r[2] AS issue, r[3] AS alignment, r[4] AS action FROM orders JOIN r ON k = o_orderkey % {len(QUOTES)} AND c = list_extract({_CODES}, (o_custkey % {len(_CODES)} + 1)::BIGINT)""")
+def order_evidence_semantics(spark, sf_dir):
+    """A dimension and a piece of evidence for each order: what the evidence is worth for the dimension. All classes occur."""
+    pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), (i % len(values) + 1).cast("int"))
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", G.evidence_class(pick(_CODES, F.col("o_custkey")), pick(QUOTES, F.col("o_orderkey")), F.lit("")).alias("c")).select("o_orderkey", "c.*")
+
+
 @query("""SELECT stage, action, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'ollama_timeout' WHEN event_type = 'click' THEN 'json_parse' WHEN value < 5 THEN 'text_quality' WHEN event_type = 'view' THEN 'numeric_check' ELSE 'unknown' END AS stage,
 CASE WHEN event_type = 'error' THEN 'reduce_context_and_retry' WHEN event_type = 'click' THEN 'repair_json_and_retry' WHEN value < 5 THEN 'reduce_context_and_retry' WHEN event_type = 'view' THEN 'numeric_checker_review' ELSE 'manual_review' END AS action FROM events) GROUP BY 1, 2""")
 def failure_stages(spark, sf_dir):

@@ -78,18 +78,18 @@ def discovered_kinds(spark, sf_dir):
     return readers.discovered(spark, path, ["/archive/"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 'altered' AS change, 1::BIGINT AS n UNION ALL SELECT 'added', 1")
+@query("""WITH f AS (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month, year(o_orderdate) AS y, month(o_orderdate) % 3 = 0 AS redone FROM orders)
+SELECT month, CASE WHEN y < 1994 THEN 'removed' WHEN y > 1996 THEN 'added' ELSE 'altered' END AS change FROM f WHERE y < 1994 OR y > 1996 OR redone""")
 def checksum_changes(spark, sf_dir):
-    """Files added or altered between two manifests of checksums."""
-    path = _place(spark, "sums")
-    write = lambda name, text: spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/{name}")
-    write("one", "first")
-    strip = lambda df: df.withColumn("path", F.regexp_extract("path", r"/(\w+)/part-[^/]*$", 1))
-    kept = f"{path}-before"
-    strip(readers.checksums(spark, path)).write.parquet(kept)
-    write("one", "second")
-    write("two", "third")
-    return readers.changed(spark.read.parquet(kept), strip(readers.checksums(spark, path))).groupBy("change").agg(F.count("*").alias("n"))
+    """Orders kept in a file a month: which files a second version removes, adds or alters, by their checksums."""
+    path, o = _place(spark, "sums"), table(spark, sf_dir, "orders")
+    month, redone = F.date_format("o_orderdate", "yyyy-MM"), F.month("o_orderdate") % 3 == 0
+    line = lambda more: F.concat_ws(",", F.col("o_orderkey"), F.col("o_custkey"), F.when(redone, more))
+    found = []
+    for name, years, more in (("before", F.year("o_orderdate") <= 1996, "first"), ("after", F.year("o_orderdate") >= 1994, "second")):
+        o.where(years).select(line(more).alias("value"), month.alias("month")).repartition("month").sortWithinPartitions("month", "value").write.partitionBy("month").text(f"{path}/{name}")
+        found.append(readers.checksums(spark, f"{path}/{name}").withColumn("path", F.regexp_extract("path", r"/month=([\d-]+)/", 1)))
+    return readers.changed(*found).select(F.col("path").alias("month"), "change")
 
 
 @query("SELECT 0::BIGINT AS rows, 'allowed_empty' AS status UNION ALL SELECT 0, 'problem_empty' UNION ALL SELECT count(*), 'ok' FROM nation")

@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from scorewright.operators import claims, crossval, registry
+from scorewright.operators import claims, crossval, jsonfix, registry
 from scorewright.operators import documents as D
 
 CODES = ["AR01", "AR02", "AR03", "AR04", "AR05"]
@@ -79,3 +79,9 @@ def test_link_claims_and_relations(spark):
     ).withColumns({"publish_date": F.lit("2024-03-01").cast("date"), "report_year": F.lit(2024)})
     out = {r["k"]: (r["relation_type"], r["support_level"]) for r in crossval.relation(links).collect()}
     assert out == {1: ("possible_omission", "unknown"), 2: ("qualification", "weak"), 3: ("same_source_repetition", "moderate"), 4: ("contradiction", "conflicting"), 5: ("partial_support", "moderate")}
+
+
+def test_nesting_beyond_reading_is_a_failure_of_its_row(spark):
+    rows = [(1, "[" * 100_000), (2, '{"a": 1}'), (3, '{"a":' * 100_000), (4, "'{" + '"a":' * 50_000 + "}")]
+    got = {r["i"]: (r["ok"], r["failure_type"]) for r in jsonfix.stabilized(spark.createDataFrame(rows, "i int, raw string"), "raw").collect()}
+    assert got[1] == got[3] == (False, "nested_too_deeply") and got[2] == (True, "") and not got[4][0]
