@@ -62,6 +62,13 @@ def located_blocks(c: Column, default: str = "[MDA_P001]") -> Column:
     return F.when(c.rlike(r"\[(MDA_P\d{3}|NEWS_P\d{3}|TITLE|LEAD)\]"), found).otherwise(whole)
 
 
+def located_text(c: Column, locator: Column, most: int) -> Column:
+    """The text under a locator (with or without brackets), one-spaced, of at most `most` characters; empty where there is none."""
+    name = F.concat(F.lit("["), F.regexp_replace(blank_if_null(locator), r"[\[\]]", ""), F.lit("]"))
+    found = F.filter(located_blocks(c), lambda b: b["locator"] == name)
+    return F.rtrim(F.substring(one_spaced(F.get(found, F.lit(0))["body"]), 1, most))
+
+
 def token_estimate(c: Column) -> Column:
     """Conservative number of model tokens: the greater of word-like pieces and a quarter of the characters, rounded up."""
     pieces = F.regexp_count(c, F.lit(r"[A-Za-z]+(?:'[A-Za-z]+)?|\d+(?:[.,]\d+)*|[^\s]"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewright.functions import text as X
 from scorewright.operators import claims as C
 from scorewright.operators import documents as D
 from scorewright.operators import registry as G
@@ -211,10 +210,3 @@ def link_claims_extracted(spark, sf_dir):
     from scorewright.plans.texts import news, reports
 
     return C.link_claims_of(reports(spark, sf_dir), "mda").unionByName(C.link_claims_of(news(spark, sf_dir), "news"))
-
-
-@query(None)
-def scoring_prompts(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    p = D.prompt(F.lit("Score one dimension.\nExample: {}"), F.struct("conv_id", "turn"), F.col("text"), tone="Be strict. ")
-    return c.select("conv_id", "turn", X.token_estimate(p).alias("prompt_tokens"))
