@@ -12,7 +12,8 @@ TOPIC_GROUPS = (("raw_material", "cost", "margin", "supply_chain"), ("consumer_d
 CLOSE_TYPES = ("performance", "financial_result", "margin", "cost_pressure", "market_condition")
 UP = ("increased", "increase", "positive", "improved", "optimistic")
 DOWN = ("decreased", "decrease", "negative", "declined", "cautious")
-INDEPENDENCE = {"high": 1.0, "medium": 0.67, "low": 0.33}
+#: Hundredths, so that sums are exact.
+INDEPENDENCE = {"high": 100, "medium": 67, "low": 33}
 
 
 def topics_close(a: Column, b: Column) -> Column:
@@ -140,7 +141,7 @@ def pair_summary(reports: DataFrame, links: DataFrame) -> DataFrame:
     kind = lambda name: F.count_if(F.col("relation_type") == name)
     way = lambda *names: F.col("link_direction").isin(*names)
     to_mda, to_news = way("news_supports_mda", "bidirectional_support"), way("mda_supports_news", "bidirectional_support")
-    independence = F.lit(0.0)
+    independence = F.lit(0)
     for name, value in INDEPENDENCE.items():
         independence = F.when(F.col("source_independence") == name, F.lit(value)).otherwise(independence)
     agg = links.groupBy("mda_document_id").agg(
@@ -148,21 +149,23 @@ def pair_summary(reports: DataFrame, links: DataFrame) -> DataFrame:
         F.count("*").alias("num_claim_links"),
         *[kind(k).alias(n) for k, n in (("strong_support", "num_strong_support"), ("partial_support", "num_partial_support"), ("contextual_support", "num_contextual_support"), ("contradiction", "num_contradictions"), ("possible_omission", "num_possible_omissions"), ("same_source_repetition", "num_same_source_repetitions"))],
         F.sum("overstatement_flag").alias("num_news_overstatements"),
-        F.avg(independence).alias("independence_"),
+        F.sum(independence).alias("independence_"),
         F.max(F.when(to_mda & F.col("relation_type").isin("strong_support", "contextual_support"), 4).when(to_mda, 3).otherwise(1)).alias("mda_supported_"),
         F.max(F.when(to_news & (F.col("relation_type") == "strong_support"), 4).when(to_news, 3).otherwise(1)).alias("news_supported_"),
     )
     out = reports.join(agg, "mda_document_id", "left")
     counts = [c for c in agg.columns if c.startswith("num_")]
-    out = out.fillna(0, counts).fillna(0.0, ["independence_"]).fillna(1, ["mda_supported_", "news_supported_"])
+    out = out.fillna(0, counts).fillna(0, ["independence_"]).fillna(1, ["mda_supported_", "news_supported_"])
     c = F.col
     support = c("num_strong_support") + c("num_contextual_support") + c("num_partial_support")
+    # thousandths, halves up
+    mean = F.when(c("num_claim_links") > 0, F.expr("(20 * independence_ + num_claim_links) div greatest(1, 2 * num_claim_links)") / 1000.0).otherwise(0.0)
     bad = (c("num_contradictions") > 0) | (c("num_possible_omissions") > 0)
-    triangulated = (support >= 3) & (c("independence_") >= 0.6) & (F.least("mda_supported_", "news_supported_") >= 3)
+    triangulated = (support >= 3) & (c("independence_") >= 60 * c("num_claim_links")) & (F.least("mda_supported_", "news_supported_") >= 3)
     score = F.when(bad, 1).when(c("num_news_overstatements") > 0, 2).when(triangulated, 5).when(support >= 2, 4).otherwise(3)
     label = F.when(bad | (c("num_news_overstatements") > 0), "D = contradiction / omission risk").when(triangulated, "A = strong triangulation").when(support >= 2, "B = moderate triangulation").otherwise("C = weak or neutral triangulation")
     reasons = F.when(bad, F.array_compact(F.array(F.when(c("num_contradictions") > 0, "contradiction"), F.when(c("num_possible_omissions") > 0, "possible_omission")))).when(c("num_news_overstatements") > 0, F.array(F.lit("news_overstatement"))).otherwise(F.array().cast("array<string>"))
-    return out.select(*reports.columns, *counts, F.round("independence_", 3).alias("avg_source_independence_score"), c("mda_supported_").alias("mda_supported_by_news_score"), c("news_supported_").alias("news_supported_by_mda_score"), score.alias("cross_validation_score"), label.alias("cross_validation_label"), (F.size(reasons) > 0).alias("review_required"), F.array_join(reasons, ";").alias("review_reasons"))
+    return out.select(*reports.columns, *counts, mean.alias("avg_source_independence_score"), c("mda_supported_").alias("mda_supported_by_news_score"), c("news_supported_").alias("news_supported_by_mda_score"), score.alias("cross_validation_score"), label.alias("cross_validation_label"), (F.size(reasons) > 0).alias("review_required"), F.array_join(reasons, ";").alias("review_reasons"))
 
 
 def systemic_conflict(links: DataFrame) -> DataFrame:

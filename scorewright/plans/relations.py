@@ -115,15 +115,15 @@ def relation_classification(spark, sf_dir):
 
 _PAIR = f"""{_REL}, agg AS (SELECT mda_document_id, count(DISTINCT news_document_id) AS num_related_news, count(*) AS num_claim_links, count(*) FILTER (relation_type = 'strong_support') AS num_strong_support, count(*) FILTER (relation_type = 'partial_support') AS num_partial_support, count(*) FILTER (relation_type = 'contextual_support') AS num_contextual_support,
   count(*) FILTER (relation_type = 'contradiction') AS num_contradictions, count(*) FILTER (relation_type = 'possible_omission') AS num_possible_omissions, count(*) FILTER (relation_type = 'same_source_repetition') AS num_same_source_repetitions, sum(overstatement_flag) AS num_news_overstatements,
-  avg(CASE source_independence WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.67::DOUBLE WHEN 'low' THEN 0.33::DOUBLE ELSE 0.0::DOUBLE END) AS ind,
+  sum(CASE source_independence WHEN 'high' THEN 100 WHEN 'medium' THEN 67 WHEN 'low' THEN 33 ELSE 0 END)::BIGINT AS ind,
   max(CASE WHEN link_direction IN ('news_supports_mda', 'bidirectional_support') THEN CASE WHEN relation_type IN ('strong_support', 'contextual_support') THEN 4 ELSE 3 END ELSE 1 END) AS ms, max(CASE WHEN link_direction IN ('mda_supports_news', 'bidirectional_support') THEN CASE WHEN relation_type = 'strong_support' THEN 4 ELSE 3 END ELSE 1 END) AS ns FROM links GROUP BY 1),
-p AS (SELECT r.mda_document_id, r.ticker, r.report_year, coalesce(num_related_news, 0)::BIGINT AS num_related_news, coalesce(num_claim_links, 0)::BIGINT AS num_claim_links, coalesce(num_strong_support, 0)::BIGINT AS num_strong_support, coalesce(num_partial_support, 0)::BIGINT AS num_partial_support, coalesce(num_contextual_support, 0)::BIGINT AS num_contextual_support, coalesce(num_contradictions, 0)::BIGINT AS num_contradictions, coalesce(num_possible_omissions, 0)::BIGINT AS num_possible_omissions, coalesce(num_same_source_repetitions, 0)::BIGINT AS num_same_source_repetitions, coalesce(num_news_overstatements, 0)::BIGINT AS num_news_overstatements, coalesce(ind, 0.0::DOUBLE) AS ind, coalesce(ms, 1) AS ms, coalesce(ns, 1) AS ns FROM reports r LEFT JOIN agg USING (mda_document_id)),
+p AS (SELECT r.mda_document_id, r.ticker, r.report_year, coalesce(num_related_news, 0)::BIGINT AS num_related_news, coalesce(num_claim_links, 0)::BIGINT AS num_claim_links, coalesce(num_strong_support, 0)::BIGINT AS num_strong_support, coalesce(num_partial_support, 0)::BIGINT AS num_partial_support, coalesce(num_contextual_support, 0)::BIGINT AS num_contextual_support, coalesce(num_contradictions, 0)::BIGINT AS num_contradictions, coalesce(num_possible_omissions, 0)::BIGINT AS num_possible_omissions, coalesce(num_same_source_repetitions, 0)::BIGINT AS num_same_source_repetitions, coalesce(num_news_overstatements, 0)::BIGINT AS num_news_overstatements, coalesce(ind, 0) AS ind, coalesce(ms, 1) AS ms, coalesce(ns, 1) AS ns FROM reports r LEFT JOIN agg USING (mda_document_id)),
 pair AS (SELECT *, num_strong_support + num_contextual_support + num_partial_support AS sup, num_contradictions > 0 OR num_possible_omissions > 0 AS bad FROM p),
-pairs AS (SELECT *, CASE WHEN bad THEN 1 WHEN num_news_overstatements > 0 THEN 2 WHEN sup >= 3 AND ind >= 0.6 AND least(ms, ns) >= 3 THEN 5 WHEN sup >= 2 THEN 4 ELSE 3 END AS cross_validation_score,
+pairs AS (SELECT *, CASE WHEN bad THEN 1 WHEN num_news_overstatements > 0 THEN 2 WHEN sup >= 3 AND ind >= 60 * num_claim_links AND least(ms, ns) >= 3 THEN 5 WHEN sup >= 2 THEN 4 ELSE 3 END AS cross_validation_score,
   CASE WHEN bad THEN concat_ws(';', CASE WHEN num_contradictions > 0 THEN 'contradiction' END, CASE WHEN num_possible_omissions > 0 THEN 'possible_omission' END) WHEN num_news_overstatements > 0 THEN 'news_overstatement' ELSE '' END AS review_reasons FROM pair)"""
 
 
-@query(f"""WITH {_PAIR} SELECT mda_document_id, ticker, report_year, num_related_news, num_claim_links, num_strong_support, num_partial_support, num_contextual_support, num_contradictions, num_possible_omissions, num_same_source_repetitions, num_news_overstatements, round(ind, 3) AS avg_source_independence_score, ms AS mda_supported_by_news_score, ns AS news_supported_by_mda_score, cross_validation_score,
+@query(f"""WITH {_PAIR} SELECT mda_document_id, ticker, report_year, num_related_news, num_claim_links, num_strong_support, num_partial_support, num_contextual_support, num_contradictions, num_possible_omissions, num_same_source_repetitions, num_news_overstatements, CASE WHEN num_claim_links > 0 THEN ((20 * ind + num_claim_links) // (2 * num_claim_links)) / 1000.0::DOUBLE ELSE 0.0::DOUBLE END AS avg_source_independence_score, ms AS mda_supported_by_news_score, ns AS news_supported_by_mda_score, cross_validation_score,
 CASE WHEN cross_validation_score IN (1, 2) THEN 'D = contradiction / omission risk' WHEN cross_validation_score = 5 THEN 'A = strong triangulation' WHEN cross_validation_score = 4 THEN 'B = moderate triangulation' ELSE 'C = weak or neutral triangulation' END AS cross_validation_label, review_reasons <> '' AS review_required, review_reasons FROM pairs""")
 def pair_summary(spark, sf_dir):
     return X.pair_summary(_reports(spark, sf_dir).drop("mda_ord"), _links(spark, sf_dir))
