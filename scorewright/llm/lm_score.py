@@ -223,10 +223,13 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("good_")).distinct()
     good = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("merge")
     block = F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int").alias("block")
-    # a block to a task; rows are in the order of their block only to keep blocks apart where one task has several
-    placed = docs.join(good, F.col("id") == F.col("good_"), "left").select(block, F.col("good_").isNotNull().alias("good"), "id", "text").repartition(n_blocks, "block").sortWithinPartitions("block")
+    # as many tasks as the cluster has room for, not as there are blocks: a shuffle's pieces would grow with the square of the input
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    at_blocks, at_buckets = min(n_blocks, tasks), min(n_buckets, tasks)
+    # rows are in the order of their block, so that a task works on one after another
+    placed = docs.join(good, F.col("id") == F.col("good_"), "left").select(block, F.col("good_").isNotNull().alias("good"), "id", "text").repartition(at_blocks, "block").sortWithinPartitions("block")
 
-    asked = placed.mapInArrow(_asking(n_buckets), ASKED).repartition(n_buckets, "bucket").sortWithinPartitions("bucket")
+    asked = placed.mapInArrow(_asking(n_buckets), ASKED).repartition(at_buckets, "bucket").sortWithinPartitions("bucket")
     answers = store.keep(asked.mapInArrow(_answering, ANSWER), "answers")
     vocabulary = answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] + 1
     store.settle()
@@ -255,7 +258,7 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, *, id_col: str
     packed = [f.name for f in answers.schema.fields if f.name not in ("block", "words")]
     replies = answers.select("block", F.lit(False).alias("is_text"), *packed, *[F.lit(None).cast(t).alias(c) for c, t in (("good", "boolean"), ("id", "long"), ("text", "string"))])
     asking = placed.select("block", F.lit(True).alias("is_text"), *[F.lit(None).cast(answers.schema[c].dataType).alias(c) for c in packed], "good", "id", "text")
-    both = replies.unionByName(asking).repartition(n_blocks, "block").sortWithinPartitions("block", "is_text")
+    both = replies.unionByName(asking).repartition(at_blocks, "block").sortWithinPartitions("block", "is_text")
     return both.mapInArrow(task, "id long, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
 
 
