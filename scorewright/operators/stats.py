@@ -65,32 +65,52 @@ def weighted_kappa(df: DataFrame, x: str, y: str, *, low: int = 1, high: int = 5
     return m.select("n", F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("expected") < 1e-12, flat).otherwise(F.round(1 - F.col("seen") / F.when(F.col("expected") < 1e-12, F.lit(1.0)).otherwise(F.col("expected")), 6)).alias("kappa"))
 
 
-def trimmed_mean(df: DataFrame, value: str, groups: list[str], *, least: int = 10, share: float = 0.1) -> DataFrame:
-    """Mean without the lowest and highest max(1, int(share * n)) values; of groups under `least` rows, the plain mean.
+def order_statistics(df: DataFrame, value: str, groups: list[str], *, shares: dict[str, float] | None = None, least: int = 10, cut: float = 0.1) -> DataFrame:
+    """groups, n, trimmed_mean and a column for each named share: exact, for groups of any size.
+
+    trimmed_mean leaves out the lowest and highest max(1, int(cut * n)) values; in groups
+    under `least` rows none. A share p is the value at place (n - 1) * p, between two places
+    in proportion. Null values are left out; a group without others gives no row.
 
-    Equal values are counted together and laid out in ranges. Ranges between the two cuts
-    add their sums; only in the ranges that a cut falls into, at most two of a group, are
-    values counted one by one. Null values are left out.
+    Equal values are counted together and laid out in ranges, and counts of ranges say
+    at which places each begins. Ranges between the two cuts add their sums; only in ranges
+    that a cut or a wanted place falls into, a handful of a group, are values counted one by one.
     """
     x = F.col(value).cast("double")
+    shares = shares or {}
     counts = df.where(x.isNotNull()).groupBy(*groups, x.alias("x_")).agg(F.count("*").alias("k_"))
     b = Blocks(counts, groups, ["x_"])
-    rows = b.with_before(upto_=added(F.sum("k_"))).withColumn("upto_", F.coalesce("upto_", F.lit(0)))
-    sizes = counts.groupBy(*[F.col(g).alias(f"g_{g}") for g in groups]).agg(F.sum("k_").alias("n_"))
-    cut = F.when(F.col("n_") < least, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n_") * share)))
-    same = reduce(lambda p, q: p & q, [F.col(g).eqNullSafe(F.col(f"g_{g}")) for g in groups])
-    rows = rows.join(sizes.withColumn("cut_", cut), same).drop(*[f"g_{g}" for g in groups])
-    blocks = rows.groupBy(*groups, "block_").agg(F.first("upto_").alias("from_"), F.sum("k_").alias("rows_"), F.sum(F.col("k_") * F.col("x_")).alias("sum_"), F.first("n_").alias("n_"), F.first("cut_").alias("cut_"))
-    low, high, stop = F.col("cut_"), F.col("n_") - F.col("cut_"), F.col("from_") + F.col("rows_")
-    whole = (F.col("from_") >= low) & (stop <= high)
-    parts = blocks.where(whole).select(*groups, "sum_", F.col("rows_").alias("kept_"))
-    # of the blocks that a cut falls into
-    open_ = blocks.where(~whole & (F.col("from_") < high) & (stop > low)).select(*[F.col(g).alias(f"g_{g}") for g in groups], F.col("block_").alias("b_"))
-    near = rows.join(open_, same & (F.col("block_") == F.col("b_")), "left_semi")
+    names = [f"g_{g}" for g in groups]
+    same = reduce(lambda p, q: p & q, [F.col(g).eqNullSafe(F.col(n)) for g, n in zip(groups, names, strict=True)])
+    sizes = counts.groupBy(*[F.col(g).alias(n) for g, n in zip(groups, names, strict=True)]).agg(F.sum("k_").alias("n_"))
+    sizes = sizes.withColumn("cut_", F.when(F.col("n_") < least, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.col("n_") * cut))))
+    rows = b.with_before(upto_=added(F.sum("k_"))).withColumn("upto_", F.coalesce("upto_", F.lit(0))).join(sizes, same).drop(*names)
+    blocks = rows.groupBy(*groups, "block_", "n_", "cut_").agg(F.first("upto_").alias("from_"), F.sum("k_").alias("rows_"), F.sum(F.col("k_") * F.col("x_")).alias("sum_"))
+    low, high, n = F.col("cut_"), F.col("n_") - F.col("cut_"), F.col("n_")
+    place = lambda p: (n - 1) * F.lit(float(p))
+    places = {(name, side): f(place(p)) for name, p in shares.items() for side, f in (("lo", F.floor), ("hi", F.ceil))}
+
+    def holds(begin, end):
+        """Which cuts and places lie in begin..end-1."""
+        return reduce(lambda p, q: p | q, [(begin < low) & (low < end), (begin < high) & (high < end), *[(begin <= at) & (at < end) for at in places.values()]])
+
+    whole = (F.col("from_") >= low) & (F.col("from_") + F.col("rows_") <= high)
+    opened = blocks.withColumn("open_", holds(F.col("from_"), F.col("from_") + F.col("rows_")))
+    shut = opened.where(~F.col("open_") & whole).select(*groups, "sum_", F.col("rows_").alias("kept_"), *[F.lit(None).cast("double").alias(f"{a}_{s}_") for a, s in places])
+    near = rows.join(opened.where("open_").select(*[F.col(g).alias(m) for g, m in zip(groups, names, strict=True)], F.col("block_").alias("b_")), same & (F.col("block_") == F.col("b_")), "left_semi")
     start = F.col("upto_") + F.coalesce(F.sum("k_").over(b.inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     near = near.withColumn("start_", start).withColumn("kept_", F.greatest(F.lit(0), F.least(F.col("start_") + F.col("k_"), high) - F.greatest("start_", low)))
-    parts = parts.unionByName(near.select(*groups, (F.col("kept_") * F.col("x_")).alias("sum_"), "kept_"))
-    return parts.groupBy(*groups).agg(F.round(F.sum("sum_") / F.sum("kept_"), 6).alias("trimmed_mean"))
+    at = [F.when((F.col("start_") <= p) & (p < F.col("start_") + F.col("k_")), F.col("x_")).alias(f"{a}_{s}_") for (a, s), p in places.items()]
+    parts = shut.unionByName(near.select(*groups, (F.col("kept_") * F.col("x_")).alias("sum_"), "kept_", *at))
+    told = parts.groupBy(*groups).agg((F.sum("sum_") / F.sum("kept_")).alias("mean_"), *[F.max(f"{a}_{s}_").alias(f"{a}_{s}_") for a, s in places])
+    out = told.join(sizes, same)
+    between = [(F.col(f"{a}_lo_") + (F.col(f"{a}_hi_") - F.col(f"{a}_lo_")) * (place(p) - F.floor(place(p)))) for a, p in shares.items()]
+    return out.select(*groups, n.alias("n"), F.round("mean_", 6).alias("trimmed_mean"), *[F.round(v, 6).alias(a) for v, a in zip(between, shares, strict=True)])
+
+
+def trimmed_mean(df: DataFrame, value: str, groups: list[str], *, least: int = 10, share: float = 0.1) -> DataFrame:
+    """groups, trimmed_mean: see order_statistics()."""
+    return order_statistics(df, value, groups, least=least, cut=share).select(*groups, "trimmed_mean")
 
 
 def paired_t(df: DataFrame, before: str, after: str, groups: list[str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Prefixes in two levels against plain loops, over blocks of a few rows."""
 
+import math
 import random
 from statistics import fmean
 
@@ -102,3 +103,10 @@ def test_trimmed_means_of_large_and_small_groups(spark, cut_small):
         cut = max(1, int(0.1 * len(own))) if len(own) >= 10 else 0
         want[g] = round(fmean(own[cut : len(own) - cut]), 6)
     assert got == pytest.approx(want)
+    found = stats.order_statistics(df, "v", ["g"], shares={"p25": 0.25, "half": 0.5, "p99": 0.99, "least": 0.0, "most": 1.0}, least=12, cut=0.3).collect()
+    for r in found:
+        own = sorted(v for k, v in rows if k == r["g"])
+        at = lambda p: (lambda t: own[math.floor(t)] + (own[math.ceil(t)] - own[math.floor(t)]) * (t - math.floor(t)))((len(own) - 1) * p)  # noqa: E731, B023
+        cut = int(0.3 * len(own)) if len(own) >= 12 else 0
+        assert [r["n"], r["trimmed_mean"], r["p25"], r["half"], r["p99"], r["least"], r["most"]] == pytest.approx([len(own), fmean(own[cut : len(own) - cut]), at(0.25), at(0.5), at(0.99), own[0], own[-1]], abs=1e-6)
+    assert {r["g"] for r in found} == set(want)
