@@ -50,8 +50,8 @@ class Symbols:
         return np.repeat(self.offsets[1:], np.diff(self.offsets))
 
 
-def super_rows(docs: DataFrame, unit: str, length: int, k: int, head: bool = False) -> DataFrame:
-    """Rows of window runs of `docs` (id, th, text). With `head`, also the first eight bytes from the minimizer on, as a number in byte order."""
+def super_rows(docs: DataFrame, unit: str, length: int, k: int, lead: bool = False) -> DataFrame:
+    """Rows of window runs of `docs` (id, th, text). With `lead` (of bytes), also the k bytes from the minimizer on."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,13 +65,13 @@ def super_rows(docs: DataFrame, unit: str, length: int, k: int, head: bool = Fal
                 base, row = sym.offsets[doc], pa.array(doc + chunk.lo)
                 cols = [ids.take(row), ths.take(row), *(pa.array(x.astype(np.int32)) for x in (got["first"] - base, got["last"] - base, got["anchor"] - got["first"])), pa.array(R.signed(got["fp"])), pa.array(R.signed(got["sx"]))]
                 names = ["id", "th", "first", "last", "off", "fp", "sx"]
-                if head:
-                    eight = chunk.data[got["anchor"][:, None] + np.arange(8)]
-                    cols.append(pa.array(eight.astype(">u1").copy().view(">u8").ravel().astype(np.uint64).view(np.int64) ^ np.int64(-(1 << 63))))
-                    names.append("head")
+                if lead:
+                    raw = np.ascontiguousarray(chunk.data[got["anchor"][:, None] + np.arange(k)])
+                    cols.append(pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(np.arange(0, raw.size + 1, k, dtype=np.int32)), pa.py_buffer(raw)]))
+                    names.append("lead")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.mapInArrow(task, ROW + ", head long" * head)
+    return docs.mapInArrow(task, ROW + ", lead binary" * lead)
 
 
 def alike(keys: DataFrame) -> DataFrame:

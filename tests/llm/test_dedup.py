@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from scorewright.llm import debruijn, minhash, rolling, suffix_dedup
+from pyspark.sql import functions as F
+
+from scorewright.llm import debruijn, minhash, rolling, suffix_dedup, windows
 from scorewright.llm import components as comp
 from scorewright.llm.common import Store
 from tests.llm.cases import LOWER, SCHEMA, components, corpus, words
@@ -118,6 +120,15 @@ def test_substring_dedup_keeps_columns_and_text(docs, rows):
         assert o["lang"] == r[2] and (o["n_removed"] > 0 or o["kept_text"] == r[1])
 
 
+def test_a_row_repeated_whole_is_a_copy(spark):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(900))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text[:300]), (None, "x" * 500)], "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in suffix_dedup.suffix_dedup(docs.where("doc_id is not null")).collect())
+    assert got == [(1, 900, 900, 1), (1, 900, 900, 1), (2, 300, 0, 0)]
+    assert [tuple(r)[:4] for r in suffix_dedup.suffix_dedup(docs.where("doc_id is null")).collect()] == [(None, 500, 500, 1)]
+
+
 @pytest.mark.parametrize("length", [400, 60])
 def test_suffix_dedup(docs, rows, length):
     texts = [(r[1] or "").encode() for r in rows]
@@ -130,14 +141,53 @@ def test_suffix_dedup(docs, rows, length):
     assert Counter(map(tuple, got.collect())) == want
 
 
-def test_suffix_levels_grow_geometrically(docs, spark):
-    from scorewright.llm import windows
-
-    index = suffix_dedup.SuffixIndex(Store(spark, "levels"), 60)
+@pytest.mark.parametrize("small", [False, True])
+def test_suffix_levels_are_in_order_and_scans_find_all(docs, spark, small, monkeypatch):
+    """Levels grow geometrically, hold every sampled suffix in the order of its bytes, and every lead that recurs in any batch is found."""
+    if small:
+        monkeypatch.setattr(suffix_dedup, "BLOCK", 16)
+        monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 4000)
     keyed = windows.keyed(docs, "doc_id", "text")
+    size = keyed.agg(F.sum(F.octet_length("text"))).first()[0]
+    store = Store(spark, "levels")
+    index = suffix_dedup.SuffixIndex(store, 60, size)
+    sizes = []
     for b in range(5):
-        index.add(keyed.where(f"pmod(th, 5) = {b}"))
-    assert [size for size, _ in index.levels] == [4, 1]
+        index.add(keyed.where(F.pmod("th", F.lit(5)) == b))
+        sizes.append([n for n, _ in index.levels])
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1]]
+    every = windows.super_rows(keyed, "bytes", 60, 15, lead=True).collect()
+    place = lambda r: (r["id"], r["th"], r["first"])
+    keys = []
+    for _, level in index.levels:
+        blocks = level.select("top", "least", "n", "keys", "id", "th", "first").orderBy("top", "least").collect()
+        assert not small or (len(blocks) > 20 and len({r["top"] for r in blocks}) > 5)
+        own = [bytes(r["keys"])[i * 23 : i * 23 + 23] for r in blocks for i in range(r["n"])]
+        assert own == sorted(own)
+        keys += [(k[:15], *p) for k, p in zip(own, [p for r in blocks for p in zip(r["id"], r["th"], r["first"], strict=True)], strict=True)]
+    assert Counter(keys) == Counter((bytes(r["lead"]), *place(r)) for r in every)
+    often = Counter(bytes(r["lead"]) for r in every)
+    found = {place(r) for r in index.candidates().collect()}
+    assert {place(r) for r in every if often[bytes(r["lead"])] > 1} <= found
+    assert small or len(found) < len(every)
+
+
+def test_merging_runs_and_their_common_prefixes():
+    rng = random.Random(9)
+    word = lambda: bytes(rng.choice((0, 1, 255)) for _ in range(12))
+    a, b = (sorted(word() for _ in range(n)) for n in (300, 170))
+    run = lambda x, side: suffix_dedup.Run(np.array(x, "S12"), {"side": np.full(len(x), side)})
+    both = suffix_dedup.Run.merged(run(a, 0), run(b, 1))
+    assert [k.ljust(12, b"\0") for k in both.keys.tolist()] == sorted(a + b) and both.columns["side"].sum() == len(b)
+    plain = lambda x, y: next((i for i in range(4) if x[i] != y[i]), 4)
+    order = sorted(a + b)
+    assert suffix_dedup.common_prefixes(both.leads(4)).tolist() == [plain(x, y) for x, y in zip(order, order[1:], strict=False)]
+
+
+def test_nothing_is_removed_without_the_index(docs, monkeypatch):
+    assert suffix_dedup.suffix_dedup(docs, length=60).agg(F.sum("n_removed")).first()[0] > 0
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "candidates", lambda self: self.marked[0].where("1 = 0"))
+    assert suffix_dedup.suffix_dedup(docs, length=60).agg(F.sum("n_removed")).first()[0] == 0
 
 
 def test_empty_tables(spark):
