@@ -132,7 +132,8 @@ class SuffixIndex:
         self.marked: list[DataFrame] = []
         self.found: list[DataFrame] = []
 
-    def add(self, docs: DataFrame) -> None:
+    def add(self, docs: DataFrame, last: bool = False) -> None:
+        """Index a batch and scan it against the levels. After the last one levels stay as they are, as no batch will meet them."""
         raw = self.store.keep(W.super_rows(docs, "bytes", self.length, self.k, lead=True), "batch")
         array, size = self._built(raw), 1
         self.store.drop(raw)
@@ -140,7 +141,7 @@ class SuffixIndex:
         self.marked.append(self.store.keep(array.mapInArrow(self._hits(), W.ROW), "marked"))
         for _, level in self.levels:
             self.found.append(self.store.keep(self._side_by_side(array, level).mapInArrow(self._merging(scan=True), W.ROW), "found"))
-        while self.levels and self.levels[-1][0] == size:
+        while not last and self.levels and self.levels[-1][0] == size:
             _, level = self.levels.pop()
             both = self.store.keep(self._side_by_side(array, level).mapInArrow(self._merging(scan=False), PACKED), "level")
             self.store.drop(array)
@@ -299,7 +300,7 @@ def suffix_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     index = SuffixIndex(store, length, size)
     for b in range(batches):
-        index.add(docs.where(F.pmod(F.col("th"), F.lit(batches)) == b))
+        index.add(docs.where(F.pmod(F.col("th"), F.lit(batches)) == b), last=b == batches - 1)
     for _, level in index.levels:
         store.drop(level)
     rows = store.keep(index.candidates(), "candidates")
