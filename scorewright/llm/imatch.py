@@ -5,8 +5,9 @@ terms whose document frequency lies in a band: at least LEAST of the documents (
 two of them), at most MOST. A text keeps its distinct terms in the lexicon, or all of
 its terms if none is in it, sorted by their MD5. The fingerprint is a hash of the kept
 terms and one of those in each random subset of the lexicon that the text has terms
-in. Terms are spread over 256 fine subsets by the first two hexadecimal digits of
-their MD5 and over 16 coarse ones by the first digit: the fine ones tell long texts
+in. The lexicon is drawn from at random twice: by one part of the MD5 of its terms into
+256 fine subsets, and, independently of that, by another part into 16 coarse ones, so that
+every coarse subset shares terms with every fine one. The fine ones tell long texts
 apart, the coarse ones short texts. The likeness of two fingerprints is the mean,
 over the two kinds, of the share of subsets with equal hashes among those that either
 text has terms in.
@@ -28,8 +29,8 @@ from scorewright.llm.common import Store, documents
 
 LEAST = 0.001
 MOST = 0.2
-#: Hexadecimal digits of a term's MD5 that it is known by, and of them those that name its fine and its coarse subset.
-DIGITS, FINE, COARSE = 8, 2, 1
+#: Hexadecimal digits of a term's MD5 that it is known by in each draw, those of them that name its fine or its coarse subset, and digits of a subset's hash.
+DIGITS, FINE, COARSE, HASH = 8, 2, 1, 4
 #: Places of the table that the lexicon is looked up in.
 SLOTS = 1 << 14
 #: Rows of neighbouring ids that are put in order together.
@@ -76,16 +77,18 @@ def with_hashes(df: DataFrame, text: Column, lex_col: str, name: str) -> DataFra
     df = df.withColumn("terms_", terms(text))
     df = df.withColumn("in_", F.filter("terms_", lambda t: F.array_contains(table[_slot(t)], t)))
     df = df.withColumn("kept_", F.when(F.size("in_") > 0, F.col("in_")).otherwise(F.col("terms_")))
-    df = df.withColumn("joined_", F.array_join(F.sort_array(F.transform("kept_", lambda t: F.substring(F.md5(t), 1, DIGITS))), " "))
-    whole = F.substring(F.md5("joined_"), 1, 16)
-    out = df.withColumn(name, F.struct(whole.alias("whole"), _subsets(FINE).alias("fine"), _subsets(COARSE).alias("coarse")))
-    return out.drop("terms_", "in_", "kept_", "joined_")
-
-
-def _subsets(digits: int) -> Column:
-    """The name and a short hash of each subset that the joined digests have terms in."""
-    runs = F.split(F.regexp_replace("joined_", rf" (?<=([0-9a-f]{{{digits}}})[0-9a-f]{{{DIGITS - digits}}} )(?=\1)", ""), " ")
-    return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.concat(F.substring(r, 1, digits), F.substring(F.md5(r), 1, 3)))
+    df = df.withColumn("digests_", F.transform("kept_", lambda t: F.substring(F.md5(t), 1, 2 * DIGITS)))
+    drawn = lambda place: F.array_join(F.sort_array(F.transform("digests_", lambda d: F.substring(d, place, DIGITS))), " ")
+    df = df.withColumn("first_", drawn(1)).withColumn("second_", drawn(1 + DIGITS))
+    whole = F.substring(F.md5("first_"), 1, 16)
+    out = df.withColumn(name, F.struct(whole.alias("whole"), _subsets("first_", FINE).alias("fine"), _subsets("second_", COARSE).alias("coarse")))
+    return out.drop("terms_", "in_", "kept_", "digests_", "first_", "second_")
+
+
+def _subsets(joined: str, digits: int) -> Column:
+    """The name and a short hash of each subset that the joined digests of a draw have terms in."""
+    runs = F.split(F.regexp_replace(joined, rf" (?<=([0-9a-f]{{{digits}}})[0-9a-f]{{{DIGITS - digits}}} )(?=\1)", ""), " ")
+    return F.transform(F.filter(runs, lambda r: r != ""), lambda r: F.concat(F.substring(r, 1, digits), F.substring(F.md5(r), 1, HASH)))
 
 
 def fingerprint(h: Column) -> Column:

@@ -89,10 +89,10 @@ lex AS (SELECT term FROM u GROUP BY term HAVING count(*) >= greatest(2.0, 0.001
 v AS (SELECT doc_id, 1 AS k, text AS body FROM d UNION ALL SELECT doc_id, 2, edited FROM d UNION ALL SELECT doc_id, 3, following FROM d),
 w AS (SELECT DISTINCT doc_id, k, term, term IN (SELECT term FROM lex) AS inside FROM (SELECT doc_id, k, unnest(regexp_extract_all(lower(body), '[\\p{{L}}\\p{{N}}]+')) AS term FROM v)),
 p AS (SELECT doc_id, k, bool_or(inside) AS has_any FROM w GROUP BY doc_id, k),
-m AS (SELECT doc_id, k, left(md5(term), 8) AS g FROM w JOIN p USING (doc_id, k) WHERE inside = has_any),
+m AS (SELECT doc_id, k, left(md5(term), 8) AS g, substr(md5(term), 9, 8) AS h FROM w JOIN p USING (doc_id, k) WHERE inside = has_any),
 q AS (SELECT doc_id, k, string_agg(g, ' ' ORDER BY g) AS j FROM m GROUP BY doc_id, k),
-y AS (SELECT doc_id, k, left(g, 2) AS n, string_agg(g, '' ORDER BY g) AS r FROM m GROUP BY 1, 2, 3), z AS (SELECT doc_id, k, left(g, 1) AS n, string_agg(g, '' ORDER BY g) AS r FROM m GROUP BY 1, 2, 3),
-y2 AS (SELECT doc_id, k, list(n || left(md5(r), 3) ORDER BY n) AS fine FROM y GROUP BY 1, 2), z2 AS (SELECT doc_id, k, list(n || left(md5(r), 3) ORDER BY n) AS coarse FROM z GROUP BY 1, 2),
+y AS (SELECT doc_id, k, left(g, 2) AS n, string_agg(g, '' ORDER BY g) AS r FROM m GROUP BY 1, 2, 3), z AS (SELECT doc_id, k, left(h, 1) AS n, string_agg(h, '' ORDER BY h) AS r FROM m GROUP BY 1, 2, 3),
+y2 AS (SELECT doc_id, k, list(n || left(md5(r), 4) ORDER BY n) AS fine FROM y GROUP BY 1, 2), z2 AS (SELECT doc_id, k, list(n || left(md5(r), 4) ORDER BY n) AS coarse FROM z GROUP BY 1, 2),
 f AS (SELECT v.doc_id, v.k, left(md5(coalesce(j, '')), 16) AS whole, coalesce(fine, []::VARCHAR[]) AS fine, coalesce(coarse, []::VARCHAR[]) AS coarse FROM v LEFT JOIN q USING (doc_id, k) LEFT JOIN y2 USING (doc_id, k) LEFT JOIN z2 USING (doc_id, k))
 SELECT d.doc_id, d.n::BIGINT AS n_chars, sha256(d.edited) AS edited_sha256, a.whole || '.' || array_to_string(a.fine, '') || '.' || array_to_string(a.coarse, '') AS fingerprint, b.whole || '.' || array_to_string(b.fine, '') || '.' || array_to_string(b.coarse, '') AS edited_fingerprint,
   {_likeness("a", "b")} AS near_edited, {_likeness("a", "c")} AS near_next

@@ -35,15 +35,15 @@ def test_run(spark):
 
 def test_entry_registers_all(spark):
     names = set(__spark_entry__.queries())
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_imatch_fingerprints", "op5_lm_scoring", "op7_suffix_array_dedup", "op9_substring_dedup", "op10_minhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_benchmark_decontamination", "op4_imatch_fingerprints", "op5_lm_scoring", "op7_suffix_array_dedup", "op9_substring_dedup", "op10_minhash_near_dedup", "op12_ranked_lexical_search", "op13_centroid_clustering"])
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "labels"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         c.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     df = __spark_entry__.queries()[name](spark, DATA)
     cols = sorted(df.columns)
