@@ -264,7 +264,9 @@ def _searched(classes: DataFrame, asking: DataFrame, width: int, n: int, top: in
     # rows whose hash is under a share; a few more than asked for at most
     share = min(1.0, most / n)
     sample = classes.where(F.pmod(F.xxhash64(F.lit(7), "cls"), F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else classes
-    drawn = np.array([r["vec"] for r in sample.select("cls", "vec").orderBy("cls").collect()] or [classes.first()["vec"]], np.float64)
+    drawn = sample.select("cls", "vec").orderBy("cls").toArrow()
+    drawn = drawn if drawn.num_rows else classes.select("cls", "vec").limit(1).toArrow()
+    drawn = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in drawn["vec"].chunks]).reshape(-1, width)
     k = max(1, min(CENTROIDS, CENTROID_COMPONENTS // width, len(drawn) // 4, int(2 * math.sqrt(n)), n // SMALL_LIST))
     shared = spark.sparkContext.broadcast(fit(drawn, k))
 

@@ -1,10 +1,11 @@
 """Token totals kept up to date by signed changes.
 
-The store has four kinds of tables under one path: `ledger` (what each document of a
+The store has five kinds of tables under one path: `ledger` (what each document of a
 batch counts for since then, by tokenizer version), `state` (what all count for after a
 batch: the parts of the ledger up to there in one, so that a batch reads a bounded number
-of them), `changes` (signed totals of a batch by source, language and version) and
-`commits` (one row for each batch that is complete). Batches come in the order of their
+of them), `changes` (signed totals of a batch by source, language and version), `sums` (the
+changes up to a batch in one) and `commits` (one row for each batch that is complete). A
+batch looks up its own documents in the ledger; the others are not grouped. Batches come in the order of their
 numbers, from one writer at a time. A batch writes its ledger and changes first and its
 commit last. Readers take only committed batches, so a batch that broke off has no effect
 and is written anew when it comes again, and a batch that is committed already is
@@ -46,11 +47,11 @@ class Rollup:
         """Numbers of the batches whose commit is there, ascending."""
         return self._complete("commits")
 
-    def _parts(self) -> list[str]:
-        """The tables that the ledger is made of: the last state and the committed parts after it."""
+    def _parts(self, whole: str = "state", single: str = "ledger") -> list[str]:
+        """The tables that the ledger (or the changes) are made of: the last state (or sums) and the committed parts after it."""
         done = self.committed()
-        base = [b for b in self._complete("state") if b in done][-1:]
-        return [f"state/{b}" for b in base] + [f"ledger/{b}" for b in done if not base or b > base[0]]
+        base = [b for b in self._complete(whole) if b in done][-1:]
+        return [f"{whole}/{b}" for b in base] + [f"{single}/{b}" for b in done if not base or b > base[0]]
 
     def _complete(self, table: str) -> list[int]:
         jvm = self.spark._jvm
@@ -64,20 +65,27 @@ class Rollup:
         """What each (doc_id, version) counts for now."""
         return self._now().select("doc_id", "version", "source", "lang", "n_tokens")
 
-    def _now(self) -> DataFrame:
+    def _now(self, of: DataFrame | None = None) -> DataFrame:
+        """The ledger's latest rows that are live; of the keys (doc_id, version) in `of` alone, if given."""
         rows = self._read(LEDGER, self._parts())
+        if of is not None:
+            rows = rows.join(of, ["doc_id", "version"], "left_semi")
         return rows.groupBy("doc_id", "version").agg(F.max_by(F.struct("source", "lang", "n_tokens", "live", "batch"), "batch").alias("now")).where("now.live").select("doc_id", "version", "now.*")
 
     def compact(self) -> None:
-        """Write what the ledger says after the last batch as one state, which readers then take up."""
+        """Write what the ledger says after the last batch as one state, and all changes as one table of sums, which readers then take up."""
         done = self.committed()
         if done and done[-1] not in self._complete("state"):
             self._now().write.mode("overwrite").parquet(f"{self.path}/state/{done[-1]}")
+        if done and done[-1] not in self._complete("sums"):
+            self._summed().withColumn("batch", F.lit(done[-1]).cast("long")).write.mode("overwrite").parquet(f"{self.path}/sums/{done[-1]}")
+
+    def _summed(self) -> DataFrame:
+        return self._read(CHANGES, self._parts("sums", "changes")).groupBy(*GROUP).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups without documents left are not shown."""
-        rows = self._read(CHANGES, [f"changes/{b}" for b in self.committed()])
-        return rows.groupBy(*GROUP).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0")
+        return self._summed().withColumnsRenamed({"d_docs": "n_docs", "d_tokens": "n_tokens"}).where("n_docs <> 0")
 
     def commit(self, batch: int, events: DataFrame) -> bool:
         """Apply events (doc_id, version, op, source, lang, n_tokens); False if the batch was committed before.
@@ -100,7 +108,7 @@ class Rollup:
             self.compact()
         clean = events.where("doc_id is not null and version is not null and op in ('insert', 'revise', 'delete')").select(F.col("doc_id").cast("long").alias("doc_id"), "version", "op", "source", "lang", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
         one = clean.groupBy("doc_id", "version").agg(F.max(F.struct((F.col("op") == "delete").alias("gone"), "n_tokens", (F.col("op") == "insert").alias("fresh"), "source", "lang")).alias("e"))
-        old = self.ledger().withColumnsRenamed({"source": "old_source", "lang": "old_lang", "n_tokens": "old_tokens"})
+        old = self._now(one.select("doc_id", "version")).select("doc_id", "version", "source", "lang", "n_tokens").withColumnsRenamed({"source": "old_source", "lang": "old_lang", "n_tokens": "old_tokens"})
         both = one.join(old, ["doc_id", "version"], "left").where("old_tokens is not null or (e.fresh and not e.gone)")
         new = both.select("doc_id", "version", F.when(F.col("e.fresh"), F.col("e.source")).otherwise(F.coalesce("e.source", "old_source")).alias("source"), F.when(F.col("e.fresh"), F.col("e.lang")).otherwise(F.coalesce("e.lang", "old_lang")).alias("lang"), F.when(F.col("e.gone"), F.lit(0)).otherwise(F.col("e.n_tokens")).cast("long").alias("n_tokens"), (~F.col("e.gone")).alias("live"), "old_source", "old_lang", "old_tokens")
         ledger = f"{self.path}/ledger/{batch}"

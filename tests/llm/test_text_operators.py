@@ -207,6 +207,7 @@ def test_rollup_refuses_batches_out_of_order_and_compacts(spark, tmp_path):
     assert {(x["doc_id"], x["n_tokens"]) for x in r.ledger().collect()} == set(counts.items())
     assert [tuple(x)[3:] for x in r.totals().collect()] == [(len(counts), sum(counts.values()))]
     assert len(r._parts()) <= 4 and r._complete("state")
+    assert len(r._parts("sums", "changes")) <= 4 and r._complete("sums")
 
 
 @have_data
