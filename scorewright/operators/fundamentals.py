@@ -51,11 +51,12 @@ def unit_scale(text: Column) -> Column:
 
 
 def majority(df: DataFrame, group: str, value: str, *, lead: float = 2.0) -> DataFrame:
-    """group, value, votes of the most frequent value where it has at least `lead` times the votes of the next; else no row."""
+    """group, value, votes of the most frequent value where it has at least `lead` times the votes of the next; else no row. Counts alone are compared: a group may have any number of values."""
     votes = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("votes"))
-    ranked = votes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct((-F.col("votes")).alias("n"), F.col(value).alias("v")))).alias("r"))
-    first, second = F.col("r")[0], F.get("r", 1)
-    return ranked.where((F.size("r") == 1) | (-first["n"] >= lead * -second["n"])).select(group, first["v"].alias(value), (-first["n"]).alias("votes"))
+    first = votes.groupBy(F.col(group).alias("g_")).agg(F.min(F.struct((-F.col("votes")).alias("n"), F.col(value).alias("v"))).alias("best_"))
+    both = votes.join(first, F.col(group).eqNullSafe(F.col("g_")))
+    told = both.groupBy(group).agg(F.first("best_").alias("best_"), F.coalesce(F.max(F.when(F.col(value) != F.col("best_.v"), F.col("votes"))), F.lit(0)).alias("next_"))
+    return told.where(-F.col("best_.n") >= lead * F.col("next_")).select(group, F.col("best_.v").alias(value), (-F.col("best_.n")).alias("votes"))
 
 
 def auditor(docs: DataFrame, firms: list[str], *, id_col: str = "document_id", text_col: str = "text") -> DataFrame:

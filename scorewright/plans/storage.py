@@ -68,13 +68,14 @@ def manifest_upsert(spark, sf_dir):
     return sinks.without_keys(o.where("k % 2 = 0").withColumn("version", F.lit("old")), o.where("k % 3 = 0").withColumn("version", F.lit("new")), ["k"])
 
 
-@query("SELECT * FROM (VALUES ('records', 1::BIGINT), ('table', 1::BIGINT)) v(kind, n)")
+@query("""WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, bool_or(o_orderstatus = 'P') AS open FROM orders GROUP BY 1) SELECT kind, n FROM (SELECT 'table' AS kind, count(*) AS n FROM m UNION ALL SELECT 'records', count(*) FROM m WHERE open) WHERE n > 0""")
 def discovered_kinds(spark, sf_dir):
-    """Kinds of the files below a folder, without those of an excluded path."""
-    path, r = _place(spark, "found"), table(spark, sf_dir, "region").coalesce(1)
-    r.write.csv(f"{path}/a")
-    r.write.json(f"{path}/b")
-    r.write.json(f"{path}/archive/c")
+    """Kinds of the files below a folder, without those of an excluded path: a table of orders a month, records of the months with pending orders, and an archive that is left out."""
+    path, o = _place(spark, "found"), table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM").alias("month")).repartition("month")
+    o.write.partitionBy("month").csv(f"{path}/a")
+    pending = o.where("o_orderstatus = 'P'")
+    pending.write.partitionBy("month").json(f"{path}/b")
+    pending.write.partitionBy("month").json(f"{path}/archive/c")
     return readers.discovered(spark, path, ["/archive/"]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
@@ -92,12 +93,13 @@ def checksum_changes(spark, sf_dir):
     return readers.changed(*found).select(F.col("path").alias("month"), "change")
 
 
-@query("SELECT 0::BIGINT AS rows, 'allowed_empty' AS status UNION ALL SELECT 0, 'problem_empty' UNION ALL SELECT count(*), 'ok' FROM nation")
+@query("SELECT count(*) AS rows, CASE WHEN count(*) > 0 THEN 'ok' ELSE 'problem_empty' END AS status FROM orders UNION ALL SELECT 0, 'problem_empty' UNION ALL SELECT count(*), CASE WHEN count(*) > 0 THEN 'ok' ELSE 'allowed_empty' END FROM orders WHERE o_totalprice < 1000")
 def empty_output_audit(spark, sf_dir):
-    path, n = _place(spark, "audit"), table(spark, sf_dir, "nation")
-    n.write.parquet(f"{path}/full")
-    for name in ("none", "optional"):
-        n.limit(0).write.parquet(f"{path}/{name}")
+    """Outputs of the orders: all of them, those without a customer, which may not be empty, and the cheapest, which may."""
+    path, o = _place(spark, "audit"), table(spark, sf_dir, "orders")
+    o.write.parquet(f"{path}/full")
+    o.where("o_custkey is null").write.parquet(f"{path}/none")
+    o.where("o_totalprice < 1000").write.parquet(f"{path}/optional")
     return sinks.empty_outputs(spark, {f"{path}/full": False, f"{path}/none": False, f"{path}/optional": True}).drop("path")
 
 
