@@ -72,12 +72,17 @@ def evidence_class(code: Column, evidence: Column, reason: Column) -> Column:
     for c, terms in EVIDENCE_WORDS.items():
         hits = hits + F.when(code == c, sum((text.contains(t).cast("int") for t in terms[1:]), text.contains(terms[0]).cast("int"))).otherwise(0)
     say = lambda *x: F.struct(*[F.lit(v).alias(n) for v, n in zip(x, ("status", "issue", "alignment", "action"), strict=True)])
-    out = F.when(F.trim(own) == "", say("not_checkable", "evidence_not_in_text", "not_checkable", "check_text_cleaning")).when(has_any(own, NOISE), say("invalid", "non_mda_noise", "misaligned", "check_text_cleaning"))
-    out = out.when((code == "AR02") & (hits == 0) & ~text.rlike(r"\d+(?:\.\d+)?\s*(?:%|million|sen|rm)"), say("invalid", "missing_financial_content", "misaligned", "rerun_dimension_only"))
-    out = out.when((code == "AR02") & has_any(text, ["numeric", "not calculable"]), say("acceptable", "numeric_review_required", "partial", "manual_review"))
-    for c, issue in MISSING_ISSUE.items():
-        out = out.when((code == c) & (hits == 0), say("weak", issue, "partial", "manual_review"))
-    return out.when(hits >= 2, say("strong", "none", "aligned", "accept")).otherwise(say("acceptable", "none", "aligned", "accept"))
+
+    def judged(n: Column) -> Column:
+        out = F.when(F.trim(own) == "", say("not_checkable", "evidence_not_in_text", "not_checkable", "check_text_cleaning")).when(has_any(own, NOISE), say("invalid", "non_mda_noise", "misaligned", "check_text_cleaning"))
+        out = out.when((code == "AR02") & (n == 0) & ~text.rlike(r"\d+(?:\.\d+)?\s*(?:%|million|sen|rm)"), say("invalid", "missing_financial_content", "misaligned", "rerun_dimension_only"))
+        out = out.when((code == "AR02") & has_any(text, ["numeric", "not calculable"]), say("acceptable", "numeric_review_required", "partial", "manual_review"))
+        for c, issue in MISSING_ISSUE.items():
+            out = out.when((code == c) & (n == 0), say("weak", issue, "partial", "manual_review"))
+        return out.when(n >= 2, say("strong", "none", "aligned", "accept")).otherwise(say("acceptable", "none", "aligned", "accept"))
+
+    # the words are counted once, not in each rule
+    return F.get(F.transform(F.array(hits), judged), F.lit(0))
 
 
 def failure_stage(error: Column, parse_status: Column, schema_status: Column, n_words: Column, evidence_status: Column, scope_status: Column, numeric_issues: Column) -> Column:
