@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from scorewright.functions.rows import once
 from scorewright.functions.text import MARK, blank_if_null, has_any, one_spaced, packed, sentences
 
 #: Headings that open a section of a report, and words that mark a paragraph as financial. Fixed values.
 SECTIONS = ("financial review", "business review", "operations review", "risk", "outlook", "prospects", "dividend", "overview")
 FINANCIAL = r"(?i)revenue|profit|sales|margin|cash flow|dividend|rm\s*\d|%"
 FURNITURE = r"(?i)ANNUAL REPORT \d{4}|CORPORATE GOVERNANCE|ADDITIONAL INFORMATION"
+#: Outcomes of a numeric check that a summary of a document tells.
+BAD = ("material_discrepancy", "severe_direction_conflict")
 #: Fields of a complete payload and the flags in it.
 PAYLOAD_FIELDS = ("document_id", "doc_type", "scoring_basis", "scorebook_version", "evidence_limitation", "dimension_scores", "flags", "overall_comment", "needs_review", "review_reasons")
 PAYLOAD = "document_id string, doc_type string, scoring_basis string, scorebook_version string, evidence_limitation string, dimension_scores array<struct<dimension_code:string,raw_score:int,reason:string,evidence_locator:string,confidence_level:string>>, flags map<string,int>, overall_comment string, needs_review boolean, review_reasons array<string>"
@@ -61,12 +64,26 @@ def cleaned(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "te
 
 def article_paragraphs(title: Column, text: Column, size: int = 450) -> Column:
     """Located text of an article: a title block, then paragraphs at blank lines, or sentences packed to `size` characters if there are none."""
-    parts = F.filter(F.transform(F.split(blank_if_null(text), r"\n\s*\n+"), lambda p: one_spaced(p)), lambda p: p != "")
-    chosen = F.when(F.size(parts) > 1, parts).otherwise(packed(sentences(text), size))
+    parts = _blank_parted(text)
+    return _numbered(title, F.when(F.size(parts) > 1, parts).otherwise(packed(sentences(text), size)))
+
+
+def _blank_parted(text: Column) -> Column:
+    return F.filter(F.transform(F.split(blank_if_null(text), r"\n\s*\n+"), lambda p: one_spaced(p)), lambda p: p != "")
+
+
+def _numbered(title: Column, chosen: Column) -> Column:
     numbered = F.transform(chosen, lambda p, i: F.concat(F.format_string("[NEWS_P%03d] ", i + 1), p))
     return F.concat(F.lit("[TITLE]\n"), one_spaced(title), F.lit("\n\n"), F.array_join(numbered, "\n\n"), F.lit("\n"))
 
 
+def articles(texts: DataFrame, title: str, text: str, size: int = 450) -> DataFrame:
+    """Adds `article`, the article_paragraphs() of columns; the cuts of a text are worked out once and sentences only where no blank line parts it."""
+    cut = once(texts, parts_=_blank_parted(F.col(text)))
+    cut = once(cut, chosen_=F.when(F.size("parts_") > 1, F.col("parts_")).otherwise(packed(sentences(F.col(text)), size)))
+    return cut.withColumn("article", _numbered(F.col(title), F.col("chosen_"))).drop("parts_", "chosen_")
+
+
 def notes_map(notes: Column) -> Column:
     """key=value pairs of a text, separated by semicolons; the last of equal keys wins, parts without = are passed over."""
     pairs = F.filter(F.transform(F.split(blank_if_null(notes), ";"), lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("key"), F.trim(F.regexp_replace(p, "^[^=]*=?", "")).alias("value"), F.contains(p, F.lit("=")).alias("ok"))), lambda p: p["ok"] & (p["key"] != ""))
@@ -144,5 +161,13 @@ def full_payload_issues(payload: Column, codes: list[str], flags: list[str], *,
 
 def compact_numeric(checks: Column, most: int = 20) -> Column:
     """Status, locator and text of the first material or conflicting checks of a document."""
-    bad = F.filter(checks, lambda c: c["status"].isin("material_discrepancy", "severe_direction_conflict"))
+    bad = F.filter(checks, lambda c: c["status"].isin(*BAD))
     return F.slice(F.transform(bad, lambda c: F.struct(c["status"].alias("status"), c["evidence_locator"].alias("evidence_locator"), c["source_text"].alias("source_text"))), 1, most)
+
+
+def compact_by_group(checks: DataFrame, group: str, order: list[str], most: int = 20) -> DataFrame:
+    """group, c: compact_numeric() of each group's checks in `order`. Tasks keep `most` of each group before the shuffle, so a large group is not gathered."""
+    bad = checks.where(F.col("status").isin(*BAD))
+    first = bad.withColumn("nth_", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("nth_") <= most)
+    entry = F.struct("nth_", "status", "evidence_locator", "source_text")
+    return first.groupBy(group).agg(F.array_sort(F.collect_list(entry)).alias("checks_")).select(group, F.explode(compact_numeric(F.col("checks_"), most)).alias("c"))

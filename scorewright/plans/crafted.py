@@ -16,7 +16,7 @@ from scorewright.plans import statements as S
 from scorewright.plans.ratings import table
 from scorewright.plans.texts import _TOKENS_SQL
 from scorewright.sources import readers, sheets, sinks
-from scorewright.sources.tables import keeper, shared_folder
+from scorewright.sources.tables import keeper, shared_folder, spread
 
 QUERIES, SQL = {}, {}
 
@@ -94,7 +94,8 @@ def customer_articles(spark, sf_dir):
     n = (F.col("c_custkey") % 7 + 1).cast("int")
     sentences = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.repeat(F.char(F.lit(96) + i), F.lit(199)), F.lit(".")))
     text = F.when(F.col("c_custkey") % 2 == 0, F.array_join(sentences, "\n \n\n")).otherwise(F.array_join(sentences, "  "))
-    return table(spark, sf_dir, "customer").select("c_custkey", D.article_paragraphs(F.concat(F.lit(" Title  "), F.col("c_custkey").cast("string")), text).alias("article"))
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.concat(F.lit(" Title  "), F.col("c_custkey").cast("string")).alias("title"), text.alias("text"))
+    return D.articles(c, "title", "text").select("c_custkey", "article")
 
 
 _DIMENSIONS = ["AR01", "AR02", "AR03", "AR04", "AR05"]
@@ -116,10 +117,8 @@ def full_payload_issue_lists(spark, sf_dir):
 @query(f"WITH {S._CHECKS_SQL}, b AS (SELECT (document_id::BIGINT % 300)::VARCHAR AS book, document_id, status FROM k WHERE status IN ('material_discrepancy', 'severe_direction_conflict')), n AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY document_id) AS nth FROM b) SELECT book, document_id, status FROM n WHERE nth <= 4")
 def compact_checks(spark, sf_dir):
     """Of the checks of three hundred books of statements, the first four of each that went wrong."""
-    checks = N.numeric_checks(S.statements(spark, sf_dir))
-    entry = F.struct("document_id", "status", F.col("document_id").alias("evidence_locator"), "source_text")
-    books = checks.groupBy((F.col("document_id").cast("long") % 300).cast("string").alias("book")).agg(F.array_sort(F.collect_list(entry)).alias("checks"))
-    return books.select("book", F.explode(D.compact_numeric(F.col("checks"), 4)).alias("c")).select("book", F.col("c.evidence_locator").alias("document_id"), "c.status")
+    checks = N.numeric_checks(S.statements(spark, sf_dir)).withColumns({"book": (F.col("document_id").cast("long") % 300).cast("string"), "evidence_locator": F.col("document_id")})
+    return D.compact_by_group(checks, "book", ["document_id", "status", "source_text"], 4).select("book", F.col("c.evidence_locator").alias("document_id"), "c.status")
 
 
 @query("SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE rtrim(substring(trim(regexp_replace('about ' || role || '  ' || turn, '\\s+', ' ', 'g')), 1, 14)) END AS quoted FROM conversations")

@@ -12,6 +12,7 @@ from scorewright.operators import claims as C
 from scorewright.operators import jsonfix as J
 from scorewright.operators import numeric as N
 from scorewright.plans.ratings import table
+from scorewright.sources.tables import spread
 
 QUERIES, SQL = {}, {}
 
@@ -35,7 +36,7 @@ KINDS = ("cost_claim", "segment_claim", "risk_claim", "outlook_claim", "strategy
 
 
 def statements(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("document_id"), "o_orderkey", *[F.expr(f"cast({e} as long)").alias(n) for n, e in NUMBERS.items()])
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(F.col("o_orderkey").cast("string").alias("document_id"), "o_orderkey", *[F.expr(f"cast({e} as long)").alias(n) for n, e in NUMBERS.items()])
     rm = lambda c: F.concat(F.lit("RM"), F.col(c).cast("string"), F.lit(" million"))
     before = F.when((F.col("loss") == 0) & (F.col("old") > 0), F.concat(F.lit("(RM"), F.col("old").cast("string"), F.lit(" million)"))).otherwise(rm("old"))
     way = F.when(F.col("o_orderkey") % 2 == 0, WAYS[0]).otherwise(WAYS[1])

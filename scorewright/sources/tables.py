@@ -31,3 +31,9 @@ def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
         return spark.read.schema(df.schema).parquet(path)
 
     return keep
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores: a small file is one task, however long the work on its rows takes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
