@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -109,9 +110,21 @@ def keyword_count(c: Column, keywords: Iterable[str]) -> Column:
     return out
 
 
+@cache
+def _spellings() -> dict[str, str]:
+    """Characters that are one letter but for their case, by folded form: `s` has the long s too, and the Turkish i's stand alone."""
+    out: dict[str, str] = {}
+    for c in map(chr, range(0x110000)):
+        out[c.casefold()] = out.get(c.casefold(), "") + c
+    return out
+
+
 def alias_pattern(alias: str) -> str:
-    """A pattern for an alias between characters that are neither letters nor digits of the English alphabet."""
-    return rf"(?i)(^|[^A-Za-z0-9]){re.escape(alias)}([^A-Za-z0-9]|$)"
+    """A pattern for an alias in any case, accented letters too, between characters that are neither letters nor digits of the English alphabet in any spelling."""
+    same = lambda c: s if len(s := _spellings()[c.casefold()]) > 1 else c
+    letters = "".join(f"[{''.join(map(re.escape, same(c)))}]" for c in alias)
+    border = "A-Za-z0-9" + _spellings()["s"] + _spellings()["k"]
+    return rf"(^|[^{border}]){letters}([^{border}]|$)"
 
 
 def plain_html(c: Column) -> Column:

@@ -238,10 +238,12 @@ v AS (SELECT doc_id, CASE WHEN text = '' THEN ['unusable_missing_text', 'No', ''
 def _relevance(spark, sf_dir, per_source: bool):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text").withColumn("body", F.sha2("text", 256))
     d = D.repeats(d, [*(["source"] if per_source else []), "body"], ["doc_id"], "dup")
+    # a dotted capital I is one letter in lower case
+    plain = F.translate("text", "İ", "i")
     own = lambda t: F.coalesce(*[F.when((F.col("source") == g) & t.rlike(X.alias_pattern(a)), True) for g, a in ALIASES], F.lit(False))
-    other = F.coalesce(*[F.when((F.col("source") != g) & F.contains(F.lower("text"), F.lit(a)), True) for g, a in ALIASES if len(a) > 4], F.lit(False))
+    other = F.coalesce(*[F.when((F.col("source") != g) & F.contains(F.lower(plain), F.lit(a)), True) for g, a in ALIASES if len(a) > 4], F.lit(False))
     title, lead = F.substring("text", 1, 60), F.substring("text", 1, 200)
-    out = V.relevance(text=F.col("text"), url=F.lit(""), title=title, duplicate=F.col("dup"), wrong_company=other, alias_in_title=own(title), alias_in_lead=own(lead), alias_anywhere=own(F.col("text")), generic_title=X.has_any(title, ["the of"]), context=X.has_any(lead, ["the", "der", "les", "los"]), soft_story=X.has_any(F.col("text"), ["idiot", "clown"]), business=X.has_any(F.col("text"), ["and", "und", "et", "con"]))
+    out = V.relevance(text=F.col("text"), url=F.lit(""), title=title, duplicate=F.col("dup"), wrong_company=other, alias_in_title=own(title), alias_in_lead=own(lead), alias_anywhere=own(F.col("text")), generic_title=X.has_any(title, ["the of"]), context=X.has_any(lead, ["the", "der", "les", "los"]), soft_story=X.has_any(plain, ["idiot", "clown"]), business=X.has_any(plain, ["and", "und", "et", "con"]))
     return d.select("doc_id", out.alias("r")).select("doc_id", "r.*")
 
 
