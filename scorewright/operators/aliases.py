@@ -32,21 +32,22 @@ RULES: dict[str, Callable[[str, str, str], bool]] = {
 }
 
 
-def names_found(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[str], most: int = AUTOMATON_CHARS) -> DataFrame:
+def names_found(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[str], group: str | None = None, most: int = AUTOMATON_CHARS) -> DataFrame:
     """A row for each text and name that stands in it: keep, name, rule, at (first place, from 0), n (occurrences that do not overlap).
 
     `names` has name and rule; a name counts where its rule allows what is beside it:
     `any` anything, `alnum` no English letter or digit, `word` no letter, digit or
     underscore, `edge` a word border at both ends, `unit` as `word` but for digits after it.
     Texts and names are compared in lower case; places are those of the lowered text.
-    Null texts hold nothing, blank and null names are in nothing.
+    Null texts hold nothing, blank and null names are in nothing. With `group`, one of
+    `keep` and a column of the names too, a text is searched for names of its own group alone.
 
     The names are counted first. Up to `most` characters of them make one automaton that
     is broadcast; beyond that they are dealt to several, each of which reads the texts.
     A task holds one automaton, and what it tells of a text is bounded by the names in it.
     """
     spark = texts.sparkSession
-    names = names.select(F.lower("name").alias("name"), "rule").where("name <> '' and rule is not null").distinct()
+    names = names.select(F.lower("name").alias("name"), "rule", (F.col(group) if group else F.lit("")).alias("group_of_")).where("name <> '' and rule is not null and group_of_ is not null").distinct()
     size = names.agg(F.sum(F.length("name"))).first()[0] or 0
     parts = math.ceil(2 * size / most) if size > most else 1
     rows = texts.select(*keep, F.lower(text).alias("text_")).where("text_ is not null")
@@ -54,30 +55,52 @@ def names_found(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[
     out = None
     for part in range(parts):
         some = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part) if parts > 1 else names
-        known: dict[str, list[str]] = {}
+        known: dict[object, dict[str, list[str]]] = {}
         for r in some.collect():
-            known.setdefault(r["name"], []).append(r["rule"])
-        found = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(known), keep), schema)
+            known.setdefault(r["group_of_"], {}).setdefault(r["name"], []).append(r["rule"])
+        found = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(known), keep, group), schema)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _scanner(shared, keep: list[str]):
+#: Rows that a task gathers before it tells them.
+TOLD = 1 << 15
+
+
+def _scanner(shared, keep: list[str], group: str | None):
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = ahocorasick.Automaton()
-        for name, rules in shared.value.items():
-            machine.add_word(name, (name, [(name, r, RULES[r]) for r in rules]))
-        if len(machine):
-            machine.make_automaton()
+        machines: dict[object, ahocorasick.Automaton | None] = {}
+
+        def machine_of(key):
+            if key not in machines:
+                machine = ahocorasick.Automaton()
+                for name, rules in shared.value.get(key, {}).items():
+                    machine.add_word(name, (name, [(name, r, RULES[r]) for r in rules]))
+                if len(machine):
+                    machine.make_automaton()
+                machines[key] = machine if len(machine) else None
+            return machines[key]
+
         for batch in batches:
             rows, told = [], []
+
+            def gathered(batch=batch):
+                columns = [batch[c].take(pa.array(rows, pa.int64())) for c in keep]
+                return pa.RecordBatch.from_arrays([*columns, *[pa.array([t[j] for t in told], kind) for j, kind in enumerate(kinds)]], names=[*keep, "name", "rule", "at", "n"])
+
             for i, text in enumerate(batch["text_"]):
-                found = _occurrences(machine, text.as_py()) if len(machine) else {}
+                machine = machine_of(batch[group][i].as_py() if group else "")
+                if machine is None:
+                    continue
+                found = _occurrences(machine, text.as_py())
                 rows += [i] * len(found)
                 told += [(name, rule, at, n) for (name, rule), (at, n, _) in found.items()]
-            columns = [batch[c].take(pa.array(rows, pa.int64())) for c in keep]
-            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array([t[j] for t in told], kind) for j, kind in enumerate(kinds)]], names=[*keep, "name", "rule", "at", "n"])
+                if len(told) >= TOLD:
+                    yield gathered()
+                    rows, told = [], []
+            yield gathered()
 
     return scan
 
@@ -98,6 +121,34 @@ def _occurrences(machine: ahocorasick.Automaton, text: str) -> dict[tuple[str, s
     return found
 
 
+#: Names of a group that one row holds; larger groups are cut into several.
+BLOCK_NAMES = 1000
+
+
+def own_names_found(texts: DataFrame, names: DataFrame, text: Column, *, id_col: str, group_col: str, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """id, alias: the aliases of a text's own group that stand in it between borders of the English alphabet. `names` has group_, alias and name, in lower case.
+
+    Up to `most` characters of names are found by an automaton for each group. More of
+    them, in many groups, go to the texts of their group by a join, a list of at most
+    BLOCK_NAMES a row, so that no text meets another group's names.
+    """
+    size = names.agg(F.sum(F.length("name"))).first()[0] or 0
+    texts = texts.select(id_col, F.col(group_col).alias("group_"), text.alias("body_"))
+    if size <= most:
+        found = names_found(texts, names.select("name", "group_", F.lit("alnum").alias("rule")), F.col("body_"), keep=[id_col, "group_"], group="group_", most=most)
+        return found.join(names, ["name", "group_"]).select(id_col, "alias")
+    parts = names.groupBy("group_").agg(F.ceil(F.count("*") / BLOCK_NAMES).alias("parts_"))
+    dealt = names.where("name <> ''").join(parts, "group_").withColumn("part_", F.pmod(F.xxhash64("name", "alias"), "parts_"))
+    lists = dealt.groupBy("group_", "part_").agg(F.collect_set(F.struct("alias", "name")).alias("names_"))
+    met = texts.withColumn("low_", F.lower("body_")).join(lists, "group_")
+
+    def stands(x: Column) -> Column:
+        quoted = F.concat(F.lit(r"(^|[^a-zA-Z0-9])\Q"), F.replace(x["name"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E([^a-zA-Z0-9]|$)"))
+        return F.when(F.contains(F.col("low_"), x["name"]), F.rlike(F.col("low_"), quoted)).otherwise(False)
+
+    return met.select(id_col, F.explode(F.filter("names_", stands)).alias("x_")).select(id_col, "x_.alias")
+
+
 def keyword_rule(keyword: str) -> str:
     """How a keyword counts: as a word if it is one, `rm` also before digits, else wherever it stands."""
     key = keyword.lower()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.text import alias_pattern, has_any, one_spaced
-from scorewright.operators.aliases import names_found
+from scorewright.operators.aliases import names_found, own_names_found
 
 #: Words of a company's legal form that its short name leaves out. Fixed values.
 LEGAL_WORDS = r"(?i)\b(Berhad|Bhd|Holdings?|Corporation|Industries|Group|Malaysia)\b"
@@ -38,9 +38,8 @@ def _alias(alias: Column, kind: str, strength: str, ord_: int) -> Column:
 
 def own_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, group_col: str) -> DataFrame:
     """id, hits (sorted aliases of the article's own group that stand in it between word borders)."""
-    a = aliases.select(F.col("ticker").alias("g_"), "alias", F.lower(one_spaced(F.col("alias"))).alias("name"))
-    found = names_found(articles.select(id_col, F.col(group_col).alias("group_"), text.alias("body_")), a.select("name", F.lit("alnum").alias("rule")), F.col("body_"), keep=[id_col, "group_"])
-    own = found.join(a, (found["name"] == a["name"]) & (F.col("group_") == F.col("g_")))
+    a = aliases.select(F.col("ticker").alias("group_"), "alias", F.lower(one_spaced(F.col("alias"))).alias("name"))
+    own = own_names_found(articles, a, text, id_col=id_col, group_col=group_col)
     return own.groupBy(id_col).agg(F.array_sort(F.collect_set("alias")).alias("hits"))
 
 

@@ -82,3 +82,15 @@ def test_categories_keep_groups_without_hits(spark):
     d = spark.createDataFrame([("s", None, "The rm5 of it"), ("s", None, "the the"), (None, "de", "nichts"), ("t", "en", None)], "source string, lang string, text string")
     got = {(r["source"], r["lang"]): (r["has_a"], r["n_a"], r["n_b"]) for r in A.category_counts(d, {"a": ["the", "of"], "b": ["rm", "%"]}, F.col("text"), groups=["source", "lang"]).collect()}
     assert got == {("s", None): (True, 3, 1), (None, "de"): (False, 0, 0), ("t", "en"): (False, 0, 0)}
+
+
+def test_own_names_by_join_are_those_of_the_automaton(spark):
+    from scorewright.operators.aliases import own_names_found
+
+    texts = spark.createDataFrame([(1, "g", "A.B (c) and x\\Ed"), (2, "h", "a.b is not g's"), (3, None, "a.b"), (4, "g", None), (5, "g", "axb xa.b\n")], "id long, g string, t string")
+    names = spark.createDataFrame([("g", n) for n in ("a.b", "(c)", "x\\Ed", "x", "", None)] + [("h", "g"), ("h", "not")], "group_ string, alias string").selectExpr("group_", "alias", "lower(alias) AS name")
+    got = [sorted(map(tuple, own_names_found(texts, names, F.col("t"), id_col="id", group_col="g", **more).collect())) for more in ({}, {"most": 1})]
+    assert got[0] == got[1] == [(1, "(c)"), (1, "a.b"), (1, "x"), (1, "x\\Ed"), (2, "g"), (2, "not")]
+    # names beyond what one automaton holds are not looked for in other groups' texts
+    plan = own_names_found(texts, names, F.col("t"), id_col="id", group_col="g", most=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
