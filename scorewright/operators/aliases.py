@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 #: Characters of names that one automaton holds (each is a node of some 40 bytes at most); more names are dealt to several.
 AUTOMATON_CHARS = 1 << 19
@@ -46,20 +49,38 @@ def names_found(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[
     is broadcast; beyond that they are dealt to several, each of which reads the texts.
     A task holds one automaton, and what it tells of a text is bounded by the names in it.
     """
+    found = _scanned(texts, names, text, keep, group, most, None)
+    return found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found)
+
+
+def names_held(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[str], told: str, most: int = AUTOMATON_CHARS) -> DataFrame:
+    """A row for each text that holds names: keep, held_ (`told`, a column of the names, of each row of a name that stands in it, in ascending order), times_ (n of each), total_ (n of all, names of several rows once).
+
+    Names that are too many for one automaton give several rows for a text. The rest is as in names_found().
+    """
+    return reduce(DataFrame.unionByName, _scanned(texts, names, text, keep, None, most, told))
+
+
+def _scanned(texts: DataFrame, names: DataFrame, text: Column, keep: list[str], group: str | None, most: int, told: str | None) -> list[DataFrame]:
     spark = texts.sparkSession
-    names = names.select(F.lower("name").alias("name"), "rule", (F.col(group) if group else F.lit("")).alias("group_of_")).where("name <> '' and rule is not null and group_of_ is not null").distinct()
+    names = names.select(F.lower("name").alias("name"), "rule", (F.col(group) if group else F.lit("")).alias("group_of_"), *[F.col(told).alias("told_") for _ in range(told is not None)]).where("name <> '' and rule is not null and group_of_ is not null").distinct()
     size = names.agg(F.sum(F.length("name"))).first()[0] or 0
     parts = math.ceil(2 * size / most) if size > most else 1
     rows = texts.select(*keep, F.lower(text).alias("text_")).where("text_ is not null")
-    schema = rows.drop("text_").schema.add("name", "string").add("rule", "string").add("at", "long").add("n", "long")
-    out = None
+    schema = rows.drop("text_").schema
+    if told is None:
+        schema = schema.add("name", "string").add("rule", "string").add("at", "long").add("n", "long")
+    else:
+        schema = schema.add("held_", ArrayType(names.schema["told_"].dataType)).add("times_", ArrayType(LongType())).add("total_", "long")
+    out = []
     for part in range(parts):
         some = names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part) if parts > 1 else names
-        known: dict[object, dict[str, list[str]]] = {}
-        for r in some.collect():
-            known.setdefault(r["group_of_"], {}).setdefault(r["name"], []).append(r["rule"])
-        found = rows.mapInArrow(_scanner(spark.sparkContext.broadcast(known), keep, group), schema)
-        out = found if out is None else out.unionByName(found)
+        table = some.orderBy("told_" if told else "name").toArrow().combine_chunks()
+        known: dict[object, dict[str, dict[str, list[int]]]] = {}
+        for i, (g, name, rule) in enumerate(zip(*[table[c].to_pylist() for c in ("group_of_", "name", "rule")], strict=True)):
+            known.setdefault(g, {}).setdefault(name, {}).setdefault(rule, []).append(i)
+        of_rows = table.select(["told_"] if told else ["name", "rule"])
+        out.append(rows.mapInArrow(_scanner(spark.sparkContext.broadcast((known, of_rows)), keep, group, told is not None), schema))
     return out
 
 
@@ -67,55 +88,108 @@ def names_found(texts: DataFrame, names: DataFrame, text: Column, *, keep: list[
 TOLD = 1 << 15
 
 
-def _scanner(shared, keep: list[str], group: str | None):
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
-
+def _scanner(shared, keep: list[str], group: str | None, lists: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines: dict[object, ahocorasick.Automaton | None] = {}
-
-        def machine_of(key):
-            if key not in machines:
-                machine = ahocorasick.Automaton()
-                for name, rules in shared.value.get(key, {}).items():
-                    machine.add_word(name, (name, [(name, r, RULES[r]) for r in rules]))
-                if len(machine):
-                    machine.make_automaton()
-                machines[key] = machine if len(machine) else None
-            return machines[key]
-
+        known, table = shared.value
+        columns = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in table.columns]
+        finders: dict[object, _Finder | None] = {}
+
+        def finder_of(key):
+            if key not in finders:
+                finders[key] = _Finder(known[key]) if key in known else None
+            return finders[key]
+
+        def single(batch, rows, hits):
+            """A row for each hit."""
+            at = pa.array([i for i, h in zip(rows, hits, strict=True) for _ in h], pa.int64())
+            which = pa.array([key[0] for h in hits for key in h], pa.int64())
+            places, times = ([v[j] for h in hits for v in h.values()] for j in (0, 1))
+            return pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in keep], *[c.take(which) for c in columns], pa.array(places, pa.int64()), pa.array(times, pa.int64())], names=[*keep, "name", "rule", "at", "n"])
+
+        def listed(batch, rows, hits):
+            """A row for each text with hits."""
+            ends, which, times, totals = [0], [], [], []
+            for h in hits:
+                held = sorted([(i, v[1]) for key, v in h.items() for i in key])
+                which += [i for i, _ in held]
+                times += [n for _, n in held]
+                totals.append(sum(v[1] for v in h.values()))
+                ends.append(len(which))
+            ends = pa.array(ends, pa.int32())
+            held = [pa.ListArray.from_arrays(ends, x) for x in (columns[0].take(pa.array(which, pa.int64())), pa.array(times, pa.int64()))]
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*[batch[c].take(at) for c in keep], *held, pa.array(totals, pa.int64())], names=[*keep, "held_", "times_", "total_"])
+
+        gathered = listed if lists else single
         for batch in batches:
-            rows, told = [], []
-
-            def gathered(batch=batch):
-                columns = [batch[c].take(pa.array(rows, pa.int64())) for c in keep]
-                return pa.RecordBatch.from_arrays([*columns, *[pa.array([t[j] for t in told], kind) for j, kind in enumerate(kinds)]], names=[*keep, "name", "rule", "at", "n"])
-
+            rows, hits, n = [], [], 0
             for i, text in enumerate(batch["text_"]):
-                machine = machine_of(batch[group][i].as_py() if group else "")
-                if machine is None:
+                finder = finder_of(batch[group][i].as_py() if group else "")
+                found = finder.found(text.as_py()) if finder else {}
+                if not found:
                     continue
-                found = _occurrences(machine, text.as_py())
-                rows += [i] * len(found)
-                told += [(name, rule, at, n) for (name, rule), (at, n, _) in found.items()]
-                if len(told) >= TOLD:
-                    yield gathered()
-                    rows, told = [], []
-            yield gathered()
+                rows.append(i)
+                hits.append(found)
+                n += sum(map(len, found)) if lists else len(found)
+                if n >= TOLD:
+                    yield gathered(batch, rows, hits)
+                    rows, hits, n = [], [], 0
+            yield gathered(batch, rows, hits)
 
     return scan
 
 
-def _occurrences(machine: ahocorasick.Automaton, text: str) -> dict[tuple[str, str], list[int]]:
-    """Of each (name, rule): the first place, how often it stands, and where the last ends."""
-    found: dict[tuple[str, str], list[int]] = {}
+#: Rules by which a name of word characters alone is a whole word of a text.
+WHOLE = ("word", "edge")
+_WORDS = re.compile(r"\w+")
+
+
+class _Finder:
+    """The names of one group in texts.
+
+    Names that only count as whole words, short ones mostly, are looked up among the words
+    of a text: in an automaton they would be met, and turned down, at nearly every letter.
+    `names` gives the rows of each name and rule, which stand for both.
+    """
+
+    def __init__(self, names: dict[str, dict[str, list[int]]]):
+        self.whole: dict[str, list[tuple[int, ...]]] = {}
+        self.machine = ahocorasick.Automaton()
+        for name, rules in names.items():
+            whole = [r for r in rules if r in WHOLE and _WORDS.fullmatch(name)]
+            if whole:
+                self.whole[name] = [tuple(rules[r]) for r in whole]
+            rest = [(tuple(rows), RULES[r]) for r, rows in rules.items() if r not in whole]
+            if rest:
+                self.machine.add_word(name, (name, rest))
+        if len(self.machine):
+            self.machine.make_automaton()
+
+    def found(self, text: str) -> dict[tuple[int, ...], list[int]]:
+        """The rows of each name and rule: the first place, and how often it stands."""
+        out = _occurrences(self.machine, text) if len(self.machine) else {}
+        if self.whole:
+            for m in _WORDS.finditer(text):
+                for key in self.whole.get(m[0], ()):
+                    seen = out.get(key)
+                    if seen is None:
+                        out[key] = [m.start(), 1]
+                    else:
+                        seen[1] += 1
+        return out
+
+
+def _occurrences(machine: ahocorasick.Automaton, text: str) -> dict[tuple[int, ...], list[int]]:
+    """The rows of each name and rule: the first place, how often it stands, and where the last ends."""
+    found: dict[tuple[int, ...], list[int]] = {}
     for last, (name, entries) in machine.iter(text):
         start, end = last - len(name) + 1, last + 1
         before, after = text[start - 1 : start] if start else "", text[end : end + 1]
-        for key_name, rule, fits in entries:
+        for key, fits in entries:
             if fits(before, name, after):
-                seen = found.get((key_name, rule))
+                seen = found.get(key)
                 if seen is None:
-                    found[key_name, rule] = [start, 1, end]
+                    found[key] = [start, 1, end]
                 elif start >= seen[2]:
                     seen[1], seen[2] = seen[1] + 1, end
     return found

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.functions.rows import once
 from scorewright.functions.text import alias_pattern, has_any, one_spaced
-from scorewright.operators.aliases import names_found, own_names_found
+from scorewright.operators.aliases import names_held, own_names_found
 
 #: Words of a company's legal form that its short name leaves out. Fixed values.
 LEGAL_WORDS = r"(?i)\b(Berhad|Bhd|Holdings?|Corporation|Industries|Group|Malaysia)\b"
@@ -46,21 +47,30 @@ def own_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_
 def other_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, group_col: str, order: list[str], most: int = 5) -> DataFrame:
     """id, hits: the first `most` strong aliases (longer than four characters, by `order`) of other groups that stand in a text, wherever."""
     spaced = one_spaced(F.col("alias"))
-    a = aliases.where((F.col("match_strength") == "strong") & (F.length(spaced) > 4)).select(F.col("ticker").alias("g_"), F.struct(*order, "alias").alias("a_"), F.lower(spaced).alias("name"))
-    found = names_found(articles.select(id_col, F.col(group_col).alias("group_"), text.alias("body_")), a.select("name", F.lit("any").alias("rule")), F.col("body_"), keep=[id_col, "group_"])
-    others = found.join(a, (found["name"] == a["name"]) & (F.col("group_") != F.col("g_")))
-    return others.groupBy(id_col).agg(F.array_sort(F.collect_set("a_")).alias("a_")).select(id_col, F.transform(F.slice("a_", 1, most), lambda x: x["alias"]).alias("hits"))
+    a = aliases.where((F.col("match_strength") == "strong") & (F.length(spaced) > 4)).select(F.struct(F.struct(*order, "alias").alias("a_"), F.col("ticker").alias("g_")).alias("told"), F.lower(spaced).alias("name"), F.lit("any").alias("rule"))
+    held = names_held(articles.select(id_col, F.col(group_col).alias("group_"), text.alias("body_")), a, F.col("body_"), keep=[id_col, "group_"], told="told")
+    # equal ones are neighbours: a text tells no more than `most`
+    others = F.filter("held_", lambda x: x["g_"] != F.col("group_"))
+    start = F.array().cast(held.schema["held_"].dataType)
+    few = F.aggregate(others, start, lambda kept, x: F.when((F.size(kept) < most) & ~F.coalesce(F.get(kept, F.size(kept) - 1)["a_"].eqNullSafe(x["a_"]), F.lit(False)), F.concat(kept, F.array(x))).otherwise(kept))
+    first = once(held, few_=few).select(id_col, F.transform("few_", lambda x: x["a_"]).alias("a_")).where(F.size("a_") > 0)
+    by = first.groupBy(id_col).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("a_")))).alias("a_"))
+    return by.select(id_col, F.transform(F.slice("a_", 1, most), lambda x: x["alias"]).alias("hits"))
 
 
 def any_alias_hits(articles: DataFrame, aliases: DataFrame, text: Column, *, id_col: str, order: list[str]) -> DataFrame:
     """id, hits, mentions: aliases of any group in a text, strong ones first and then by `order`, and how often they stand there. Weak ones count at word borders, others wherever."""
     a = aliases.select(F.struct(F.array_position(F.array(F.lit("weak"), F.lit("medium"), F.lit("strong")), F.col("match_strength")).cast("int").alias("sure"), *order, "alias").alias("a_"), F.lower(F.trim("alias")).alias("name"), F.when(F.col("match_strength") == "weak", "edge").otherwise("any").alias("rule"))
     a = a.withColumn("a_", F.col("a_").withField("sure", -F.col("a_.sure")))
-    found = names_found(articles.select(id_col, text.alias("body_")), a.select("name", "rule"), F.col("body_"), keep=[id_col])
-    # names that differ in case alone are one name and are mentioned together
-    named = found.join(a, ["name", "rule"]).groupBy(id_col, "name", "rule").agg(F.first("n").alias("n"), F.collect_set("a_").alias("a_"))
-    held = named.groupBy(id_col).agg(F.array_sort(F.flatten(F.collect_list("a_"))).alias("a_"), F.sum("n").alias("mentions"))
-    return held.select(id_col, F.transform("a_", lambda x: x["alias"]).alias("hits"), "mentions")
+    held = names_held(articles.select(id_col, text.alias("body_")), a, F.col("body_"), keep=[id_col], told="a_")
+    by = held.groupBy(id_col).agg(F.collect_list(F.struct("held_", "times_", "total_")).alias("l_"))
+    alone, one = F.size("l_") == 1, F.get("l_", F.lit(0))
+    # several rows: texts with one id, or names in several automata; names that differ in case alone are one name and are mentioned together
+    every = F.flatten(F.transform("l_", lambda x: F.zip_with(x["held_"], x["times_"], lambda a, n: F.struct(a.alias("a"), n.alias("n")))))
+    named = F.array_distinct(F.transform(every, lambda e: F.struct(F.lower(F.trim(e["a"]["alias"])).alias("name"), e["a"]["sure"].eqNullSafe(-1).alias("weak"), e["n"].alias("n"))))
+    hits = F.when(alone, one["held_"]).otherwise(F.array_sort(F.array_distinct(F.transform(every, lambda e: e["a"]))))
+    mentions = F.when(alone, one["total_"]).otherwise(F.aggregate(named, F.lit(0).cast("long"), lambda s, x: s + x["n"]))
+    return by.select(id_col, F.transform(hits, lambda x: x["alias"]).alias("hits"), mentions.alias("mentions"))
 
 
 def decided(rules: list[tuple[Column, str, str, str]], default: tuple[str, str, str]) -> Column:

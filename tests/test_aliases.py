@@ -94,3 +94,22 @@ def test_own_names_by_join_are_those_of_the_automaton(spark):
     # names beyond what one automaton holds are not looked for in other groups' texts
     plan = own_names_found(texts, names, F.col("t"), id_col="id", group_col="g", most=1)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan
+
+
+def test_texts_tell_their_names_in_one_row(spark):
+    rows = [("B", "Beta", "strong"), ("A", "Beta", "strong"), ("C", "be", "weak"), ("C", "a b", "weak"), ("D", "x", "weak"), ("D", "eta", "medium")]
+    aliases = spark.createDataFrame(rows, "ticker string, alias string, match_strength string")
+    texts = spark.createDataFrame([(1, "Z", "BETA be beta_be A b, xx"), (2, "A", "beta Beta"), (3, "Z", "nothing"), (4, "B", "be"), (4, "C", "be be eta"), (4, "Z", "be")], "id int, g string, text string")
+    found = A.names_held(texts, aliases.selectExpr("struct(ticker, alias) as a", "alias as name", "'any' as rule"), F.col("text"), keep=["id"], told="a")
+    assert sorted(r["id"] for r in found.collect()) == [1, 2, 4, 4, 4]
+    for r in found.where("id = 2").collect():
+        assert [(a["ticker"], n) for a, n in zip(r["held_"], r["times_"], strict=True)] == [("A", 2), ("B", 2), ("C", 1), ("C", 2), ("D", 2)] and r["total_"] == 7
+    anything = relevance.any_alias_hits(texts, aliases, F.col("text"), id_col="id", order=["ticker"])
+    # the hits of a text reach its id in one row, not a row a hit
+    assert "Join" not in anything._jdf.queryExecution().optimizedPlan().toString()
+    # texts with one id: counts that are equal count once, as in the SQL
+    assert {r["id"]: (r["hits"], r["mentions"]) for r in anything.collect()} == {1: (["Beta", "Beta", "eta", "a b", "be"], 6), 2: (["Beta", "Beta", "eta"], 4), 4: (["eta", "be"], 4)}
+    strong = aliases.selectExpr("ticker", "alias || ' be' AS alias", "'strong' AS match_strength")
+    others = relevance.other_alias_hits(texts, strong, F.col("text"), id_col="id", group_col="g", order=["ticker"], most=1)
+    assert sorted(map(tuple, others.collect())) == [(1, ["Beta be"]), (2, ["Beta be"])]
+    assert "Join" not in others._jdf.queryExecution().optimizedPlan().toString()
