@@ -31,6 +31,12 @@ def pivoted(ratings: DataFrame, codes: list[str], *, id_col: str = "document_id"
     return ratings.groupBy(id_col).pivot(code_col, codes).agg(F.max(score_col))
 
 
+def first_pivoted(df: DataFrame, codes: list[str], order: str, *, id_col: str = "document_id", code_col: str = "dimension_code", score_col: str = "raw_score") -> DataFrame:
+    """pivoted() of first_values(), in one aggregate by document: a row and one shuffle for each document instead of each of its dimensions."""
+    of = lambda c, x: F.when(F.col(code_col) == c, F.col(x))
+    return df.groupBy(id_col).agg(*[F.min_by(of(c, score_col), of(c, order)).alias(c) for c in codes])
+
+
 def unpivoted(wide: DataFrame, codes: list[str], *, ids: list[str], code_col: str = "dimension_code", score_col: str = "raw_score") -> DataFrame:
     return wide.unpivot([F.col(c) for c in ids], [F.col(c) for c in codes], code_col, score_col).where(F.col(score_col).isNotNull())
 

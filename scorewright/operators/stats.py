@@ -24,8 +24,12 @@ def summary(df: DataFrame, value: str, groups: list[str] | None = None) -> DataF
 
 
 def correlation_matrix(long: DataFrame, *, id_col: str, code_col: str, value: str, codes: list[str]) -> DataFrame:
+    """wide_correlations() of long rows."""
+    return wide_correlations(long.groupBy(id_col).pivot(code_col, codes).agg(F.max(value)), codes)
+
+
+def wide_correlations(wide: DataFrame, codes: list[str]) -> DataFrame:
     """All pairs of dimensions over documents that have both, from one pass over the wide rows."""
-    wide = long.groupBy(id_col).pivot(code_col, codes).agg(F.max(value))
     pairs = [(a, b) for a in codes for b in codes]
     row = wide.agg(*[(F.lit(1.0) if a == b else pearson_of(a, b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("left_code"), F.lit(b).alias("right_code"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])

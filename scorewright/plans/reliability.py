@@ -121,7 +121,7 @@ _CELLS = " UNION ALL ".join(f"SELECT '{a}' AS left_code, '{b}' AS right_code, "
 
 @query(f"WITH {SQL_WIDE} {_CELLS}")
 def dimension_correlation_matrix(spark, sf_dir):
-    return T.correlation_matrix(R.ratings(spark, sf_dir), id_col="document_id", code_col="dimension_code", value="raw_score", codes=CODES)
+    return T.wide_correlations(R.wide(spark, sf_dir), CODES)
 
 
 @query(f"WITH {SQL_WIDE}, m AS ({_CELLS}) SELECT * FROM m WHERE left_code < right_code AND correlation > 0.0")
