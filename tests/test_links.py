@@ -76,3 +76,19 @@ def test_a_very_popular_report_meets_few_rows(spark):
         near = [i for i in range(2000) if ("cost", "margin", "risk")[i % 3] == topic or (topic != "risk" and i % 3 < 2)]
         want[topic, metric] = min(near, key=first)
     assert got.count() == n and best == want
+
+
+def test_articles_meet_one_row_and_kinds_are_not_joined_back(spark):
+    """Rows that go through a shuffle: an article once to its company, kinds of claims once to each block."""
+    news = spark.createDataFrame([(1, "A", date(2020, 3, 1))], "news_claim_id int, ticker string, publish_date date")
+    reports = spark.createDataFrame([(7, "A", 2019, 1), (8, "A", 2021, 0)], "mda_document_id int, ticker string, report_year int, mda_ord int")
+    best = X.best_documents(news, reports)
+    assert best._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert [r["mda_document_id"] for r in best.collect()] == [7]
+    labels = "topic string, claim_type string, metric_name string, direction string, "
+    claims = spark.createDataFrame([("cost", "risk", "x", "up", 1, 7, 1), ("other", "outlook", "y", "up", 2, 7, 0)], labels + "claim_id int, mda_document_id int, claim_ord int")
+    told = spark.createDataFrame([("margin", "outlook", "y", "up", 1, 7)], labels + "news_claim_id int, mda_document_id int")
+    got = X.linked_claims(told, claims)
+    assert "LeftAnti" not in got._jdf.queryExecution().optimizedPlan().toString()
+    # a close topic goes before any score
+    assert [r["m_claim_id"] for r in got.collect()] == [1]
