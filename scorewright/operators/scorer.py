@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.text import blank_if_null, token_estimate
 from scorewright.operators.jsonfix import stabilized
-from scorewright.sources.tables import keeper
+from scorewright.sources.tables import keeper, short_batches
 
 # Fields of an answer, the longest reason, and what a retry adds to the prompt.
 FIELDS = ("evidence", "reason", "score")
@@ -101,8 +101,10 @@ def scored(tasks: DataFrame, call: Call, *, id_cols: list[str], prompt: str = "p
     done = [_told(over, id_cols, "context_budget_failed", F.concat(F.lit("tokens "), F.col("tokens_").cast("string"), F.lit(" over "), F.lit(str(budget))), attempts=F.lit(0), parse=F.lit("not_attempted"))]
     open_ = rows.where(F.col("tokens_") <= budget).withColumn("request_", none)
     for attempt in range(1, attempts + 1):
-        asked = open_.withColumn("ask_", F.concat("prompt_", F.lit(RETRY if attempt > 1 else "")))
-        answers = keep(asked.mapInPandas(_caller(call, attempt), asked.drop("ask_").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", " + ANSWERED))
+        # Python gets the prompts alone; the other columns wait in the JVM
+        asked = open_.withColumn("told_", _caller(call, attempt)(F.concat("prompt_", F.lit(RETRY if attempt > 1 else ""))))
+        with short_batches(tasks.sparkSession):
+            answers = keep(asked.select(*open_.columns, "told_.*"))
         answers = answers.withColumn("request_", F.coalesce("failed", "request_"))
         blind = F.lit(False) if most_seen is None else F.col("failed").isNull() & ~F.coalesce(F.col("seen") < most_seen, F.lit(False))
         done.append(_told(answers.where(blind), id_cols, "prompt_eval_too_high", F.concat(F.lit("prompt tokens "), F.coalesce(F.col("seen").cast("string"), F.lit("unknown"))), attempts=F.lit(attempt), parse=F.lit("not_attempted")))
@@ -121,12 +123,14 @@ def scored(tasks: DataFrame, call: Call, *, id_cols: list[str], prompt: str = "p
 
 
 def _caller(call: Call, attempt: int):
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The call as a function of a column of prompts, made once for each row."""
+
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            told = [_answer(call, p, attempt) for p in b.pop("ask_")]
-            yield b.assign(**{n: pd.Series([t[i] for t in told], index=b.index, dtype=kind) for i, (n, kind) in enumerate((("raw", object), ("seen", "Int64"), ("failed", object)))})
+            told = [_answer(call, p, attempt) for p in b]
+            yield pd.DataFrame({n: pd.Series([t[i] for t in told], index=b.index, dtype=kind) for i, (n, kind) in enumerate((("raw", object), ("seen", "Int64"), ("failed", object)))})
 
-    return ask
+    return F.pandas_udf(ask, ANSWERED).asNondeterministic()
 
 
 def _answer(call: Call, prompt: str, attempt: int) -> tuple[str | None, int | None, str | None]:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,6 +34,24 @@ def keeper(spark: SparkSession, name: str) -> Callable[[DataFrame], DataFrame]:
     return keep
 
 
+#: Rows and bytes of texts that a batch for Python may hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written in here goes to Python in batches that long texts make shorter."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, most in limits.items():
+        spark.conf.set(k, str(most))
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows dealt out to all cores: a small file is one task, however long the work on its rows takes."""
     spark = df.sparkSession

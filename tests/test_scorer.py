@@ -136,3 +136,26 @@ def test_a_chat_service(spark):
         server.shutdown()
     with pytest.raises(ChatError):
         Chat(f"http://127.0.0.1:{server.server_port}/none", "m", timeout=2)("x", 1)
+
+
+def test_python_gets_prompts_alone_in_batches_that_long_texts_make_shorter(spark, tmp_path):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    before = [spark.conf.get(k) for k in keys]
+
+    def sized(prompt: str, attempt: int) -> str:
+        import sys
+
+        frame = sys._getframe()
+        while "b" not in frame.f_locals or frame.f_code.co_name != "ask":
+            frame = frame.f_back
+        b = frame.f_locals["b"]
+        # what a batch holds: one column of so many rows and characters
+        (tmp_path / f"{len(b)}-{b.ndim}-{int(b.str.len().sum())}").touch()
+        return GOOD
+
+    tasks = spark.range(0, 1500, 1, 1).select("id", F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), 8000)).alias("prompt"), F.lit("[MDA_P001]").alias("text"), F.lit("MDA").alias("prefix"))
+    got = scorer.scored(tasks, sized, id_cols=["id"], attempts=1).groupBy("status", "score").count().collect()
+    assert [tuple(r) for r in got] == [("success", 4, 1500)]
+    batches = [tuple(map(int, f.name.split("-"))) for f in tmp_path.iterdir()]
+    assert all(columns == 1 and rows <= 1000 and size <= 5 << 20 for rows, columns, size in batches)
+    assert [spark.conf.get(k) for k in keys] == before
