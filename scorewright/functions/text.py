@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
-from functools import cache
+from functools import cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -30,6 +30,9 @@ BOILERPLATE_LINES = (
 )
 #: Separator put where a text is to be split; it does not occur in clean text.
 MARK = "\u0001"
+#: White space, and its runs other than one blank; most characters are passed over by the first test.
+SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{001C}-\x{001F}]"
+WIDE_SPACE = rf"(?=[^!-~])(?! (?!{SPACE})){SPACE}+"
 
 
 def blank_if_null(c: Column) -> Column:
@@ -38,12 +41,12 @@ def blank_if_null(c: Column) -> Column:
 
 def one_spaced(c: Column) -> Column:
     """White space runs become one space, byte order marks go, ends are trimmed; null becomes empty."""
-    return F.trim(F.regexp_replace(F.replace(blank_if_null(c), F.lit("﻿"), F.lit(" ")), r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{0085}\x{001C}-\x{001F}]+", " "))
+    return F.trim(F.regexp_replace(F.replace(blank_if_null(c), F.lit("﻿"), F.lit(" ")), WIDE_SPACE, " "))
 
 
 def stripped_claim(c: Column) -> Column:
     """one_spaced() without leading and trailing blanks, semicolons and commas."""
-    return F.regexp_replace(one_spaced(c), "^[ ;,]+|[ ;,]+$", "")
+    return F.btrim(one_spaced(c), F.lit(" ;,"))
 
 
 def sentences(c: Column) -> Column:
@@ -91,6 +94,11 @@ def has_any(c: Column, terms: Iterable[str]) -> Column:
     return F.coalesce(F.lower(c).rlike("|".join(re.escape(t.lower()) for t in terms)), F.lit(False))
 
 
+def contains_any(lowered: Column, terms: Iterable[str]) -> Column:
+    """Like has_any() of a column that is lower-cased already: plain searches, which for many terms take less time than one pattern."""
+    return F.coalesce(reduce(Column.__or__, [F.contains(lowered, F.lit(t.lower())) for t in terms]), F.lit(False))
+
+
 def keyword_hit(lowered: Column, keyword: str) -> Column:
     """Whether a keyword stands in a lower-cased text: as a word if it is one, else as a substring; `rm` also before digits."""
     key = keyword.lower()

@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorewright.functions.text import has_any, located_blocks, sentences, stripped_claim
+from scorewright.functions.rows import once
+from scorewright.functions.text import contains_any, has_any, located_blocks, sentences, stripped_claim
 
 #: Fixed vocabularies of the rules.
 UP_WORDS = ("increase", "increased", "higher", "rise", "rises", "improved", "stronger", "growth")
 DOWN_WORDS = ("decrease", "decreased", "decline", "declined", "lower", "fell", "reduced", "cautious")
 METRICS = ("revenue", "profit", "sales", "margin", "cost", "cash flow")
 CAUSE_WORDS = ("due to", "because", "driven by", "as ", "offset by")
+COST_WORDS = ("raw material", "cost", "packaging", "logistics")
+SEGMENT_WORDS = ("segment", "export", "domestic")
+RISK_WORDS = ("risk", "uncertain", "pressure", "competition", "shortage")
+OUTLOOK_WORDS = ("outlook", "expect", "forecast", "cautious")
+STRATEGY_WORDS = ("strategy", "expansion", "capacity", "new product")
+#: A sentence of a report without any of these makes no claim.
+MDA_WORDS = tuple(dict.fromkeys((*METRICS, *CAUSE_WORDS, *COST_WORDS, *SEGMENT_WORDS, *RISK_WORDS, *OUTLOOK_WORDS, *STRATEGY_WORDS)))
 CAUSE_SPLIT = r"(?i)\bdue to\b|\bbecause\b|\bdriven by\b|\boffset by\b|\bas\b"
 DIMENSIONS = {
     "mda": {"financial_claim": ["AR02"], "causal_claim": ["AR03"], "cost_claim": ["AR03"], "segment_claim": ["AR03"], "risk_claim": ["AR04"], "outlook_claim": ["AR04"], "strategy_claim": ["AR03"]},
@@ -53,9 +61,7 @@ def _claim(kind: str, topic_: Column | str, text: Column, way: Column | str, met
     return F.struct(F.lit(kind).alias("claim_type"), lit(topic_).alias("topic"), stripped_claim(text).alias("claim_text"), lit(value).alias("value"), lit(way).alias("direction"), lit(metric_).alias("metric_name"))
 
 
-def _mda_rules(s: Column) -> Column:
-    low = F.lower(s)
-    way, what, m = direction(low), topic(low), metric(low)
+def _mda_rules(s: Column, low: Column, way: Column, what: Column, m: Column) -> Column:
     head = stripped_claim(F.split(s, CAUSE_SPLIT, 2)[0])
     financial = F.when((m != "") & (s.rlike(r"\d") | (way != "neutral")), _claim("financial_claim", m, F.when(head != "", head).otherwise(s), way, m, stated_value(s)))
     causes = F.split(s, CAUSE_SPLIT, 2)
@@ -63,18 +69,16 @@ def _mda_rules(s: Column) -> Column:
     causal = F.when(has_any(low, CAUSE_WORDS) & (F.size(causes) > 1), F.transform(fragments, lambda x: _claim("causal_claim", topic(F.lower(x)), x, direction(F.lower(x)), "cause")))
     none = F.array().cast("array<struct<claim_type:string,topic:string,claim_text:string,value:string,direction:string,metric_name:string>>")
     rest = F.array(
-        F.when(has_any(low, ["raw material", "cost", "packaging", "logistics"]), _claim("cost_claim", "cost", s, way, "cost")),
-        F.when(has_any(low, ["segment", "export", "domestic"]), _claim("segment_claim", what, s, way, "segment")),
-        F.when(has_any(low, ["risk", "uncertain", "pressure", "competition", "shortage"]), _claim("risk_claim", what, s, "neutral", "risk")),
-        F.when(has_any(low, ["outlook", "expect", "forecast", "cautious"]), _claim("outlook_claim", "outlook", s, way, "outlook")),
-        F.when(has_any(low, ["strategy", "expansion", "capacity", "new product"]), _claim("strategy_claim", "strategy", s, "neutral", "strategy")),
+        F.when(has_any(low, COST_WORDS), _claim("cost_claim", "cost", s, way, "cost")),
+        F.when(has_any(low, SEGMENT_WORDS), _claim("segment_claim", what, s, way, "segment")),
+        F.when(has_any(low, RISK_WORDS), _claim("risk_claim", what, s, "neutral", "risk")),
+        F.when(has_any(low, OUTLOOK_WORDS), _claim("outlook_claim", "outlook", s, way, "outlook")),
+        F.when(has_any(low, STRATEGY_WORDS), _claim("strategy_claim", "strategy", s, "neutral", "strategy")),
     )
     return F.array_compact(F.concat(F.array(financial), F.coalesce(causal, none), rest))
 
 
-def _news_rules(s: Column, title: Column) -> Column:
-    low = F.lower(s)
-    way, what, m = direction(low), topic(low), metric(low)
+def _news_rules(s: Column, low: Column, way: Column, what: Column, m: Column, title: Column) -> Column:
     head = stripped_claim(F.split(s, CAUSE_SPLIT, 2)[0])
     found = F.array_compact(
         F.array(
@@ -88,22 +92,32 @@ def _news_rules(s: Column, title: Column) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(_claim("event_claim", what, s, way, title)))
 
 
-def extracted(docs: DataFrame, source_type: str, *, id_col: str = "document_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
-    """Claims of each document, numbered in order: claim_id, document_id, claim fields, evidence_locator, confidence.
+def found(docs: DataFrame, source_type: str, *, id_col: str = "document_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """Claims of each document before they are numbered: document_id, b_, s_, c_ (places of block, sentence and claim), evidence_locator, claim.
 
     Equal (type, topic, text) within a sentence count once. Null and empty texts give none.
     """
-    default = "[MDA_P001]" if source_type == "mda" else "[NEWS_P001]"
+    mda = source_type == "mda"
+    default = "[MDA_P001]" if mda else "[NEWS_P001]"
     title = F.coalesce(F.col(title_col), F.lit("")) if title_col else F.lit("")
     blocks = docs.select(F.col(id_col).alias("document_id"), title.alias("title_"), F.posexplode(located_blocks(F.coalesce(F.col(text_col), F.lit("")), default)).alias("b_", "block"))
     sents = blocks.select("document_id", "title_", "b_", F.col("block.locator").alias("evidence_locator"), F.posexplode(sentences(F.col("block.body"))).alias("s_", "sentence"))
-    rules = _mda_rules(F.col("sentence")) if source_type == "mda" else _news_rules(F.col("sentence"), F.col("title_"))
+    low = F.col("low_")
+    sents = once(sents, low_=F.lower("sentence"))
+    sents = once(sents.where(contains_any(low, MDA_WORDS)) if mda else sents, way_=direction(low), what_=topic(low), metric_=metric(low))
+    of = [F.col(c) for c in ("sentence", "low_", "way_", "what_", "metric_")]
+    rules = _mda_rules(*of) if mda else _news_rules(*of, F.col("title_"))
     same = lambda x, y: (x["claim_type"] == y["claim_type"]) & (x["topic"] == y["topic"]) & (x["claim_text"] == y["claim_text"])
     claims = F.col("claims_")
     first = F.filter(claims, lambda x, i: ~F.exists(F.slice(claims, F.lit(1), i), lambda y: same(x, y)))
-    rows = sents.withColumn("claims_", rules).select("document_id", "b_", "s_", "evidence_locator", F.posexplode(first).alias("c_", "claim"))
+    return sents.withColumn("claims_", rules).select("document_id", "b_", "s_", "evidence_locator", F.posexplode(first).alias("c_", "claim"))
+
+
+def extracted(docs: DataFrame, source_type: str, *, id_col: str = "document_id", text_col: str = "text", title_col: str | None = None) -> DataFrame:
+    """found() numbered in order: claim_id, document_id, claim fields, evidence_locator, confidence."""
+    rows = found(docs, source_type, id_col=id_col, text_col=text_col, title_col=title_col)
     # number the claims of a document within one list instead of a window over all rows
-    lists = rows.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("b_", "s_", "c_", "evidence_locator", "claim"))).alias("all_"))
+    lists = rows.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("b_", "s_", "c_", "evidence_locator", "claim"))).alias("all_"))
     out = lists.select("document_id", F.posexplode("all_").alias("n_", "r_"))
     return out.select(F.format_string("%s_CL%04d", F.col("document_id").cast("string"), F.col("n_") + 1).alias("claim_id"), "document_id", "r_.claim.*", "r_.evidence_locator", F.lit("high").alias("confidence"))
 

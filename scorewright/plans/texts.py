@@ -13,6 +13,7 @@ from scorewright.operators import jsonfix as J
 from scorewright.operators import numeric as N
 from scorewright.operators import relevance as V
 from scorewright.plans.ratings import table
+from scorewright.sources.tables import spread
 
 QUERIES, SQL = {}, {}
 
@@ -272,13 +273,9 @@ def news(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select(F.format_string("%s_T%s", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("document_id"), "text")
 
 
-def _report_claims(spark, sf_dir):
-    return C.extracted(reports(spark, sf_dir), "mda")
-
-
 @query(None)
 def claims_extracted(spark, sf_dir):
-    return _report_claims(spark, sf_dir).unionByName(C.extracted(news(spark, sf_dir), "news"))
+    return C.extracted(spread(reports(spark, sf_dir)), "mda").unionByName(C.extracted(spread(news(spark, sf_dir)), "news"))
 
 
 _UP = "|".join(C.UP_WORDS)
@@ -293,7 +290,8 @@ UNION ALL SELECT 'financial_claim', l FROM l WHERE regexp_matches(l, 'revenue|pr
 SELECT claim_type, CASE WHEN claim_type = 'risk_claim' OR claim_type = 'strategy_claim' THEN 'neutral' WHEN regexp_matches(l, '{_UP}') THEN 'increase' WHEN regexp_matches(l, '{_DOWN}') THEN 'decrease' ELSE 'neutral' END AS direction, count(*) AS n FROM c GROUP BY 1, 2""")
 def claim_type_counts(spark, sf_dir):
     """Claims by type and direction, but for causal ones."""
-    return _report_claims(spark, sf_dir).where("claim_type <> 'causal_claim'").groupBy("claim_type", "direction").agg(F.count("*").alias("n"))
+    claims = C.found(spread(reports(spark, sf_dir)), "mda").select("claim.claim_type", "claim.direction")
+    return claims.where("claim_type <> 'causal_claim'").groupBy("claim_type", "direction").agg(F.count("*").alias("n"))
 
 
 _TURNS = "x AS (SELECT conv_id AS document_id, role, turn, text, 1 + (length(text) + turn) % 5 AS score FROM conversations)"
