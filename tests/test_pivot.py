@@ -19,3 +19,12 @@ def test_first_ratings_pivoted_at_once_are_those_of_two_steps(spark, tmp_path):
     # one shuffle, and no row for each dimension
     spark.createDataFrame([(1, 1)], "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
     assert R.wide(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_documents_are_dealt_out_before_they_are_aggregated(spark, tmp_path):
+    spark.createDataFrame([(i // 4, 1 + i % 4) for i in range(400)], "l_orderkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    wide = R.wide(spark, str(tmp_path))
+    assert wide.count() == 100
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    # no aggregate below the only shuffle
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan[plan.index("Exchange") :]
