@@ -141,6 +141,25 @@ def test_suffix_dedup(docs, rows, length):
     assert Counter(map(tuple, got.collect())) == want
 
 
+def test_shared_passages_of_over_50_words_count_by_their_bytes(spark):
+    """Each passage stands in two texts that are otherwise unlike: those of 400 bytes and more go from both, shorter ones stay."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows, want = [], {}
+    for i, n in enumerate((323, 398, 399, 400, 401, 575)):
+        size, over = divmod(n - 50, 51)
+        passage = " ".join(letters(size + (w < over)) for w in range(51))
+        assert len(passage) == n and len(passage.split()) == 51
+        # other bytes on either side of the passage, so that no match goes beyond it
+        for k, (a, z) in enumerate(("13", "24")):
+            before, after = " ".join(letters(6) for _ in range(40)) + a, z + " ".join(letters(6) for _ in range(30))
+            kept = before + after if n >= 400 else before + passage + after
+            rows.append((2 * i + k, before + passage + after))
+            want[2 * i + k] = (n if n >= 400 else 0, int(n >= 400), hashlib.sha256(kept.encode()).hexdigest())
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_suffix_levels_are_in_order_and_scans_find_all(docs, spark, small, monkeypatch):
     """Levels grow geometrically, hold every sampled suffix in the order of its bytes, and every lead that recurs in any batch is found."""
