@@ -191,6 +191,28 @@ def test_suffix_levels_are_in_order_and_scans_find_all(docs, spark, small, monke
     assert small or len(found) < len(every)
 
 
+def test_copies_in_a_later_batch_are_dealt_to_several_ranges(spark, monkeypatch):
+    """Each lead of a text with many copies would fill eight ranges; the copies lie in one batch, which is not the first."""
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 13_000)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    often = spark.createDataFrame([(text(1000),) for _ in range(16)], "text string").where(F.pmod(F.xxhash64("text"), F.lit(4)) == 2).first()["text"]
+    rows = [(i, text(1000)) for i in range(300)] + [(1000 + i, often) for i in range(1500)] + [(3000, text(30_000)), (3001, None), (3002, "")]
+    loads, built = [], suffix_dedup.SuffixIndex._built
+
+    def watched(index, raw):
+        array = built(index, raw)
+        loads.append([r["n"] for r in array.groupBy("top").agg(F.sum("n").alias("n")).collect()])
+        return array
+
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "_built", watched)
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), length=60)
+    gone = {r["doc_id"]: r["n_removed"] for r in got.collect()}
+    size = len(often.encode())
+    assert {d: n for d, n in gone.items() if n} == {1000 + i: size for i in range(1500)} and len(gone) == len(rows)
+    assert len(loads) == 4 and sum(loads[2]) > 1500 * 25 and max(loads[2]) < 1000
+
+
 def test_merging_runs_and_their_common_prefixes():
     rng = random.Random(9)
     word = lambda: bytes(rng.choice((0, 1, 255)) for _ in range(12))
