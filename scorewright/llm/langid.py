@@ -54,10 +54,37 @@ class ByteCNN:
         for w in WIDTHS:
             h = self._columns(windows, w) @ self.p[f"w{w}"]
             pooled.append(h.reshape(len(windows), -1, FILTERS).max(axis=1) + self.p[f"b{w}"])
+        return self._softmax(pooled)
+
+    def _softmax(self, pooled: list[np.ndarray]) -> np.ndarray:
         z = np.maximum(np.concatenate(pooled, axis=1), 0) @ self.p["out"] + self.p["bias"]
         z = np.exp(z - z.max(axis=1, keepdims=True))
         return z / z.sum(axis=1, keepdims=True)
 
+    def tables(self) -> dict[tuple[int, int], np.ndarray]:
+        """For each width and even place k under its filters: what two bytes in a row at k add to them; the last byte of an odd width stands alone."""
+        out = {}
+        for w in WIDTHS:
+            one = [self.p["emb"] @ part for part in np.split(self.p[f"w{w}"], w)]
+            for k in range(0, w, 2):
+                after = one[k + 1] if k + 1 < w else np.zeros_like(one[k])
+                out[w, k] = (one[k][:, None] + after[None]).reshape(-1, FILTERS)
+        return out
+
+    def looked_up(self, windows: np.ndarray, tables: dict[tuple[int, int], np.ndarray]) -> np.ndarray:
+        """The probabilities, with the convolutions read from tables()."""
+        first = np.ascontiguousarray(windows.T)
+        pair = first.astype(np.intp) << 8
+        pair[:-1] |= first[1:]
+        pooled = []
+        for w in WIDTHS:
+            n = len(first) - w + 1
+            h = tables[w, 0].take(pair[:n], axis=0)
+            for k in range(2, w, 2):
+                h += tables[w, k].take(pair[k : k + n], axis=0)
+            pooled.append(h.max(axis=0) + self.p[f"b{w}"])
+        return self._softmax(pooled)
+
     def _gradients(self, windows: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         n, g = len(windows), {}
         cols, tops, pooled = {}, {}, []
@@ -170,6 +197,7 @@ def identify(docs: DataFrame, model: ByteCNN, *, text_col: str = "text", keep: l
         classes, parts = shared.value
         net = ByteCNN(classes)
         net.p = parts
+        tables = net.tables()
         for batch in batches:
             letters = batch["letters_"].to_numpy(zero_copy_only=False)
             total = np.zeros((batch.num_rows, max(1, len(classes))), np.float64)
@@ -177,7 +205,7 @@ def identify(docs: DataFrame, model: ByteCNN, *, text_col: str = "text", keep: l
             for chunk in R.chunks(batch[place]) if classes else ():
                 windows, doc = cut_windows(chunk.data, chunk.offsets)
                 for lo in range(0, len(windows), GROUP):
-                    p = net.probabilities(windows[lo : lo + GROUP])
+                    p = net.looked_up(windows[lo : lo + GROUP], tables)
                     at = doc[lo : lo + GROUP]
                     first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
                     total[chunk.lo + at[first]] += np.add.reduceat(p, first, axis=0)

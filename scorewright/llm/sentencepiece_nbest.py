@@ -16,7 +16,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -77,23 +79,25 @@ class Lattice:
         self.shift, self.mask = np.uint64(64 - bits), np.uint64((1 << bits) - 1)
         self.first, self.second = np.full(1 << bits, -1, np.int32), np.full(1 << bits, -1, np.int32)
         self.hashes = np.zeros(len(self.text) + 1, np.uint64)
-        for piece, i in self.id.items():
-            prefix, inv = self._hash(np.array([[ord(c) for c in piece]], np.uint32))
-            h = R.mix(prefix[:, -1] * inv[0])[0]
-            self.hashes[i] = h
-            if self.first[h >> self.shift] < 0:
-                self.first[h >> self.shift] = i
+        sizes = {i: len(piece) for piece, i in self.id.items()}
+        for size in {*sizes.values()} - {0}:
+            own = [i for i, n in sizes.items() if n == size]
+            prefix, inv = self._hash(np.array([[ord(c) for c in self.text[i]] for i in own], np.uint32))
+            self.hashes[own] = R.mix(prefix[:, -1] * inv[0])
+        top, low = (self.hashes >> self.shift).tolist(), (self.hashes & self.mask).tolist()
+        for i in self.id.values():
+            if self.first[top[i]] < 0:
+                self.first[top[i]] = i
             else:
-                if self.second[h & self.mask] >= 0:
+                if self.second[low[i]] >= 0:
                     raise ValueError("piece hashes collide")
-                self.second[h & self.mask] = i
+                self.second[low[i]] = i
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         i = self.first[h >> self.shift]
-        miss = self.hashes[i] != h
-        if miss.any():
+        miss = np.flatnonzero((self.hashes[i] != h) & (i >= 0))  # where the first table has none, the second has none
+        if len(miss):
             j = self.second[h[miss] & self.mask]
-            i = i.copy()
             i[miss] = np.where(self.hashes[j] == h[miss], j, -1)
         return i
 
@@ -102,28 +106,28 @@ class Lattice:
         n = len(parts)
         codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
         prefix, inv = self._hash(codes)
-        edge, worth = {}, {}
+        edge, worth = {}, {}  # pieces of all rows; the rows that have one, and what it scores there
         for i in range(size):
             for j in range(i + 1, min(size, i + self.longest) + 1):
                 piece = self._find(R.mix((prefix[:, j] - prefix[:, i]) * inv[i]))
-                value = np.where(piece >= 0, self.score[piece], -np.inf)
                 if j == i + 1:
-                    value = np.where(piece >= 0, value, self.fallback)
-                    piece = np.where(piece >= 0, piece, -2 - codes[:, i].astype(np.int64))
-                edge[i, j], worth[i, j] = piece, value
+                    worth[i, j] = np.arange(n), np.where(piece >= 0, self.score[piece], self.fallback)
+                    edge[i, j] = np.where(piece >= 0, piece, -2 - codes[:, i].astype(np.int64))
+                elif len(some := np.flatnonzero(piece >= 0)):
+                    edge[i, j], worth[i, j] = piece, (some, self.score[piece[some]])
         ahead, back = np.full((size + 1, n), -np.inf), np.zeros((size + 1, n), np.int32)
         ahead[0] = 0
         behind = np.full((size + 1, n), -np.inf)
         behind[size] = 0
-        for j in range(1, size + 1):
-            for i in range(max(0, j - self.longest), j):
-                value = ahead[i] + worth[i, j]
-                better = value > ahead[j]
-                ahead[j][better] = value[better]
-                back[j][better] = i
-        for i in range(size - 1, -1, -1):
-            for j in range(i + 1, min(size, i + self.longest) + 1):
-                np.maximum(behind[i], worth[i, j] + behind[j], out=behind[i])
+        for i, j in sorted(worth, key=lambda e: (e[1], e[0])):
+            some, value = worth[i, j]
+            value = ahead[i, some] + value
+            better = value > ahead[j, some]
+            some = some[better]
+            ahead[j, some], back[j, some] = value[better], i
+        for i, j in sorted(worth, reverse=True):
+            some, value = worth[i, j]
+            behind[i, some] = np.maximum(behind[i, some], value + behind[j, some])
         rows = np.arange(n)
         on = np.zeros((size + 1, n), bool)
         path, at = [], np.full(n, size)
@@ -144,9 +148,10 @@ class Lattice:
         lead = (path == -1).sum(axis=1)
         path = np.take_along_axis(path, (np.arange(path.shape[1]) + lead[:, None]) % path.shape[1], 1)
         other = np.full(n, -np.inf)
-        for (i, j), value in worth.items():
-            through = ahead[i] + value + behind[j]
-            np.maximum(other, np.where(on[j] & (start[j] == i), -np.inf, through), out=other)
+        for (i, j), (some, value) in worth.items():
+            through = ahead[i, some] + value + behind[j, some]
+            through[on[j, some] & (start[j, some] == i)] = -np.inf
+            other[some] = np.maximum(other[some], through)
         return path, np.full(n, np.inf) if size == 0 else ahead[size] - other, ahead[size]
 
     def _edges(self, part: str) -> list[list[tuple[int, int, float]]]:
@@ -216,27 +221,39 @@ class Lattice:
 
     def solve(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Ids (one after another, with offsets), cost of the second best, and best score of distinct parts."""
-        ids: list = [None] * len(parts)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (places of parts, how many ids each, ids of one after another)
         gap, best = np.full(len(parts), np.inf), np.zeros(len(parts))
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+
+        def singly(where: np.ndarray, each: list[list[int]]) -> None:
+            found.append((where, np.array([len(x) for x in each], np.int64), np.array([i for x in each for i in x], np.int32)))
+
         for size in np.unique(sizes):
             where = np.flatnonzero(sizes == size)
             if size > WIDE:
+                own = []
                 for w in where:
                     two = self.nbest(parts[w], 2)
-                    ids[w], best[w] = np.array(self.ids(two[0][1]), np.int32), two[0][0]
+                    own.append(self.ids(two[0][1]))
+                    best[w] = two[0][0]
                     gap[w] = two[0][0] - two[1][0] if len(two) > 1 else np.inf
+                singly(where, own)
                 continue
             for lo in range(0, len(where), 1 << 15):
                 some = where[lo : lo + (1 << 15)]
                 path, gap[some], best[some] = self.side_by_side([parts[w] for w in some], int(size))
                 plain = ~(path < -1).any(axis=1)
-                length = (path != -1).sum(axis=1)
-                small = path.astype(np.int32)
-                for k, w in enumerate(some.tolist()):
-                    ids[w] = small[k, : length[k]] if plain[k] else np.array(self.ids(path[k, : length[k]].tolist()), np.int32)
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids], dtype=np.int64)))
-        return np.concatenate(ids) if ids else np.zeros(0, np.int32), offsets, gap, best
+                there = path != -1
+                found.append((some[plain], there[plain].sum(axis=1), path[plain][there[plain]].astype(np.int32)))
+                singly(some[~plain], [self.ids(p[t].tolist()) for p, t in zip(path[~plain], there[~plain], strict=True)])
+        length = np.zeros(len(parts), np.int64)
+        for where, each, _ in found:
+            length[where] = each
+        offsets = np.concatenate(([0], np.cumsum(length)))
+        ids = np.zeros(offsets[-1], np.int32)
+        for where, each, flat in found:
+            ids[np.repeat(offsets[where] - (np.cumsum(each) - each), each) + np.arange(len(flat))] = flat
+        return ids, offsets, gap, best
 
 
 def combined(options: list[list[float]], n: int) -> list[tuple[float, tuple[int, ...]]]:
@@ -247,12 +264,31 @@ def combined(options: list[list[float]], n: int) -> list[tuple[float, tuple[int,
     return best
 
 
+class Numbers(dict):
+    """A number for each key: new ones get the next."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(name: str, pieces: list[tuple[str, float, int]], n: int) -> Encoder:
+    """The encoder of a call of encode(), which its name tells; a worker keeps it, and the parts it has solved, for its next tasks."""
+    if name not in _encoders:
+        _encoders.clear()
+        _encoders[name] = Encoder(pieces, n)
+    return _encoders[name]
+
+
 class Encoder:
     """Encodes batches of texts."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], n: int):
         self.lattice, self.n, self.lists = Lattice(pieces), n, {}
-        self._forget()
+        self._clear()
 
     def alternatives(self, part: str, first: np.ndarray) -> tuple[list[float], list[np.ndarray]]:
         """Losses and ids of a part's n best segmentations, `first` (a best one) leading."""
@@ -269,22 +305,34 @@ class Encoder:
         """Number of each part; new ones are solved and kept."""
         if len(self.known) > KEPT:
             self._forget()
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        ids, offsets, gap, best = self.lattice.solve(new)
-        known.update(zip(new, range(len(self.gap), len(self.gap) + len(new)), strict=True))
+        which = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        new = list(islice(self.known, len(self.parts), None))
+        if new:
+            self._add(new, *self.lattice.solve(new))
+        self.used = np.minimum(self.used + np.bincount(which, minlength=len(self.used)), 1 << 40)
+        return which
+
+    def _add(self, parts: list[str], ids: np.ndarray, offsets: np.ndarray, gap: np.ndarray, best: np.ndarray) -> None:
         self.offsets = np.concatenate((self.offsets, offsets[1:] + self.offsets[-1]))
         self.ids, self.gap, self.best = np.concatenate((self.ids, ids)), np.concatenate((self.gap, gap)), np.concatenate((self.best, best))
-        self.parts.extend(new)
-        return np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+        self.used = np.concatenate((self.used, np.zeros(len(parts), np.int64)))
+        self.parts.extend(parts)
+
+    def _clear(self) -> None:
+        self.known, self.parts = Numbers(), []
+        self.ids, self.offsets, self.gap, self.best, self.used = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self.known, self.parts = {}, []
-        self.ids, self.offsets, self.gap, self.best = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0), np.zeros(0)
+        """The half of KEPT that was met most often, more than once at least, stays."""
+        often = np.flatnonzero(self.used > 1)
+        if len(often) > KEPT // 2:
+            often = np.sort(often[np.argpartition(-self.used[often], KEPT // 2)[: KEPT // 2]])
+        parts, ids, offsets, gap, best = [self.parts[k] for k in often.tolist()], self.ids, self.offsets, self.gap[often], self.best[often]
+        size = offsets[often + 1] - offsets[often]
+        ids = ids[np.repeat(offsets[often] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        self._clear()
+        self.known.update(zip(parts, range(len(parts)), strict=True))
+        self._add(parts, ids, np.concatenate(([0], np.cumsum(size))), gap, best)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float, list[float], bool, list[np.ndarray]]]:
         """(ids, score, losses of the n best against the best, whether decoding each of them whole gives the text back, ids of the n best) for each text."""
@@ -337,10 +385,10 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     """
     spark = docs.sparkSession
     arrow_batches(spark)
-    shared = spark.sparkContext.broadcast(load(model))
+    shared, name = spark.sparkContext.broadcast(load(model)), uuid.uuid4().hex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(shared.value, n)
+        coder = encoder(name, shared.value, n)
         for batch in batches:
             lo = 0
             while lo < batch.num_rows or (lo == 0 and batch.num_rows == 0):

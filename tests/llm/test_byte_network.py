@@ -40,6 +40,13 @@ def test_forward_pass_place_by_place():
     assert net.probabilities(windows) == pytest.approx(np.array([plain(net, w.tolist()) for w in windows]))
 
 
+def test_tables_give_the_forward_pass():
+    net, rng = network(), np.random.default_rng(9)
+    for size in (max(L.WIDTHS), 20, L.WINDOW):
+        windows = rng.integers(0, 256, (7, size)).astype(np.uint8)
+        assert net.looked_up(windows, net.tables()) == pytest.approx(net.probabilities(windows))
+
+
 def test_gradients_against_differences():
     net, rng = network(8), np.random.default_rng(6)
     windows, y = rng.integers(0, 40, (5, 15)).astype(np.uint8), np.array([0, 1, 2, 1, 0])

@@ -41,3 +41,15 @@ def test_every_segmentation_decodes(spark):
         assert len(r["losses"]) == len(r["nbest_sha256"]) and r["nbest_sha256"][0] == r["ids_sha256"]
         assert r["nbest_sha256"][r["k"]] == hashlib.sha256(np.array(r["each"], "<i4").tobytes()).hexdigest()
     assert max(r["k"] for r in back) == 3
+
+
+def test_parts_are_kept_between_tasks_and_those_met_often_when_there_are_many(monkeypatch):
+    pieces = S.load()
+    coder = S.encoder("one call", pieces, 4)
+    assert S.encoder("one call", pieces, 4) is coder and S.encoder("another", pieces, 4) is not coder
+    monkeypatch.setattr(S, "KEPT", 40)
+    texts = [f"Some words stand in every text, {k * 7919} and some{k} in one." for k in range(60)] + ["", "naïve\n\n  ▁ and \U0001f600"]
+    told = [[(g[0].tolist(), *g[1:4], [x.tolist() for x in g[4]]) for t in texts for g in c.encode([t])] for c in (coder,)][0]
+    plain = [[(g[0].tolist(), *g[1:4], [x.tolist() for x in g[4]]) for g in S.Encoder(pieces, 4).encode([t])][0] for t in texts[::7]]
+    assert told[::7] == plain
+    assert len(coder.known) <= 60 and {" words", " every"} <= set(coder.known) and " some0" not in coder.known
